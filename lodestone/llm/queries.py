@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, media, minhash, mixing, sharding, suffix_dedup, toxicity, unit_dedup
+from . import exact_dedup, line_dedup, media, minhash, mixing, pieces, sharding, suffix_dedup, toxicity, unit_dedup
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_minhash": minhash.op7_minhash,
     "op8_unit_dedup": unit_dedup.op8_unit_dedup,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
