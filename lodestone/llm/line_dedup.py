@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, groups, hash_spans, lookup, materialize, spans_of_words, table, utf8
-from .linking import groups_of, shared_buckets
+from .linking import shared_buckets, signature_groups
 
 DISTANCE = 3
 BLOCKS = (13, 13, 13, 13, 12)
@@ -127,11 +127,8 @@ def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     cls = materialize(prints.groupBy("digest").agg(F.min("pos").alias("id"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("size")), "op4-classes")
     total = cls.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = shared_buckets(cls.select(F.explode(block_keys("sim")).alias("bucket"), "id"), "op4-buckets")
-    sims = cls.select("id", "sim")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        s = pairs.join(sims.toDF("a", "sa"), "a").join(sims.toDF("b", "sb"), "b")
-        near = materialize(s.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE).select("a", "b"), "op4-near")
+    def close(near: DataFrame) -> DataFrame:
         need = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
         held = need.withColumn(ident, F.shiftright("id", LINE_BITS))
         there = docs.select(F.col(ident).cast("long").alias(ident), F.col(text)).join(held.select(ident).distinct(), ident, "left_semi")
@@ -140,9 +137,11 @@ def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
         longer = F.greatest(F.char_length("la"), F.char_length("lb"))
         most = F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
         fits = F.least(F.char_length("la"), F.char_length("lb")) >= longer - most
-        return both.filter(fits).filter(F.levenshtein("la", "lb") <= most).select("a", "b")
+        ready = both.filter(fits).withColumn("most", most).repartition("b", "a")
+        # A threshold confines the distance to a band of its table, and -1 stands for more. Most pairs pass the narrow band.
+        return ready.filter(F.expr("levenshtein(la, lb, cast(most div 8 as int)) >= 0 or levenshtein(la, lb, most) >= 0")).select("a", "b")
 
-    comps = groups_of(buckets, close, "op4-links")
+    comps = signature_groups(buckets, cls.select("id", F.col("sim").alias("sig")), DISTANCE, close, "op4-links")
     known = materialize(cls.select("digest", "id", "size").join(comps, "id", "left").select("digest", "size", F.coalesce("comp", "id").alias("keeper")), "op4-known")
     places = lookup(prints.select("pos", "digest"), known, "digest", "size", total).filter("pos <> keeper")
     return places.select(F.shiftright("pos", LINE_BITS).alias("doc_id"), F.col("pos").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("line"), "keeper")

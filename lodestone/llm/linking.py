@@ -26,10 +26,10 @@ def shared_buckets(rows: DataFrame, tag: str) -> DataFrame:
 def hub_pairs(rows: DataFrame, seed: int, tag: str) -> DataFrame:
     """Distinct (a, b) with a < b: each bucket's hub with the members of other components. rows: bucket, id, comp."""
     hubs = rows.groupBy("bucket").agg(
-        F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket", F.lit(seed))).alias("hub"), F.count(F.lit(1)).alias("n"))
+        F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket", F.lit(seed))).alias("hub"), F.count(F.lit(1)).alias("size"))
     hubs = materialize(hubs, tag)
-    total = hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = lookup(rows, hubs, "bucket", "n", total).filter(F.col("comp") != F.col("hub.comp"))
+    total = hubs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    pairs = lookup(rows, hubs, "bucket", "size", total).filter(F.col("comp") != F.col("hub.comp"))
     return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
@@ -77,3 +77,39 @@ def groups_of(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tag:
     if comps is None:
         return buckets.select("id", F.col("id").alias("comp")).limit(0)
     return comps
+
+
+SMALL = 64
+
+
+def signature_groups(buckets: DataFrame, sigs: DataFrame, distance: int, verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """groups_of for ids with 64-bit signatures (id, sig): only pairs within `distance` bits are verified.
+
+    Chance puts many ids with distant signatures into one bucket, so hubs would link little. Pairs of buckets of up to SMALL ids
+    are compared at once, at most SMALL / 2 a row, and the join itself drops the distant ones. Larger buckets go by hubs
+    first, so that a tight group costs a pair per member; what they leave is compared in slices with the rest.
+    """
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    size = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), tag)
+    total = size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = materialize(lookup(buckets, size, "bucket", "n", total).join(sigs, "id"), tag)
+    links, comps = None, None
+    large = rows.filter(F.col("n") > SMALL).drop("n").withColumn("comp", F.col("id"))
+    for seed in range(STAR_ROUNDS):
+        large, left_over, cross = split_buckets(large, tag)
+        if cross <= SMALL * left_over:
+            break
+        hubs = materialize(large.groupBy("bucket").agg(F.min_by(F.struct("id", "comp", "sig"), F.xxhash64("id", "bucket", F.lit(seed))).alias("hub"), F.count(F.lit(1)).alias("size")), tag)
+        met = lookup(large, hubs, "bucket", "size", left_over).withColumn("hub_sig", F.col("hub.sig")).filter((F.col("comp") != F.col("hub.comp")) & near("sig", "hub_sig"))
+        found = verify(materialize(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), tag))
+        links = materialize(found if links is None else links.unionByName(found).distinct(), tag)
+        comps = components(links, tag)
+        large = large.drop("comp", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    slices = F.ceil(F.col("n") / 512).cast("int")
+    left = rows.select("bucket", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    right = rows.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"))
+    meet = (left["bucket"] == right["bucket"]) & (left["slice"] == right["slice"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb")
+    found = verify(materialize(left.join(right, meet).select("a", "b").distinct(), tag))
+    links = materialize(found if links is None else links.unionByName(found).distinct(), tag)
+    return components(links, tag)
