@@ -129,18 +129,17 @@ def fit(rows: np.ndarray, feats: np.ndarray, labels: np.ndarray, folds: int = FO
 
 
 def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, features and labels of the chosen documents. Executors make the features; at most SAMPLE rows come to the driver."""
+    """Row numbers, features and labels of the chosen documents. Executors make the features, each once for a document; at most SAMPLE
+    rows come to the driver."""
     names = list(CHAIN)
 
     def run(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for i, j in groups(offsets):
-                rows, feats = words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                order = np.argsort(rows, kind="stable")
-                bounds = np.searchsorted(rows[order], np.arange(j - i + 1))
-                packed = feats[order].astype(np.int32)
-                cols = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(packed))]
+                rows, feats = present(*words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                bounds = np.searchsorted(rows, np.arange(j - i + 1))
+                cols = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(feats.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + k).slice(i, j - i) for k in range(len(names))]], ["doc_id", "feats", *names])
 
     picked = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).join(F.broadcast(chosen), "doc_id")
@@ -149,7 +148,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -
     got = got.take(pa.array(order))
     lists = got["feats"].combine_chunks()
     lens = np.diff(lists.offsets.to_numpy())
-    return got["doc_id"].to_numpy(), np.repeat(np.arange(len(lens)), lens), lists.flatten().to_numpy().astype(np.int64), np.column_stack([got[c].to_numpy() for c in names])
+    return got["doc_id"].to_numpy(), np.repeat(np.arange(len(lens), dtype=np.int32), lens), lists.flatten().to_numpy(), np.column_stack([got[c].to_numpy() for c in names])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", ident: str = "doc_id") -> Chain | None:
