@@ -93,6 +93,15 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
 
 # ---- Arrow text buffers -------------------------------------------------------------------------------------------
 
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of a few megabytes: the batches of all tasks of an executor lie outside its heap, beside its
+    Python workers. A row larger than that is a batch of its own."""
+    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(4 << 20))):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return df.mapInArrow(run, schema)
+
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BINV = pow(BASE, -1, 1 << 64)
@@ -139,7 +148,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def groups(offsets: np.ndarray, most: int = 2 << 20):
+def groups(offsets: np.ndarray, most: int = 1 << 19):
     """Slices of rows whose texts add up to about `most` bytes; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, groups, hash_spans, lookup, materialize, spans_of_words, table, utf8
+from .common import U64, groups, hash_spans, in_arrow, lookup, materialize, spans_of_words, table, utf8
 from .linking import shared_buckets, signature_groups
 
 DISTANCE = 3
@@ -81,7 +81,7 @@ def line_prints(docs: DataFrame, text: str, ident: str) -> DataFrame:
                 pos = (ids[i:j][owner[have]].astype(np.int64) << LINE_BITS) + number[have]
                 yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(digest, pa.binary()), pa.array(sim[have].astype(np.int64), pa.int64())], ["pos", "digest", "sim"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, "pos long, digest binary, sim long")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "pos long, digest binary, sim long")
 
 
 def line_texts(docs: DataFrame, text: str, ident: str) -> DataFrame:
@@ -102,7 +102,7 @@ def line_texts(docs: DataFrame, text: str, ident: str) -> DataFrame:
                 pos = (ids[i:j][owner[line[first]]].astype(np.int64) << LINE_BITS) + number[line[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in out])], ["id", "line"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, "id long, line string")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "id long, line string")
 
 
 def block_keys(sim: str) -> F.Column:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, lookup, materialize, table, utf8
+from .common import groups, in_arrow, lookup, materialize, table, utf8
 
 UNIT = 64
 LEAST, MOST, CUT_BITS = 4096, 65536, 14
@@ -80,7 +80,7 @@ def manifests(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Dat
                 lists.append(digests)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lens), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_id", "chunks"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, media_id binary, chunks array<binary>")
+    return in_arrow(docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, n_bytes long, media_id binary, chunks array<binary>")
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -99,7 +99,7 @@ def chunk_rows(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Da
                     a = e
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary()), pa.array(list(out.values()), pa.binary())], ["media_id", "digest", "frame"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "media_id binary, digest binary, frame binary")
+    return in_arrow(docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)), run, "media_id binary, digest binary, frame binary")
 
 
 def rebuilt(lists: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def rebuilt(lists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
                                              ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return lists.mapInArrow(run, "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_arrow(lists, run, "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def store_media(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:

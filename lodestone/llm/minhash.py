@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C1, C2, C3, U64, groups, hash_spans, lookup, lower_bytes, materialize, mix, spans_of_words, table, utf8
+from .common import C1, C2, C3, U64, groups, hash_spans, in_arrow, lookup, lower_bytes, materialize, mix, spans_of_words, table, utf8
 from .linking import groups_of, shared_buckets
 
 BANDS, ROWS = 24, 4
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, k: int, bands: int, rows: int, text: str, iden
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 items = [h[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(o)), pa.array(items, pa.binary())], ["id", "n", "items"])
 
-    return docs.mapInArrow(run, "id long, n long, items binary")
+    return in_arrow(docs, run, "id long, n long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tag: str) -> DataFrame:
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tag: str) ->
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_arrow(both, run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS, text: str = "text", ident: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, hash_spans, materialize, table, utf8
+from .common import groups, hash_spans, in_arrow, materialize, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST_UNIT = 64
@@ -100,7 +100,7 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
                 words = [buf[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], ["word", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(F.col(text)), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -254,7 +254,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, most: int = HOT_WORDS,
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lens), pa.array(per), lists, pa.array(digest), pa.array(same)], ["doc_id", "n_bytes", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return in_arrow(docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, n_bytes long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C3, U64, groups, hash_spans, lookup, materialize, mix, table, utf8
+from .common import C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, table, utf8
 
 LENGTH = 400
 GRAM = 64
@@ -124,7 +124,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, text: str, ident: str)
                     [pa.array(ids[i:j][row].astype(np.int64)), pa.array((start - part[row]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64))],
                     ["doc_id", "start", "count", "gram", "ctx"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, start long, count int, gram long, ctx long")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "doc_id long, start long, count int, gram long, ctx long")
 
 
 def cut_out(docs: DataFrame, length: int) -> DataFrame:
@@ -147,7 +147,7 @@ def cut_out(docs: DataFrame, length: int) -> DataFrame:
                     [pa.array(col["gram"][a:b]), pa.array(col["slice"][a:b]), pa.array(col["hot"][a:b]), pa.array(col["ctx"][a:b]), pa.array(ids[own]), pa.array(col["start"][a:b]), pa.array(col["n"][a:b]), pa.array(pieces, pa.binary())],
                     ["gram", "slice", "hot", "ctx", "doc_id", "start", "n", "piece"])
 
-    return docs.mapInArrow(run, "gram long, slice int, hot int, ctx long, doc_id long, start long, n long, piece binary")
+    return in_arrow(docs, run, "gram long, slice int, hot int, ctx long, doc_id long, start long, n long, piece binary")
 
 
 def judged(pieces: DataFrame, length: int) -> DataFrame:
@@ -212,7 +212,7 @@ def judged(pieces: DataFrame, length: int) -> DataFrame:
         yield from work(gram, hot, ids, starts, n, [r for h in held for r in h[5]])
 
     order = pieces.repartition("gram", "slice").sortWithinPartitions("gram", "slice").select("gram", "slice", "hot", "doc_id", "start", "n", "piece")
-    return order.mapInArrow(run, "kind int, doc_id long, start long, end long, h1 long, h2 long")
+    return in_arrow(order, run, "kind int, doc_id long, start long, end long, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -267,7 +267,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: s
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import C2, U64, groups, hash_spans, lower_bytes, mix, spans_of_words, table, utf8
+from .common import C2, U64, groups, hash_spans, in_arrow, lower_bytes, mix, spans_of_words, table, utf8
 
 BITS = 16
 SAMPLE = 12_000
@@ -143,7 +143,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -
                 yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + k).slice(i, j - i) for k in range(len(names))]], ["doc_id", "feats", *names])
 
     picked = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).join(F.broadcast(chosen), "doc_id")
-    got = picked.mapInArrow(run, "doc_id long, feats array<int>, " + ", ".join(f"{c} int" for c in names)).toArrow().combine_chunks()
+    got = in_arrow(picked, run, "doc_id long, feats array<int>, " + ", ".join(f"{c} int" for c in names)).toArrow().combine_chunks()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     got = got.take(pa.array(order))
     lists = got["feats"].combine_chunks()
@@ -184,7 +184,7 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", columns: lis
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*columns, *names])
 
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
