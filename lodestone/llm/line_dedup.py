@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, groups, hash_spans, in_arrow, lookup, materialize, spans_of_words, table, utf8
+from .common import C1, C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, spans_of_words, table, utf8
 from .linking import shared_buckets, signature_groups
 
 DISTANCE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 SIMILARITY = 0.8
+ANCHORS = 8
+WIDE, FEW = 22, 8  # bits between SimHashes of lines that share an anchor; lines of up to FEW words are not held to it
 LINE_BITS = 24  # a document has fewer than 2**24 lines, an id lies within +-2**39
 
 
@@ -63,8 +65,57 @@ def scan(raw: np.ndarray, offsets: np.ndarray):
     return low, owner, number, ws, we, line, len(starts)
 
 
+def minima(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """n min-hashes of values[start:end] for each span; no span is empty."""
+    at = np.column_stack((starts, ends)).ravel()
+    out = np.empty((len(starts), n), U64)
+    with np.errstate(over="ignore"):
+        for m in range(n):
+            out[:, m] = np.minimum.reduceat(np.append(mix(values ^ mix(np.array([m + 1], U64) * C3)), U64(0)), at)[::2]
+    return out
+
+
+def anchors(low: np.ndarray, ws: np.ndarray, we: np.ndarray, words: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): keys that nearly equal lines share: the least hashes of runs of three words, in lines of up to eight words of
+    runs of two, and in lines of three words or twenty characters of runs of three bytes among lines of about that length."""
+    rows, keys = [], []
+
+    def put(row, key, tag):
+        rows.append(np.repeat(row, key.shape[1]))
+        keys.append(mix(key ^ mix(np.arange(key.shape[1], dtype=U64) + U64(tag))).ravel())
+
+    count = last - first
+    with np.errstate(over="ignore"):
+        for k, fits, tag in ((3, count >= 6, 100), (2, (count >= 2) & (count <= 8), 200)):
+            at = np.flatnonzero(fits)
+            if len(at):
+                run = words[: len(words) - k + 1]
+                for j in range(1, k):
+                    run = mix(run * C1 + words[j : len(words) - k + 1 + j])
+                put(at, minima(run, first[at], last[at] - k + 1, ANCHORS), tag)
+        at = np.flatnonzero(((count <= 3) | (chars < 20)) & (chars >= 5))
+        if len(at):
+            buf = low.tobytes()
+            text = [b" " + b" ".join(buf[a:b] for a, b in zip(ws[i:j].tolist(), we[i:j].tolist(), strict=True)) + b" " for i, j in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+            end = np.cumsum([len(x) for x in text])
+            start = np.concatenate(([0], end[:-1]))
+            raw = np.frombuffer(b"".join(text), np.uint8)
+            grams = hash_spans(raw, np.arange(len(raw) - 2), np.arange(2, len(raw)) + 1)
+            least = minima(grams, start, end - 2, 32)
+            size = np.floor(np.log(chars[at]) / np.log(1.25) + 1e-9).astype(np.int64)
+            for short, key in ((True, least[:, :16]), (False, least[:, ::2] * C1 + least[:, 1::2])):
+                fits = (chars[at] < 14) if short else (chars[at] >= 10)
+                for step in (0, 1):
+                    put(at[fits], mix(key[fits] + mix((size[fits] + step).astype(U64))[:, None]), 300 if short else 400)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
+
+
 def line_prints(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """(pos, digest, sim, chars): one row per line that has a word; pos packs doc_id and line number."""
+    """(pos, digest, sim, words, chars, keys): one row per line that has a word; pos packs doc_id and line number, keys are its anchors."""
 
     def run(batches):
         for batch in batches:
@@ -79,9 +130,15 @@ def line_prints(docs: DataFrame, text: str, ident: str) -> DataFrame:
                 have = line[first] if len(first) else first
                 digest = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first, last, strict=True)]
                 pos = (ids[i:j][owner[have]].astype(np.int64) << LINE_BITS) + number[have]
-                yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(digest, pa.binary()), pa.array(sim[have].astype(np.int64), pa.int64())], ["pos", "digest", "sim"])
+                lead = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
+                size = np.concatenate(([0], np.cumsum(lead[we] - lead[ws])))
+                chars = size[last] - size[first] + last - first - 1
+                row, key = anchors(low, ws, we, words, first, last, chars)
+                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(pos) + 1)).astype(np.int32)), pa.array(key.view(np.int64)))
+                columns = [pa.array(pos, pa.int64()), pa.array(digest, pa.binary()), pa.array(sim[have].astype(np.int64), pa.int64()), pa.array((last - first).astype(np.int32)), pa.array(chars.astype(np.int32)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["pos", "digest", "sim", "words", "chars", "keys"])
 
-    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "pos long, digest binary, sim long")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "pos long, digest binary, sim long, words int, chars int, keys array<long>")
 
 
 def line_texts(docs: DataFrame, text: str, ident: str) -> DataFrame:
@@ -115,18 +172,30 @@ def block_keys(sim: str) -> F.Column:
     return F.array(*[F.lit(n).cast("long") * (1 << 26) + parts[a] * (1 << 13) + parts[b] for n, (a, b) in enumerate(pairs)])
 
 
-def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def may_match(a: str, b: str) -> F.Column:
+    """Whether lines with an anchor in common are worth an edit distance, by their signatures (sim, words, chars)."""
+    a, b = F.col(a), F.col(b)
+    longer = F.greatest(a["chars"], b["chars"])
+    fits = F.least(a["chars"], b["chars"]) >= longer - F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9))
+    return fits & ((F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= WIDE) | (F.least(a["words"], b["words"]) <= FEW))
+
+
+def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", anchored: bool = False) -> DataFrame:
     """(doc_id, line, keeper): lines that repeat, or nearly repeat, a line kept elsewhere; keeper packs its place.
 
     Lines are compared as normalised words. Equal lines form a class, its first occurrence by (doc_id, line) represents it. Classes
-    are linked when their SimHashes differ in at most 3 of 64 bits and the edit distance is at most a fifth of the longer one;
-    of each connected group the first occurrence stays.
+    are linked when the edit distance is at most a fifth of the longer one; of each connected group the first occurrence stays.
+    Distances are taken of classes whose SimHashes differ in at most 3 of 64 bits, or, if `anchored`, of those that share an
+    anchor and that `may_match`: that misses few pairs, where the former alone misses most.
     """
     docs = docs.filter(F.col(ident).isNotNull())
     prints = materialize(line_prints(docs, text, ident), "op4-lines")
-    cls = materialize(prints.groupBy("digest").agg(F.min("pos").alias("id"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("size")), "op4-classes")
+    held = F.min_by(F.struct("words", "chars", "keys"), "pos").alias("held")
+    cls = prints.groupBy("digest").agg(F.min("pos").alias("id"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("size"), held).select("digest", "id", "sim", "size", "held.*")
+    cls = materialize(cls, "op4-classes")
     total = cls.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = shared_buckets(cls.select(F.explode(block_keys("sim")).alias("bucket"), "id"), "op4-buckets")
+    keys = F.array_distinct("keys") if anchored else block_keys("sim")
+    buckets = shared_buckets(cls.select(F.explode(keys).alias("bucket"), "id"), "op4-buckets")
 
     def close(near: DataFrame) -> DataFrame:
         need = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
@@ -141,7 +210,10 @@ def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
         # A threshold confines the distance to a band of its table, and -1 stands for more. Most pairs pass the narrow band.
         return ready.filter(F.expr("levenshtein(la, lb, cast(most div 8 as int)) >= 0 or levenshtein(la, lb, most) >= 0")).select("a", "b")
 
-    comps = signature_groups(buckets, cls.select("id", F.col("sim").alias("sig")), DISTANCE, close, "op4-links")
+    if anchored:
+        comps = signature_groups(buckets, cls.select("id", F.struct("sim", "words", "chars").alias("sig")), DISTANCE, close, "op4-links", may_match)
+    else:
+        comps = signature_groups(buckets, cls.select("id", F.col("sim").alias("sig")), DISTANCE, close, "op4-links")
     known = materialize(cls.select("digest", "id", "size").join(comps, "id", "left").select("digest", "size", F.coalesce("comp", "id").alias("keeper")), "op4-known")
     places = lookup(prints.select("pos", "digest"), known, "digest", "size", total).filter("pos <> keeper")
     return places.select(F.shiftright("pos", LINE_BITS).alias("doc_id"), F.col("pos").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("line"), "keeper")
@@ -161,13 +233,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left). Null texts count as one empty line; lines without a word
     are never removed. Rows that repeat a doc_id count as one document; a null doc_id loses nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_lines(docs, removed_lines(docs))
+    out = drop_lines(docs, removed_lines(docs, anchored=True))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, each with its text less the removed lines and n_chars to match; documents that lose every word are left out."""
-    out = drop_lines(docs, removed_lines(docs))
+    out = drop_lines(docs, removed_lines(docs, anchored=True))
     empty = (F.col("_gone") > 0) & ~F.col("text").rlike(r"[^\s]")
     out = out.filter(~F.coalesce(empty, F.lit(False)))
     if "n_chars" in docs.columns:

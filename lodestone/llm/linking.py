@@ -82,14 +82,16 @@ def groups_of(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tag:
 SMALL = 64
 
 
-def signature_groups(buckets: DataFrame, sigs: DataFrame, distance: int, verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
-    """groups_of for ids with 64-bit signatures (id, sig): only pairs within `distance` bits are verified.
+def signature_groups(buckets: DataFrame, sigs: DataFrame, distance: int, verify: Callable[[DataFrame], DataFrame], tag: str,
+                     near: Callable[[str, str], F.Column] | None = None) -> DataFrame:
+    """groups_of for ids with 64-bit signatures (id, sig): only pairs within `distance` bits are verified, or those whose signatures
+    are `near`, whatever they hold.
 
     Chance puts many ids with distant signatures into one bucket, so hubs would link little. Pairs of buckets of up to SMALL ids
     are compared at once, at most SMALL / 2 a row, and the join itself drops the distant ones. Larger buckets go by hubs
     first, so that a tight group costs a pair per member; what they leave is compared in slices with the rest.
     """
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    near = near or (lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
     size = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), tag)
     total = size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = materialize(lookup(buckets, size, "bucket", "n", total).join(sigs, "id"), tag)

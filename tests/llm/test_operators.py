@@ -247,6 +247,26 @@ def test_lines(docs, empty):
     assert line_dedup.without_repeated_lines(docs).columns == docs.columns
 
 
+def test_lines_by_edit_distance_alone(docs, empty):
+    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs, anchored=True).collect()}
+    place, first = {}, {}
+    for i, t, *_ in corpus():
+        for n, line in enumerate((t or "").split("\n")):
+            w = " ".join(normal_line(line))
+            if w:
+                place[i, n] = w
+                first.setdefault(w, (i, n))
+    names, links = list(first), []
+    for x, a in enumerate(names):
+        for b in names[x + 1 :]:
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= most and edit(a, b) <= most:
+                links.append((first[a], first[b]))
+    comp = find(links, sorted(first.values()))
+    assert got == {p for p, w in place.items() if comp[first[w]] != p}
+    assert line_dedup.removed_lines(empty, anchored=True).count() == 0
+
+
 def test_units(docs, empty):
     out = rows(unit_dedup.cut(docs, unit_dedup.marked(docs)))
     seen = set()
