@@ -1,7 +1,8 @@
-"""Operator 9: SentencePiece encoding and decoding on a relational lattice."""
+"""Operator 9: SentencePiece encoding by the model's byte-pair merges, and decoding; the relational lattice is its best-path form."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import groups, hash_spans, in_arrow, materialize, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST_UNIT = 64
+LONGEST_CACHED = 256
 HOT_WORDS = 300_000
 
 
@@ -49,31 +50,56 @@ def load(path: str = MODEL) -> Pieces:
             texts.append(t)
             ids.append(i)
             scores.append(float(sp.get_score(i)))
+    if any(" " in t.lstrip(" ") or "\n" in t for t in texts):
+        raise ValueError("units_of cuts texts before spaces and at newlines, and a piece of this model reaches across")
     return Pieces(texts, ids, scores, byte0, raw)
 
 
 def units_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each unit: a space opens a unit, a newline is one, and a unit has at most LONGEST_UNIT bytes."""
+    """Start, end and row of each unit: a run of spaces opens one, a newline is one. No piece reaches across, so no merge does."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3
     cut = (raw == 32) | (raw == 10)
+    cut[1:] &= (raw[:-1] != 32) | (raw[1:] != 32)
     cut[1:] |= raw[:-1] == 10
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(cut)
     ends = np.concatenate((starts[1:], [len(raw)]))
-    if (ends - starts > LONGEST_UNIT).any():
-        more = []
-        for s, e in zip(starts[ends - starts > LONGEST_UNIT].tolist(), ends[ends - starts > LONGEST_UNIT].tolist(), strict=True):
-            while e - s > LONGEST_UNIT:
-                s += LONGEST_UNIT
-                while raw[s] & 0xC0 == 0x80:
-                    s -= 1
-                more.append(s)
-        starts = np.sort(np.concatenate((starts, more)).astype(np.int64))
-        ends = np.concatenate((starts[1:], [len(raw)]))
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def merged(word: str, table_: dict[str, tuple[int, float]], byte0: int) -> list[int]:
+    """The ids of a unit by byte-pair merging: of all neighbours that make a piece, those with the best score, the leftmost of
+    equals, become one until none do. A character that is no piece becomes its bytes."""
+    n = len(word)
+    end, back, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []  # of the symbol at i: its end (0: merged away), and the start of the one before
+
+    def offer(a: int, b: int) -> None:
+        hit = table_.get(word[a : end[b]])
+        if hit is not None:
+            heapq.heappush(heap, (-hit[1], a, b, end[b]))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, a, b, e = heapq.heappop(heap)
+        if end[a] != b or end[b] != e:
+            continue
+        end[a], end[b] = e, 0
+        if e < n:
+            back[e] = a
+            offer(a, e)
+        if back[a] >= 0:
+            offer(back[a], a)
+    out, i = [], 0
+    while i < n:
+        part = word[i : end[i]]
+        hit = table_.get(part)
+        out.extend([hit[0]] if hit is not None else [byte0 + x for x in part.encode()])
+        i = end[i]
+    return out
+
+
 def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a space before each that isn't empty, as the model expects."""
     lens = np.diff(offsets)
@@ -136,13 +162,25 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Encoder:
-    """Encodes units on an executor: frequent words from the lattice's table, the others by the same fold, word by word."""
+    """Encodes units on an executor: frequent words from a table, the others by the same merges, unit by unit. `fold` gives a
+    unit's best path by the sum of scores, which the lattice makes as well."""
 
     def __init__(self, keys, offsets, ids, pieces: Pieces):
         self.keys, self.offsets, self.ids, self.byte0, self.unknown = keys, offsets, ids, pieces.byte0, pieces.unknown
         self.table = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores, strict=True)}
         self.longest = max(map(len, pieces.texts))
         self.rare: dict[bytes, list[int]] = {}
+        self.joined: dict[bytes, list[int]] = {}
+
+    def merge(self, raw: bytes) -> list[int]:
+        ids = self.joined.get(raw)
+        if ids is None:
+            ids = merged(raw.decode(), self.table, self.byte0)
+            if len(self.joined) >= 100_000:
+                self.joined.clear()
+            if len(raw) <= LONGEST_CACHED:
+                self.joined[raw] = ids
+        return ids
 
     def fold(self, raw: bytes) -> list[int]:
         if raw in self.rare:
@@ -183,7 +221,7 @@ class Encoder:
         base[known], size[known] = self.offsets[spot[known]], np.diff(self.offsets)[spot[known]]
         fresh: list[int] = []
         for k in np.flatnonzero(~known).tolist():
-            ids = self.fold(buf[starts[at[k]] : ends[at[k]]])
+            ids = self.merge(buf[starts[at[k]] : ends[at[k]]])
             base[k], size[k] = len(self.ids) + len(fresh), len(ids)
             fresh.extend(ids)
         pool = np.concatenate((self.ids, np.array(fresh, np.int32))) if fresh else self.ids
@@ -199,7 +237,7 @@ def decoded(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray
 
 def hot_words(docs: DataFrame, pieces: Pieces, most: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, offsets and ids of the most frequent words, `most` of them at most: those seen at least as often as the least
-    count that this many words reach. The lattice encodes them."""
+    count that this many words reach. Executors merge each once."""
     vocab = materialize(vocabulary(docs, text), "op9-vocabulary")
     tally = vocab.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()  # 10,000 rows at most
     floor, have = None, 0
@@ -210,7 +248,16 @@ def hot_words(docs: DataFrame, pieces: Pieces, most: int, text: str) -> tuple[np
         floor = r.n
     if floor is None:
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-    encoded = lattice(vocab.filter(F.col("n") >= floor).select("word").repartition("word"), pieces).toArrow().combine_chunks()
+    held = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches):
+        coder = Encoder(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), held.value)
+        for batch in batches:
+            ids = [coder.merge(w.encode()) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    frequent = vocab.filter((F.col("n") >= floor) & (F.octet_length("word") <= LONGEST_CACHED)).select("word").repartition("word")
+    encoded = in_arrow(frequent, run, "word string, ids array<int>").toArrow().combine_chunks()
     raw, off = utf8(encoded["word"])
     keys = hash_spans(raw, off[:-1], off[1:]).view(np.int64)
     lists = encoded["ids"].combine_chunks()
@@ -222,8 +269,8 @@ def hot_words(docs: DataFrame, pieces: Pieces, most: int, text: str) -> tuple[np
 def encode_documents(docs: DataFrame, model: str = MODEL, most: int = HOT_WORDS, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, ids, decoded_sha256, round_trip (decoding the ids gives the text's bytes).
 
-    A text is cut into units (a space opens one, a newline is one, none is longer than 64 bytes); each unit becomes its best path
-    through the pieces. Null and empty texts have no ids; any character round-trips, as bytes where the model lacks it. Rows
+    A text is cut into units where no piece reaches across (a run of spaces opens one, a newline is one); each unit is merged as the
+    model merges it, so the ids are those of its own encoder, except that U+2581 is kept apart from the space. Null and empty texts have no ids; any character round-trips, as bytes where the model lacks it. Rows
     that repeat a doc_id each return; other columns play no part.
     """
     pieces = load(model)

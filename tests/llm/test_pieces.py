@@ -57,3 +57,19 @@ def test_round_trip(spark, model):
         whole = out if most == 0 else whole
         assert all(list(out[i].ids) == list(whole[i].ids) for i in out)
     assert pieces.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_ids_are_the_models_own(spark, model):
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(3)
+    words = ["und", "der", "international", "x", "  ", "   ", "\n", "été", "日本語の文章", "=" * 90, "ab12", "Straße", "\t", "☃", "don't", "a" * 130]
+    texts = [t for t in TEXTS if t and "▁" not in t] + ["  two   spaces" + " " * 40 + "end ", "日本語の文章を切る" * 30]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", "", "  "]) for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for most in (0, 1000):
+        got = {r.doc_id: list(r.ids) for r in pieces.encode_documents(docs, most=most).collect()}
+        assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
