@@ -21,8 +21,11 @@ def units(docs: DataFrame, text: str = "text", ident: str = "doc_id", sep: str =
 
 
 def marked(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ident: str = "doc_id", sep: str = "\n") -> DataFrame:
-    """(doc_id, unit): the units to remove: those whose normalised text of min_words words or more came earlier, by (doc_id, unit)."""
+    """(doc_id, unit): the units to remove: those whose normalised text of min_words words or more came earlier, by (doc_id, unit). With min_words = 1 units
+    without a word stay."""
     u = units(docs.filter(F.col(ident).isNotNull()), text, ident, sep).withColumn("norm", normal_unit(F.col("part")))
+    if min_words == 1:
+        u = u.filter("norm <> ''")
     long = u.filter(F.size(F.split("norm", " ")) >= min_words).select("doc_id", "unit", F.unhex(F.md5("norm")).alias("digest"))
     long = materialize(long, "op8-units")
     cls = materialize(long.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "op8-classes")
@@ -50,12 +53,12 @@ def cut(docs: DataFrame, gone: DataFrame, text: str = "text", ident: str = "doc_
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_units, n_removed, removed_bytes, spans ('start-end' of the original's bytes, in order), kept_sha256.
 
-    Units are lines; only those of 10 words or more can be removed. The occurrence that is earliest by (doc_id, line) stays. Null
+    Units are lines; any with a word can be removed. The occurrence that is earliest by (doc_id, line) stays. Null
     text counts as one empty unit; a null doc_id loses nothing; rows that repeat a doc_id count as one document; an empty table
     gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = cut(docs, marked(docs))
+    out = cut(docs, marked(docs, 1))
     size = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         "doc_id", F.col("_units").alias("n_units"), F.col("_gone").alias("n_removed"), size.alias("removed_bytes"),

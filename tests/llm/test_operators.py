@@ -287,6 +287,13 @@ def test_units(docs, empty):
     assert unit_dedup.cut(empty, unit_dedup.marked(empty)).count() == 0
 
 
+def test_units_of_few_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Menu\n\nHome  page\nmenu"), (2, "home page\n\nMENU\nnew"), (3, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(unit_dedup.op8_unit_dedup(spark, str(tmp_path)))
+    assert {i: (r["n_units"], r["n_removed"], r["spans"]) for i, r in got.items()} == {1: (4, 1, "17-21"), 2: (4, 2, "0-9,11-15"), 3: (1, 0, "")}
+
+
 def toxic_table(spark, n=1500):
     rng = random.Random(5)
     docs, labels = [], []
