@@ -1,21 +1,27 @@
 """Shared pieces: scratch tables, skew-safe lookups, connected components, Arrow text buffers."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HEAVY = 4096  # keys that lookup() broadcasts, at most
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, a session in one JVM gets a temporary folder; on a
+    cluster no machine's own folder would do, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,46 +55,65 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, size_col: str, total: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, size_col: str, total: int | None = None) -> DataFrame:
     """left inner join right on key, where right holds each key of left once, with its number of left rows in size_col.
 
-    Keys with more than max(1024, total/1024) rows are broadcast: the sizes add up to total, so at most 1,024 keys can be
-    that large. The others are joined by a shuffle in which no key is large. Both inputs should be written tables.
+    Keys with more than `floor` rows are broadcast. The sizes add up to the total, so there are HEAVY of them at most, whatever the
+    corpus. The others are joined by a shuffle in which no key is large. Both inputs should be written tables.
     """
-    floor = max(1024, total // 1024)
+    if total is None:
+        total = right.agg(F.coalesce(F.sum(size_col), F.lit(0))).first()[0]
+    floor = max(64, total // HEAVY)
     heavy = right.filter(F.col(size_col) > floor)
+    if heavy.isEmpty():
+        return left.join(right, key)
     cold = right.filter(F.col(size_col) <= floor)
     hot = left.join(F.broadcast(heavy), key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(cold, key)
     return hot.unionByName(rest)
 
 
+def small(df: DataFrame, most: int = 1 << 20, weight: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast in a join if it has no more than `most` rows (or a greater sum of weights); a larger one is left to
+    be joined by a shuffle."""
+    size = df.limit(most + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
+
+
+def star_forest(e: DataFrame) -> bool:
+    """Whether each end of an edge (a, b) is either the a of some or the b of one: then a is b's component."""
+    ends = e.select(F.col("b").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("a").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    node = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return node.filter("below > 1 or (below = 1 and above = 1)").isEmpty()
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
     """(id, comp): for every end of an edge (a, b) the smallest id that it is connected to.
 
-    Alternating large-star and small-star rewrites; each round is written to the shared folder, and no group is
-    ever gathered: a node's minimum is a partial aggregate, joined back by `lookup`.
+    Alternating large-star and small-star rewrites until only stars are left; each is written to the shared folder, and no
+    group is ever gathered: a node's minimum is a partial aggregate, joined back by `lookup`.
     """
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), tag)
-    seen = None
     for _ in range(rounds):
-        n, mark = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
-        if (n, mark) == seen or n == 0:
+        if star_forest(e):
             break
-        seen = (n, mark)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
-        large = materialize(lookup(both, low, "u", "deg", 2 * n).filter("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), tag)
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg")), tag)
+        large = materialize(lookup(both, low, "u", "deg").filter("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), tag)
+        discard(low)
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        m = lookup(down, low, "u", "deg", n)
+        low = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")), tag)
+        m = lookup(down, low, "u", "deg")
         small = m.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         new = materialize(small.distinct(), tag)
-        discard(e)
-        discard(large)
+        for old in (e, large, low):
+            discard(old)
         e = new
-    out = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
-    return materialize(out.unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct()), tag)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    out = materialize(e.select(F.col("b").alias("id"), F.col("a").alias("comp")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct()), tag)
+    discard(e)
+    return out
 
 
 # ---- Arrow text buffers -------------------------------------------------------------------------------------------
@@ -183,10 +208,40 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
 
 
+LANE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+LONG_SPAN = 256
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
+    """A 64-bit hash of each span's bytes: eight bytes at a time through a non-linear finaliser, spans over LONG_SPAN bytes by xxHash."""
+    lens = ends - starts
+    h = mix(lens.astype(U64) * C3 + U64(1))
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+    with np.errstate(over="ignore"):
+        live, at, left = np.flatnonzero(lens <= LONG_SPAN), starts, lens
+        if len(live) < len(starts):
+            at, left = starts[live], lens[live]
+        while len(live):
+            v = mix((h if len(live) == len(h) else h[live]) * C1 ^ (lanes[at] & LANE_MASKS[np.minimum(left, 8)]))
+            if len(live) == len(h):
+                h = v
+            else:
+                h[live] = v
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(lens > LONG_SPAN)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(raw))
+        h[long] = mix(np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], U64) ^ h[long])
+    return h
+
+
+def rolling(raw: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each window of `length` bytes. Equal windows have equal values; different ones nearly always differ,
+    though texts can be made for which they don't, so it may choose candidates and must decide nothing."""
     with np.errstate(over="ignore"):
         up, down = powers(len(raw) + 1)
         acc = np.zeros(len(raw) + 1, U64)
         np.cumsum((raw.astype(U64) + U64(1)) * up[:-1], out=acc[1:])
-        return mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(U64) * C3)
+        return mix((acc[length:] - acc[: max(len(raw) - length + 1, 0)]) * down[: max(len(raw) - length + 1, 0)])

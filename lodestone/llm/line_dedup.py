@@ -1,33 +1,26 @@
-"""Operator 4: fuzzy line dedup by SimHash, pigeonhole blocks, edit similarity and components."""
+"""Operator 4: fuzzy line dedup by SimHash, blocks of words, edit similarity and components."""
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import C1, C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, spans_of_words, table, utf8
-from .linking import shared_buckets, signature_groups
+from .common import C1, C3, U64, components, discard, groups, hash_spans, in_arrow, materialize, mix, small, spans_of_words, table, utf8
+from .edits import within
+from .linking import SLICE, alike, dealt, labelled, ordered, unsettled
 
-DISTANCE = 3
-BLOCKS = (13, 13, 13, 13, 12)
 SIMILARITY = 0.8
-ANCHORS = 8
-WIDE, FEW = 22, 8  # bits between SimHashes of lines that share an anchor; lines of up to FEW words are not held to it
-LINE_BITS = 24  # a document has fewer than 2**24 lines, an id lies within +-2**39
-
-
-def normalised(raw: np.ndarray) -> np.ndarray:
-    """A-Z in lower case, digits as 0, ASCII punctuation as space; the length stays. Runs of spaces count as one later."""
-    out = np.arange(256, dtype=np.uint8)
-    out[65:91] += 32
-    out[48:58] = 48
-    for a, b in ((33, 48), (58, 65), (91, 97), (123, 127), (0, 10), (11, 32)):
-        out[a:b] = 32
-    return out[raw]
+BLOCKS = 5  # blocks of three words that stand for a line
+LONG_BLOCK = 14  # blocks of so many bytes come first: shorter ones are common words
+WIDE, SHORT = 24, 60  # bits between SimHashes of lines that share a block; lines under SHORT characters are not held to it
+MANY = 64  # lines of a block beyond which they are compared with leaders first
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[[9, 11, 12, 13]] = 32
 
 
 def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,71 +35,96 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, owner, np.arange(len(owner)) - first[owner]
 
 
-def simhashes(words: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """64-bit SimHash of each line over its word hashes."""
-    out = np.zeros(n, U64)
-    if not len(words):
-        return out
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    sums = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    count = np.diff(np.concatenate((first, [len(line)])))
-    out[line[first]] = np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view(U64).ravel()
-    return out
-
-
-def scan(raw: np.ndarray, offsets: np.ndarray):
-    """Normalised lines: (row, number, words' bytes joined by single spaces) as spans of words, and SimHashes."""
-    low = normalised(raw)
-    starts, ends, owner, number = lines_of(raw, offsets)
-    cover = np.concatenate((starts, [len(raw) + 1]))
-    ws, we, _ = spans_of_words(low, np.concatenate((starts, [len(raw)])))
-    line = np.searchsorted(cover, ws, "right") - 1
-    return low, owner, number, ws, we, line, len(starts)
-
-
-def minima(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """n min-hashes of values[start:end] for each span; no span is empty."""
+def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each line over the hashes of its words; first holds each line's first word, and no line is empty.
+
+    Bits are counted in the bytes of eight 64-bit sums, 255 words at a time."""
+    count = np.diff(np.concatenate((first, [len(words)])))
+    turns = -(-count // 255)
+    base = np.repeat(np.cumsum(turns) - turns, turns)
+    part = np.repeat(first, turns) + (np.arange(turns.sum()) - base) * 255
+    bits = np.empty((len(first), 64), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat((words >> U64(k)) & U64(0x0101010101010101), part).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        bits[:, k::8] = np.add.reduceat(sums, np.cumsum(turns) - turns, axis=0) if len(sums) > len(first) else sums
+    return np.packbits(2 * bits > count[:, None], axis=1, bitorder="little").view(U64).ravel()
+
+
+class Lines:
+    """The lines with a word of some rows: normalised (A-Z in lower case, words joined by single spaces), with their place."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.low = LOWER[raw]
+        starts, ends, owner, number = lines_of(raw, offsets)
+        self.ws, self.we, _ = spans_of_words(self.low, np.concatenate((starts, [len(raw)])) if len(starts) else offsets)
+        line = np.searchsorted(starts, self.ws, "right") - 1
+        self.first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        self.last = np.concatenate((self.first[1:], [len(line)])).astype(np.int64) if len(line) else self.first
+        have = line[self.first]
+        self.owner, self.number = owner[have], number[have]
+        head, tail = (self.ws[self.first], self.we[self.last - 1]) if len(have) else (self.first, self.first)
+        size = np.concatenate(([0], np.cumsum(self.we - self.ws)))
+        length = size[self.last] - size[self.first] + self.last - self.first - 1
+        plain = length == tail - head
+        buf = self.low.tobytes()
+        self.texts = [buf[a:b] if ok else b" ".join(buf[a:b].split()) for a, b, ok in zip(head.tolist(), tail.tolist(), plain.tolist(), strict=True)]
+        more = np.concatenate(([0], np.cumsum((self.low & 0xC0) == 0x80)))
+        self.chars = length - (more[tail] - more[head] if len(have) else 0)
+
+    def digests(self) -> np.ndarray:
+        """128 bits of each line, as two signed longs."""
+        return np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in self.texts]), np.int64).reshape(-1, 2)
+
+
+def least(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, tag: int, late: np.ndarray | None = None) -> np.ndarray:
+    """n min-hashes of values[start:end] for each span, `late` values after all others; no span is empty."""
     at = np.column_stack((starts, ends)).ravel()
     out = np.empty((len(starts), n), U64)
-    with np.errstate(over="ignore"):
-        for m in range(n):
-            out[:, m] = np.minimum.reduceat(np.append(mix(values ^ mix(np.array([m + 1], U64) * C3)), U64(0)), at)[::2]
+    last = np.zeros(1, U64)
+    for m in range(n):
+        turn = mix(np.array([m + 1 + tag], U64) * C3)
+        v = mix(values ^ turn) >> U64(1)
+        if late is not None:
+            v |= late
+        out[:, m] = mix(np.minimum.reduceat(np.concatenate((v, last)), at)[::2] ^ turn)
     return out
 
 
-def anchors(low: np.ndarray, ws: np.ndarray, we: np.ndarray, words: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): keys that nearly equal lines share: the least hashes of runs of three words, in lines of up to eight words of
-    runs of two, and in lines of three words or twenty characters of runs of three bytes among lines of about that length."""
+def blocks(lines: Lines, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), in the order of lines: the blocks that stand for each line. A few edits leave some block of a line as it was, so
+    nearly equal lines share one.
+
+    Of a line's runs of three words the BLOCKS with the least hashes, long ones first; in lines of up to eight words runs of two as
+    well; in lines of three words or twenty characters runs of three bytes among lines of about that length."""
     rows, keys = [], []
+    count = lines.last - lines.first
 
-    def put(row, key, tag):
+    def put(row, key):
         rows.append(np.repeat(row, key.shape[1]))
-        keys.append(mix(key ^ mix(np.arange(key.shape[1], dtype=U64) + U64(tag))).ravel())
+        keys.append(key.ravel())
 
-    count = last - first
     with np.errstate(over="ignore"):
-        for k, fits, tag in ((3, count >= 6, 100), (2, (count >= 2) & (count <= 8), 200)):
+        for k, fits, tag in ((3, count >= 3, 100), (2, (count >= 2) & (count <= 8), 200)):
             at = np.flatnonzero(fits)
             if len(at):
                 run = words[: len(words) - k + 1]
                 for j in range(1, k):
                     run = mix(run * C1 + words[j : len(words) - k + 1 + j])
-                put(at, minima(run, first[at], last[at] - k + 1, ANCHORS), tag)
-        at = np.flatnonzero(((count <= 3) | (chars < 20)) & (chars >= 5))
+                late = (lines.we[k - 1 :] - lines.ws[: len(run)] < LONG_BLOCK).astype(U64) << U64(63)
+                put(at, least(run, lines.first[at], lines.last[at] - k + 1, BLOCKS, tag, late))
+        at = np.flatnonzero((count <= 3) | (lines.chars < 20))
         if len(at):
-            buf = low.tobytes()
-            text = [b" " + b" ".join(buf[a:b] for a, b in zip(ws[i:j].tolist(), we[i:j].tolist(), strict=True)) + b" " for i, j in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+            text = [b"\n " + lines.texts[i] + b" " for i in at.tolist()]
             end = np.cumsum([len(x) for x in text])
             start = np.concatenate(([0], end[:-1]))
             raw = np.frombuffer(b"".join(text), np.uint8)
             grams = hash_spans(raw, np.arange(len(raw) - 2), np.arange(2, len(raw)) + 1)
-            least = minima(grams, start, end - 2, 32)
-            size = np.floor(np.log(chars[at]) / np.log(1.25) + 1e-9).astype(np.int64)
-            for short, key in ((True, least[:, :16]), (False, least[:, ::2] * C1 + least[:, 1::2])):
-                fits = (chars[at] < 14) if short else (chars[at] >= 10)
+            low = least(grams, start, end - 2, 24, 300)
+            size = np.floor(np.log(np.maximum(lines.chars[at], 1)) / np.log(1.25) + 1e-9).astype(np.int64)
+            for short, key in ((True, low[:, :12]), (False, mix(low[:, ::2] * C1 + low[:, 1::2]))):
+                fits = (lines.chars[at] < 14) if short else (lines.chars[at] >= 10)
                 for step in (0, 1):
-                    put(at[fits], mix(key[fits] + mix((size[fits] + step).astype(U64))[:, None]), 300 if short else 400)
+                    put(at[fits], mix(key[fits] ^ mix((size[fits] + step).astype(U64) + U64(7 * short))[:, None]))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     row, key = np.concatenate(rows), np.concatenate(keys)
@@ -114,134 +132,266 @@ def anchors(low: np.ndarray, ws: np.ndarray, we: np.ndarray, words: np.ndarray,
     return row[order], key[order]
 
 
-def line_prints(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """(pos, digest, sim, words, chars, keys): one row per line that has a word; pos packs doc_id and line number, keys are its anchors."""
+def keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    """(doc_id, tkey, text): a row is known by its id and a hash of its text, so rows that repeat an id with other texts stay apart."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(t).alias("tkey"), t.alias("_text"))
+
+
+def line_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, line, d1, d2, sim, chars, keys) of each line with a word: its place, digest, SimHash, length and blocks. A task gives
+    the blocks of equal lines once; the others' are null."""
 
     def run(batches):
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, offsets = utf8(batch.column(2))
+            ids, tkeys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in groups(offsets):
-                low, owner, number, ws, we, line, n = scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                words = hash_spans(low, ws, we)
-                sim = simhashes(words, line, n)
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-                last = np.concatenate((first[1:], [len(line)])).astype(np.int64) if len(first) else first
-                have = line[first] if len(first) else first
-                digest = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first, last, strict=True)]
-                pos = (ids[i:j][owner[have]].astype(np.int64) << LINE_BITS) + number[have]
-                lead = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
-                size = np.concatenate(([0], np.cumsum(lead[we] - lead[ws])))
-                chars = size[last] - size[first] + last - first - 1
-                row, key = anchors(low, ws, we, words, first, last, chars)
-                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(pos) + 1)).astype(np.int32)), pa.array(key.view(np.int64)))
-                columns = [pa.array(pos, pa.int64()), pa.array(digest, pa.binary()), pa.array(sim[have].astype(np.int64), pa.int64()), pa.array((last - first).astype(np.int32)), pa.array(chars.astype(np.int32)), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["pos", "digest", "sim", "words", "chars", "keys"])
-
-    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "pos long, digest binary, sim long, words int, chars int, keys array<long>")
-
-
-def line_texts(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """(id, line): the normalised text of each line that has a word."""
+                lines = Lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(lines.first):
+                    continue
+                words = hash_spans(lines.low, lines.ws, lines.we)
+                digest = lines.digests()
+                d1 = digest[:, 0].copy()
+                kinds, at = np.unique(d1, return_index=True)
+                new = ~np.isin(kinds, seen, assume_unique=True) if len(seen) else np.ones(len(kinds), bool)
+                seen = np.sort(np.concatenate((seen, kinds[new]))) if len(seen) < 1 << 21 else kinds
+                fresh = np.zeros(len(d1), bool)
+                fresh[at[new]] = True
+                row, key = blocks(lines, words)
+                keep = fresh[row]
+                bounds = np.searchsorted(row[keep], np.arange(len(d1) + 1)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[keep].view(np.int64)), mask=pa.array(~fresh))
+                own = lines.owner
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i:j][own]), pa.array(tkeys[i:j][own]), pa.array(lines.number.astype(np.int32)), pa.array(d1), pa.array(digest[:, 1].copy()),
+                     pa.array(simhashes(words, lines.first).view(np.int64)), pa.array(lines.chars.astype(np.int32)), keys],
+                    ["doc_id", "tkey", "line", "d1", "d2", "sim", "chars", "keys"])
+
+    return in_arrow(docs, run, "doc_id long, tkey long, line int, d1 long, d2 long, sim long, chars int, keys array<long>")
+
+
+def line_texts(docs: DataFrame) -> DataFrame:
+    """(id, d2, line): the normalised lines, equal ones once a slice of text; id is the first half of a line's digest."""
 
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, offsets = utf8(batch.column(2))
             for i, j in groups(offsets):
-                low, owner, number, ws, we, line, _ = scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(line):
+                lines = Lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(lines.first):
                     continue
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                last = np.concatenate((first[1:], [len(line)]))
-                buf = low.tobytes()
-                out = [b" ".join(buf[ws[a] : we[b - 1]].split()) for a, b in zip(first, last, strict=True)]
-                pos = (ids[i:j][owner[line[first]]].astype(np.int64) << LINE_BITS) + number[line[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in out])], ["id", "line"])
+                digest = lines.digests()
+                at = np.unique(digest[:, 0], return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(digest[at, 0]), pa.array(digest[at, 1]), pa.array([lines.texts[k] for k in at.tolist()], pa.binary())], ["id", "d2", "line"])
 
-    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "id long, line string")
+    return in_arrow(docs, run, "id long, d2 long, line binary")
 
 
-def block_keys(sim: str) -> F.Column:
-    """Of the 5 blocks of a SimHash at least 2 are equal in any two that differ in 3 bits: a key per pair of blocks."""
-    parts, low = [], 0
-    for width in BLOCKS:
-        parts.append(F.shiftrightunsigned(F.col(sim), low).bitwiseAND(F.lit((1 << width) - 1)))
-        low += width
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    return F.array(*[F.lit(n).cast("long") * (1 << 26) + parts[a] * (1 << 13) + parts[b] for n, (a, b) in enumerate(pairs)])
+def near(sims: np.ndarray, chars: np.ndarray, sim, length) -> np.ndarray:
+    """Whether lines are worth an edit distance from a line: by their lengths, and by SimHash unless one is short."""
+    longer, shorter = np.maximum(chars, length), np.minimum(chars, length)
+    fits = shorter >= longer - np.floor(longer * (1 - SIMILARITY) + 1e-9)
+    return fits & ((np.bitwise_count(sims ^ sim) <= WIDE) | (shorter < SHORT))
 
 
-def may_match(a: str, b: str) -> F.Column:
-    """Whether lines with an anchor in common are worth an edit distance, by their signatures (sim, words, chars)."""
-    a, b = F.col(a), F.col(b)
-    longer = F.greatest(a["chars"], b["chars"])
-    fits = F.least(a["chars"], b["chars"]) >= longer - F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9))
-    return fits & ((F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= WIDE) | (F.least(a["words"], b["words"]) <= FEW))
+def near_pairs(ids: np.ndarray, sims: np.ndarray, chars: np.ndarray, comps: np.ndarray | None = None):
+    """Pairs of rows (i, j), of different components if given, that are near."""
+    for k in range(len(ids) - 1):
+        ok = near(sims[k + 1 :], chars[k + 1 :], sims[k], chars[k])
+        if comps is not None:
+            ok &= comps[k + 1 :] != comps[k]
+        hit = np.flatnonzero(ok) + k + 1
+        if len(hit):
+            yield np.full(len(hit), k), hit
 
 
-def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", anchored: bool = False) -> DataFrame:
-    """(doc_id, line, keeper): lines that repeat, or nearly repeat, a line kept elsewhere; keeper packs its place.
+def crossing(bucket: int, comps: np.ndarray, sigs: np.ndarray, marks: np.ndarray, least: float):
+    """near_pairs for rows whose signature is SimHash and length."""
+    packed = np.ascontiguousarray(sigs)
+    return near_pairs(comps, packed[:, :8].copy().view(U64).ravel(), packed[:, 8:].copy().view(np.int32).ravel().astype(np.int64), comps)
 
-    Lines are compared as normalised words. Equal lines form a class, its first occurrence by (doc_id, line) represents it. Classes
-    are linked when the edit distance is at most a fifth of the longer one; of each connected group the first occurrence stays.
-    Distances are taken of classes whose SimHashes differ in at most 3 of 64 bits, or, if `anchored`, of those that share an
-    anchor and that `may_match`: that misses few pairs, where the former alone misses most.
+
+def met(rows: DataFrame) -> DataFrame:
+    """(a, b, bucket) from rows (bucket, id, sim, chars): near pairs of ids that share a bucket. In buckets of over MANY ids only those of
+    a leader, the first id that is near no earlier leader, with the ids near it; then a row (null, null, bucket) names the bucket."""
+
+    def run(batches):
+        keep = None
+
+        def pairs(bucket, ids, sims, chars):
+            a, b, big = [], [], []
+            size = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            count = np.diff(np.concatenate((size, [len(bucket)])))
+            two = size[count == 2]
+            ok = near(sims[two], chars[two], sims[two + 1], chars[two + 1])
+            a.append(ids[two[ok]])
+            b.append(ids[two[ok] + 1])
+            for s, n in zip(size[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                i, h, c = ids[s : s + n], sims[s : s + n], chars[s : s + n]
+                if n <= MANY:
+                    for x, y in near_pairs(i, h, c):
+                        a.append(i[x])
+                        b.append(i[y])
+                else:
+                    big.append(bucket[s])
+                    left = np.arange(n)
+                    while len(left) > 1:
+                        head, left = left[0], left[1:]
+                        ok = near(h[left], c[left], h[head], c[head])
+                        a.append(np.full(int(ok.sum()), i[head]))
+                        b.append(i[left[ok]])
+                        left = left[~ok]
+            a, b = np.concatenate(a), np.concatenate(b)
+            none = pa.nulls(len(big), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(a), none]).combine_chunks(), pa.chunked_array([pa.array(b), none]).combine_chunks(),
+                                               pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.array(big, np.int64))]).combine_chunks()], ["a", "b", "bucket"])
+
+        def settled(cols):
+            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))  # equal lines of several tasks
+            cols = [c[new] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            return pairs(*[c[shared] for c in cols]) if shared.any() else None
+
+        for batch in batches:
+            cols = [np.asarray(batch.column(k)) for k in range(4)]
+            cols = [cols[0], cols[1], cols[2].view(U64), cols[3].astype(np.int64)]
+            if keep is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(keep, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            keep = [c[cut:] for c in cols]
+            out = settled([c[:cut] for c in cols]) if cut else None
+            if out is not None and len(out):
+                yield out
+        if keep is not None and len(keep[0]):
+            out = settled(keep)
+            if out is not None and len(out):
+                yield out
+
+    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "id").select("bucket", "id", "sim", "chars"), run, "a long, b long, bucket long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose lines are within the edit distance. A line goes to each pair of which it is the second, and once
+    to those of which it is the first."""
+    second = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    both = second.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "la", "lb")
+
+    def run(batches):
+        for batch in batches:
+            la, lb = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = within(la, lb, 1 - SIMILARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return in_arrow(both, run, "a long, b long")
+
+
+def linked_lines(docs: DataFrame, prints: DataFrame) -> DataFrame | None:
+    """(d1, d2, g1, g2): for each line digest that is linked to others, the digest that names its group."""
+    rows = prints.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("d1").alias("id"), "sim", "chars")
+    found = materialize(met(rows), "op4-met")
+    pairs = materialize(ordered(found.filter("bucket is null")), "op4-pairs")
+    big = materialize(found.filter("bucket is not null").select("bucket").distinct(), "op4-big")
+    links, texts = None, None
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        nonlocal links, texts
+        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "op4-ids")
+        lines = line_texts(docs).join(small(ids), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"), F.min_by("line", "d2").alias("line"))
+        own = materialize(lines, "op4-texts")
+        found = materialize(verified(pairs, own), "op4-links")
+        links = found if links is None else links.unionByName(found)
+        texts = own.select("id", "d2") if texts is None else texts.unionByName(own.select("id", "d2")).distinct()
+        return components(links, "op4-comps")
+
+    comps = judge(pairs)
+    if not big.isEmpty():
+        sig = F.concat(F.reverse(F.unhex(F.lpad(F.hex("sim"), 16, "0"))), F.reverse(F.unhex(F.lpad(F.hex(F.col("chars").cast("long")), 8, "0"))))
+        many = rows.join(small(big), "bucket", "left_semi").groupBy("bucket", "id").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"))
+        many = materialize(many.select("bucket", "id", sig.alias("sig")), "op4-many")
+        hubs = many.groupBy("bucket").agg(F.min("id").alias("hub"))
+        left = unsettled(materialize(labelled(many.join(hubs, "bucket"), comps), "op4-left"), "op4-left")
+        cells = materialize(dealt(left), "op4-cells")
+        rest = materialize(alike(cells, 0, crossing).join(pairs, ["a", "b"], "left_anti"), "op4-pairs")
+        discard(cells)
+        if not rest.isEmpty():
+            comps = judge(rest)
+    named = comps.join(texts, "id").select(F.col("id").alias("d1"), "d2", F.col("comp").alias("g1"))
+    heads = texts.select(F.col("id").alias("g1"), F.col("d2").alias("g2"))
+    return materialize(named.join(heads, "g1").select("d1", "d2", "g1", "g2"), "op4-named")
+
+
+def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """(doc_id, tkey, lines): of each document that loses lines their numbers; tkey is xxhash64 of its text.
+
+    Lines are compared in lower case (A-Z), words joined by single spaces; equal ones form a class. Classes that share a block
+    of words, and whose SimHashes are near, are linked when their edit distance is at most a fifth of the longer one. Of each
+    connected group the first occurrence by (doc_id, line) stays, all others go.
+
+    A line without a word is never removed. Rows with a null doc_id lose nothing and count for nothing; rows that repeat
+    a doc_id with another text are documents of their own, those that repeat the text too count as one. Lines may be of
+    any length; an empty table gives an empty result.
     """
-    docs = docs.filter(F.col(ident).isNotNull())
-    prints = materialize(line_prints(docs, text, ident), "op4-lines")
-    held = F.min_by(F.struct("words", "chars", "keys"), "pos").alias("held")
-    cls = prints.groupBy("digest").agg(F.min("pos").alias("id"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("size"), held).select("digest", "id", "sim", "size", "held.*")
-    cls = materialize(cls, "op4-classes")
-    total = cls.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    keys = F.array_distinct("keys") if anchored else block_keys("sim")
-    buckets = shared_buckets(cls.select(F.explode(keys).alias("bucket"), "id"), "op4-buckets")
-
-    def close(near: DataFrame) -> DataFrame:
-        need = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        held = need.withColumn(ident, F.shiftright("id", LINE_BITS))
-        there = docs.select(F.col(ident).cast("long").alias(ident), F.col(text)).join(held.select(ident).distinct(), ident, "left_semi")
-        lines = materialize(line_texts(there, text, ident).join(need, "id", "left_semi"), "op4-texts")
-        both = near.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b")
-        longer = F.greatest(F.char_length("la"), F.char_length("lb"))
-        most = F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-        fits = F.least(F.char_length("la"), F.char_length("lb")) >= longer - most
-        ready = both.filter(fits).withColumn("most", most).repartition("b", "a")
-        # A threshold confines the distance to a band of its table, and -1 stands for more. Most pairs pass the narrow band.
-        return ready.filter(F.expr("levenshtein(la, lb, cast(most div 8 as int)) >= 0 or levenshtein(la, lb, most) >= 0")).select("a", "b")
-
-    if anchored:
-        comps = signature_groups(buckets, cls.select("id", F.struct("sim", "words", "chars").alias("sig")), DISTANCE, close, "op4-links", may_match)
-    else:
-        comps = signature_groups(buckets, cls.select("id", F.col("sim").alias("sig")), DISTANCE, close, "op4-links")
-    known = materialize(cls.select("digest", "id", "size").join(comps, "id", "left").select("digest", "size", F.coalesce("comp", "id").alias("keeper")), "op4-known")
-    places = lookup(prints.select("pos", "digest"), known, "digest", "size", total).filter("pos <> keeper")
-    return places.select(F.shiftright("pos", LINE_BITS).alias("doc_id"), F.col("pos").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("line"), "keeper")
-
-
-def drop_lines(docs: DataFrame, gone: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """docs with _lines, _gone (numbers of lines) and text without the lines in gone (doc_id, line), joined by newlines."""
-    lists = gone.groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(F.col("line") + 1).alias("_at"))
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    left = F.filter(split, lambda x, i: ~F.array_contains(F.col("_at"), (i + 1).cast("long")))
-    out = docs.join(lists, ident, "left")
-    cut = F.when(F.col("_at").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return out.withColumns({"_lines": F.size(split).cast("long"), "_gone": F.coalesce(F.size("_at"), F.lit(0)).cast("long"), text: cut}).drop("_at")
+    docs = keyed(docs.filter(F.col(ident).isNotNull()), text, ident)
+    prints = materialize(line_prints(docs), "op4-lines", "lz4")
+    named = linked_lines(docs, prints)
+    place = F.struct("doc_id", "line", "tkey")
+    tagged = prints.select("doc_id", "line", "tkey", "d1", "d2").join(small(named), ["d1", "d2"], "left")
+    tagged = tagged.select("doc_id", "line", "tkey", F.coalesce("g1", "d1").alias("g1"), F.coalesce("g2", "d2").alias("g2"))
+    keeper = materialize(tagged.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "op4-keepers")
+    gone = tagged.join(keeper, ["g1", "g2"]).filter(place != F.col("first")).select("doc_id", "tkey", "line")
+    gone = materialize(gone, "op4-gone")
+    discard(prints)
+    return materialize(gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("line")).alias("lines")), "op4-lists")
+
+
+def cut(docs: DataFrame, lists: DataFrame, text: str = "text", ident: str = "doc_id", digest: bool = False) -> DataFrame:
+    """docs less the lines in lists, with two more columns, _n_lines and _n_removed (the columns of docs may have any names: those come
+    back as c0, c1, ...). With `digest` the text is replaced by its SHA-256."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at, own = docs.columns.index(text), docs.columns.index(ident)
+    plain = docs.toDF(*names)
+    key = plain.withColumn("_tkey", F.xxhash64(F.coalesce(F.col(names[at]), F.lit(""))))
+    both = key.join(small(lists.toDF("_id", "_k", "_lines"), weight=1 + F.size("_lines")), (F.col(names[own]).cast("long") == F.col("_id")) & (F.col("_tkey") == F.col("_k")), "left").select(*names, "_lines")
+    fields = [T.StructField(f.name, T.StringType() if k == at else f.dataType) for k, f in enumerate(plain.schema.fields)]
+
+    def run(batches):
+        for batch in batches:
+            texts, total, removed = [], [], []
+            for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                parts = (t or "").split("\n")
+                if gone:
+                    drop = set(gone)
+                    t = "\n".join([p for k, p in enumerate(parts) if k not in drop])
+                texts.append(hashlib.sha256((t or "").encode()).hexdigest() if digest else t)
+                total.append(len(parts))
+                removed.append(len(gone or ()))
+            cols = [batch.column(k) for k in range(len(names))]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "_n_lines", "_n_removed"])
+
+    return in_arrow(both, run, T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left). Null texts count as one empty line; lines without a word
-    are never removed. Rows that repeat a doc_id count as one document; a null doc_id loses nothing."""
+    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left). Null texts count as one empty line. What else is removed,
+    and what isn't, is told at removed_lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_lines(docs, removed_lines(docs, anchored=True))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = cut(docs, removed_lines(docs), digest=True)
+    return out.select(F.col("c0").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("c1").alias("kept_sha256"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs, each with its text less the removed lines and n_chars to match; documents that lose every word are left out."""
-    out = drop_lines(docs, removed_lines(docs, anchored=True))
-    empty = (F.col("_gone") > 0) & ~F.col("text").rlike(r"[^\s]")
-    out = out.filter(~F.coalesce(empty, F.lit(False)))
+def without_repeated_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """docs, each with its text less the removed lines and n_chars, if there is such a column, to match; documents that lose every
+    word are left out. Other columns, whatever their names, stay as they are."""
+    out = cut(docs, removed_lines(docs, text, ident), text, ident)
+    body = F.col(f"c{docs.columns.index(text)}")
+    out = out.filter((F.col("_n_removed") == 0) | F.coalesce(body.rlike(r"[^\s]"), F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        c = f"c{docs.columns.index('n_chars')}"
+        out = out.withColumn(c, F.when(F.col("_n_removed") > 0, F.char_length(body).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(c)))
+    return out.drop("_n_lines", "_n_removed").toDF(*docs.columns)

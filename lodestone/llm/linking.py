@@ -1,117 +1,175 @@
-"""From bucket rows to connected groups, without all pairs of a bucket. Used by operators 4 and 7."""
+"""From bucket rows to connected groups: hubs first, then what they leave, screened by signatures. Used by operator 7."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, lookup, materialize
+from .common import components, discard, in_arrow, lookup, materialize, small, utf8
 
-STAR_ROUNDS = 6
+SLICE = 512
+FEW = 12
+HUB_ROUNDS = 6
+WIDE = SLICE * SLICE * 16  # pairs of a bucket above which another hub is tried before all of them are compared
 
 
 def shared_buckets(rows: DataFrame, tag: str) -> DataFrame:
-    """Of rows (bucket, id), those whose bucket holds two ids or more. One row per (bucket, id)."""
-    rows = materialize(rows, tag)
-    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    size = materialize(size, tag)
-    total = size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = materialize(lookup(rows, size, "bucket", "n", total).select("bucket", "id"), tag)
-    discard(rows)
+    """Of rows (bucket, id), those whose bucket holds two rows or more, with n, the bucket's rows, and hub, its smallest id."""
+    size = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1"), tag)
+    out = materialize(lookup(rows, size, "bucket", "n").select("bucket", "id", "n", "hub"), tag)
     discard(size)
     return out
 
 
-def hub_pairs(rows: DataFrame, seed: int, tag: str) -> DataFrame:
-    """Distinct (a, b) with a < b: each bucket's hub with the members of other components. rows: bucket, id, comp."""
-    hubs = rows.groupBy("bucket").agg(
-        F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket", F.lit(seed))).alias("hub"), F.count(F.lit(1)).alias("size"))
-    hubs = materialize(hubs, tag)
-    total = hubs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    pairs = lookup(rows, hubs, "bucket", "size", total).filter(F.col("comp") != F.col("hub.comp"))
-    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
 
-def split_buckets(rows: DataFrame, tag: str) -> tuple[DataFrame, int, int]:
-    """The rows of buckets that still hold several components; their number, and the number of pairs across components."""
-    per = materialize(rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")), tag)
-    mixed = materialize(
-        per.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("comps"),
-                                  (F.pow(F.sum("k"), F.lit(2.0)) - F.sum(F.col("k") * F.col("k"))).alias("cross2")).filter("comps > 1"), tag)
-    total, cross = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cross2"), F.lit(0.0))).first()
-    out = materialize(lookup(rows, mixed.select("bucket", "n"), "bucket", "n", total), tag)
-    return out, total, int(cross / 2)
+def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (id, hub, ...) with comp and hub_comp, the components of both."""
+    own = rows.drop("comp", "hub_comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    hubs = comps.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
+    return own.join(hubs, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
 
 
-def groups_of(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
-    """(id, comp) for ids linked to another: the components of all verified pairs that share a bucket.
-
-    A bucket is a set of ids that may match. Round by round each bucket's hub, another one each time, is verified against
-    the members not yet known to be connected to it, so a tight group of m members costs m pairs, not m*m. When what
-    is left is no more than a few pairs per row, or after STAR_ROUNDS, every remaining pair of a bucket's different
-    components is verified: no pair that shares a bucket is left unjudged unless its ends are connected already. All tables
-    are written to the shared folder; none is gathered.
-    """
-    rows = buckets.withColumn("comp", F.col("id"))
-    links, comps = None, None
-    for seed in range(STAR_ROUNDS + 1):
-        rows, total, cross = split_buckets(rows, tag)
-        if total == 0:
-            break
-        if seed == STAR_ROUNDS or cross <= 4 * total:
-            # A large bucket is cut into slices of about 512 ids; each id meets every slice in a task of its own.
-            slices = F.ceil(F.col("n") / 512).cast("int")
-            left = rows.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-            right = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"))
-            pairs = left.join(right, ["bucket", "slice"]).filter("ca <> cb and a < b").select("a", "b").distinct()
-            last = True
-        else:
-            pairs, last = hub_pairs(rows, seed, tag), False
-        found = verify(materialize(pairs, tag))
-        links = materialize(found if links is None else links.unionByName(found).distinct(), tag)
-        comps = components(links, tag)
-        if last:
-            break
-        rows = rows.drop("comp", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    if comps is None:
-        return buckets.select("id", F.col("id").alias("comp")).limit(0)
-    return comps
-
-
-SMALL = 64
+def unsettled(rows: DataFrame, tag: str) -> DataFrame:
+    """Of labelled rows, those of buckets in which a pair that isn't a hub's may still link two components; n_rest counts the rows
+    outside the hub's component."""
+    held = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("comp") != F.col("hub_comp")).cast("long")).alias("n_rest")).filter("n_rest > 0 and n > 2")
+    held = materialize(held, tag)
+    out = materialize(lookup(rows.drop("n", "n_rest"), held, "bucket", "n"), tag)
+    discard(held)
+    return out
 
 
-def signature_groups(buckets: DataFrame, sigs: DataFrame, distance: int, verify: Callable[[DataFrame], DataFrame], tag: str,
-                     near: Callable[[str, str], F.Column] | None = None) -> DataFrame:
-    """groups_of for ids with 64-bit signatures (id, sig): only pairs within `distance` bits are verified, or those whose signatures
-    are `near`, whatever they hold.
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows with side (0: in the hub's component) and the cells (i, j) in which they meet others.
 
-    Chance puts many ids with distant signatures into one bucket, so hubs would link little. Pairs of buckets of up to SMALL ids
-    are compared at once, at most SMALL / 2 a row, and the join itself drops the distant ones. Larger buckets go by hubs
-    first, so that a tight group costs a pair per member; what they leave is compared in slices with the rest.
+    A bucket of up to SLICE rows is one cell. In a larger one the rows of either side are cut into slices of about SLICE; slice i of the rest
+    meets each slice of the hub's component in a cell of its own, and each slice of the rest from i on. No cell gets more than
+    two slices, and rows that the hub has joined already never meet each other.
     """
-    near = near or (lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
-    size = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), tag)
-    total = size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = materialize(lookup(buckets, size, "bucket", "n", total).join(sigs, "id"), tag)
-    links, comps = None, None
-    large = rows.filter(F.col("n") > SMALL).drop("n").withColumn("comp", F.col("id"))
-    for seed in range(STAR_ROUNDS):
-        large, left_over, cross = split_buckets(large, tag)
-        if cross <= SMALL * left_over:
-            break
-        hubs = materialize(large.groupBy("bucket").agg(F.min_by(F.struct("id", "comp", "sig"), F.xxhash64("id", "bucket", F.lit(seed))).alias("hub"), F.count(F.lit(1)).alias("size")), tag)
-        met = lookup(large, hubs, "bucket", "size", left_over).withColumn("hub_sig", F.col("hub.sig")).filter((F.col("comp") != F.col("hub.comp")) & near("sig", "hub_sig"))
-        found = verify(materialize(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), tag))
-        links = materialize(found if links is None else links.unionByName(found).distinct(), tag)
+    side = (F.col("comp") != F.col("hub_comp")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.when(side == 1, F.col("s_rest")).otherwise(F.col("s_hub"))).cast("int")
+    rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("s_hub") - 1), lambda j: F.struct(F.col("mine").alias("i"), (-1 - j).alias("j"))),
+        F.transform(F.sequence(F.lit(0), F.col("s_rest") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))))
+    hub = F.transform(F.sequence(F.lit(0), F.col("s_rest") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    count = lambda n: F.greatest(F.ceil(n / SLICE).cast("int"), F.lit(1))
+    out = rows.withColumns({"side": side, "s_rest": count(F.col("n_rest")), "s_hub": count(F.col("n") - F.col("n_rest"))}).withColumn("mine", mine)
+    cells = F.when(F.col("n") <= SLICE, one).when(F.col("side") == 1, rest).otherwise(hub)
+    return out.withColumn("cell", F.explode(cells)).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "comp", "sig")
+
+
+def every_pair(bucket: int, comps: np.ndarray, sigs: np.ndarray, marks: np.ndarray, least: float):
+    """Pairs of rows (i, j) of different components whose signatures agree in `least` of their places, and for which this bucket is
+    the first that both are in: marks holds 32 bits of the name of each row's buckets, in an order that all rows share."""
+    need, here = int(np.ceil(least * sigs.shape[1])), np.uint32(bucket & 0xFFFFFFFF)
+    for k in range(len(comps) - 1):
+        other = np.flatnonzero(comps[k + 1 :] != comps[k]) + k + 1
+        near = other[(sigs[other] == sigs[k]).sum(axis=1) >= need]
+        near = near[marks[k][(marks[near] == marks[k]).argmax(axis=1)] == here] if len(near) else near
+        if len(near):
+            yield np.full(len(near), k), near
+
+
+def leader_pairs(bucket: int, comps: np.ndarray, sigs: np.ndarray, marks: np.ndarray, least: float):
+    """Pairs of a leader with the rows that agree with it in `need` places. Leaders come in the order of their agreement with the cell's
+    commonest values, so the text that others are copies of comes early; who has a leader leads none."""
+    need = int(np.ceil(least * sigs.shape[1]))
+    usual = np.array([np.bincount(c, minlength=256).argmax() for c in sigs.T], np.uint8)
+    left = np.argsort(-(sigs == usual).sum(axis=1), kind="stable")
+    while len(left) > 1:
+        head, left = left[0], left[1:]
+        near = (sigs[left] == sigs[head]).sum(axis=1) >= need
+        found = left[near & (comps[left] != comps[head])]
+        if len(found):
+            yield np.full(len(found), head), found
+        left = left[~near]
+
+
+def alike(rows: DataFrame, least: float, choose: Callable, marked: int = 0) -> DataFrame:
+    """Distinct pairs (a, b), of different components, whose signatures agree in `least` of their bytes: in each cell those that `choose` names. A
+    signature's last `marked` numbers of 32 bits are no part of the estimate."""
+
+    def pairs(bucket, ids, comps, sigs):
+        order = np.argsort(ids, kind="stable")
+        ids, comps, sigs = ids[order], comps[order], sigs[order]
+        size = sigs.shape[1] - 4 * marked
+        for a, b in choose(int(bucket), comps, sigs[:, :size], np.ascontiguousarray(sigs[:, size:]).view(np.uint32), least):
+            yield ids[a], ids[b]
+
+    def run(batches):
+        held, key = [], None
+
+        def flush():
+            got = list(pairs(key[0], np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.column_stack([np.asarray(batch.column(k), np.int64) for k in range(3)])
+            ids, comps = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            sigs = utf8(batch.column(5))[0].reshape(len(batch), -1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True):
+                if held and key != tuple(keys[a]):
+                    yield from flush()
+                    held = []
+                key = tuple(keys[a])
+                held.append((ids[a:b], comps[a:b], sigs[a:b]))
+        if held:
+            yield from flush()
+
+    cells = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ordered(in_arrow(cells, run, "a long, b long"))
+
+
+def groups_of(buckets: DataFrame, sigs: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, tag: str, given: DataFrame | None = None, marked: int = 0) -> DataFrame:
+    """(id, comp) for the ids that verified links, or the links `given` as (a, b), connect to others.
+
+    buckets has rows (bucket, id): ids of one bucket may match. sigs has (id, sig): fixed-length bytes whose share of equal places
+    estimates a pair's similarity, and after them `marked` little-endian numbers of 32 bits, the low bits of the id's buckets' names. Each bucket's smallest id, its hub, is verified against all others of the bucket; as
+    neighbours share low ids, one pair serves many buckets. Buckets that still hold several components, and many rows, try other hubs. Then
+    rows that their signatures show near a leader of the bucket are verified with it, and at last the pairs of what is still apart,
+    as far as signatures agree in `least` of their places. A tight group of m members so costs a few pairs a member. Each pair that shares a bucket is
+    judged by its hub, by its signatures or by `verify`, unless its ends are connected. All tables are written to the shared
+    folder; none is gathered.
+    """
+    rows = shared_buckets(buckets, tag)
+    links, judged, comps, hubs_of = given, None, None if given is None else components(given, tag), rows
+
+    def judge(pairs: DataFrame) -> None:
+        nonlocal links, judged, comps
+        pairs = materialize(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), tag)
+        found = verify(pairs)
+        judged = pairs if judged is None else materialize(judged.unionByName(pairs), tag)
+        links = materialize(found if links is None else links.unionByName(found), tag)
         comps = components(links, tag)
-        large = large.drop("comp", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    slices = F.ceil(F.col("n") / 512).cast("int")
-    left = rows.select("bucket", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    right = rows.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"))
-    meet = (left["bucket"] == right["bucket"]) & (left["slice"] == right["slice"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb")
-    found = verify(materialize(left.join(right, meet).select("a", "b").distinct(), tag))
-    links = materialize(found if links is None else links.unionByName(found).distinct(), tag)
-    return components(links, tag)
+
+    for turn in range(HUB_ROUNDS):
+        judge(ordered(hubs_of.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+        rows = unsettled(materialize(labelled(rows, comps), tag), tag)
+        wide = rows.filter(F.col("n") * F.col("n_rest") > WIDE)
+        if wide.isEmpty():
+            break
+        again = materialize(wide.filter("comp <> hub_comp").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("new_hub")), tag)
+        rows = materialize(rows.join(again, "bucket", "left").withColumn("hub", F.coalesce("new_hub", "hub")).drop("new_hub"), tag)
+        hubs_of = rows.join(again, "bucket", "left_semi")
+    ids = materialize(rows.select("id").distinct(), tag)
+    sigs = materialize(sigs.join(small(ids), "id", "left_semi"), tag)
+    for choose in (leader_pairs, every_pair):
+        if choose is leader_pairs:  # few rows need no leader, and no marks either
+            met = dealt(rows.filter(F.col("n") > FEW).join(sigs.withColumn("sig", F.expr(f"substring(sig, 1, length(sig) - {4 * marked})")), "id"))
+        else:
+            met = dealt(rows.join(sigs, "id"))
+        judge(materialize(alike(met, least, choose, marked if choose is every_pair else 0), tag))
+        if choose is leader_pairs:
+            rows = unsettled(materialize(labelled(rows, comps), tag), tag)
+    return comps

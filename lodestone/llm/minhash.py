@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C1, C2, C3, U64, groups, hash_spans, in_arrow, lookup, lower_bytes, materialize, mix, spans_of_words, table, utf8
-from .linking import groups_of, shared_buckets
+from .common import C1, C2, C3, U64, groups, hash_spans, in_arrow, lookup, lower_bytes, materialize, mix, small, spans_of_words, table, utf8
+from .linking import groups_of
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 8
+MARGIN = 4.0  # standard errors below the threshold at which a pair's estimate rules it out
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,16 +27,16 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     with np.errstate(over="ignore"):
         full = np.zeros(max(len(words) - k + 1, 0), U64)
         for i in range(k):
-            full = full * C1 + words[i : i + len(full)]
+            full = mix(full * C1 + words[i : i + len(full)] + C3)
         place = np.arange(len(full))
-        full, owner = mix(full + C3)[ok := place + k <= first[rows[: len(full)] + 1]], rows[: len(full)][ok]
+        full, owner = full[ok := place + k <= first[rows[: len(full)] + 1]], rows[: len(full)][ok]
         short = np.flatnonzero((count > 0) & (count < k))
         few = np.zeros(len(short), U64)
         for j, r in enumerate(short):
             acc = U64(count[r])
             for w in words[first[r] : first[r + 1]]:
-                acc = acc * C2 + w
-            few[j] = mix(np.array([acc], U64))[0]
+                acc = mix(np.array([acc * C2 + w], U64))[0]
+            few[j] = acc
     owner, hashes = np.concatenate((owner, short)), np.concatenate((full, few))
     order = np.argsort(owner, kind="stable")
     hashes, bounds = hashes[order], np.searchsorted(owner[order], np.arange(n + 1))
@@ -96,7 +97,8 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, bands: int, rows: int, text: str, ident: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): the set's size and digest, and its band keys; empty sets have no digest."""
+    """(doc_id, n_shingles, digest, bands, sig): the set's size and digest, its band keys, a byte of each signature value and then four of
+    each band key; empty sets have no digest."""
 
     def run(batches):
         for batch in batches:
@@ -105,12 +107,15 @@ def fingerprints(docs: DataFrame, k: int, bands: int, rows: int, text: str, iden
                 part = offsets[i : j + 1] - offsets[i]
                 h, o = shingle_sets(raw[offsets[i] : offsets[j]], part, k)
                 size = np.diff(o)
-                keys = band_keys(super_minhash(h, o, bands * rows), bands, rows)
+                sig = super_minhash(h, o, bands * rows)
+                keys = band_keys(sig, bands, rows)
                 digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(o[:-1], o[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
+                short = np.column_stack(((mix(sig) >> U64(56)).astype(np.uint8), keys.astype("<i8").view(np.uint8).reshape(len(keys), bands, 8)[:, :, :4].reshape(len(keys), -1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(digest, pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                                                 ["doc_id", "n_shingles", "digest", "bands", "sig"])
 
-    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -158,27 +163,41 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tag: str) ->
 def near_groups(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets form a class and only its smallest doc_id goes on, so a group of copies counts once. With 24 bands
-    of 4 rows a pair at similarity 0.85 shares a band but for 2 in 10**8 (0.8: 3 in 10**6). Links are confirmed on full sets. Null and
-    empty texts and texts without words are alone, whatever their number. doc_id is the key: rows that repeat it share a
-    component. Rows with a null doc_id come back with a null component_id and kept = true. Other columns are ignored; an
+    Documents with equal sets form a class and only its smallest doc_id goes on, so a group of copies counts once. With 40 bands of 8
+    rows a pair at similarity 0.85 shares a band but for 3 in 10**6 (at 0.8: 6 in 10**4; at 0.5 one in seven shares one). A pair
+    whose signatures agree in fewer places than MARGIN standard errors below the threshold is ruled out unless it is a hub's (3 in
+    10**5 of the pairs at the threshold). Links are confirmed on full sets.
+
+    Null and empty texts and texts without words are alone, whatever their number. doc_id names a document: rows that repeat it with
+    different texts are linked by either text and share a component. Rows with a null doc_id come back with a null
+    component_id and kept = true. Very long texts are one set like any other. Other columns, whatever their names, are ignored; an
     empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, k, bands, rows, text, ident), "op7-prints")
     named = prints.filter("doc_id is not null and digest is not null")
     cls = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "op7-classes")
-    total = cls.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    member = materialize(lookup(named.select("doc_id", "n_shingles", "digest"), cls, "digest", "size", total).select("doc_id", "n_shingles", "rep"), "op7-members")
+    member = materialize(lookup(named.select("doc_id", "n_shingles", "digest"), cls, "digest", "size").select("doc_id", "n_shingles", "rep"), "op7-members")
     reps = named.join(cls.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    buckets = shared_buckets(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")).distinct(), "op7-buckets")
-    ids = buckets.select("id").distinct()
-    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text)).join(ids, "id", "left_semi")
-    sets = materialize(sets_of(texts, k), "op7-sets", "none")
-    comps = groups_of(buckets, lambda pairs: verified(pairs, sets, num, den, "op7-pairs"), "op7-links")
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), "bands", "sig"), "op7-reps", "none")
+    buckets = reps.select(F.explode("bands").alias("bucket"), "id")
+    several = materialize(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a"), "op7-several")
+    given = None if several.isEmpty() else materialize(member.join(several, "doc_id").select("a", F.col("rep").alias("b")).distinct(), "op7-given")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "op7-ids")
+        texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("_text")).join(small(ids), "id", "left_semi")
+        return verified(pairs, materialize(sets_of(texts, k), "op7-sets", "none"), num, den, "op7-degree")
+
+    t = num / den
+    least = max(0.0, t - MARGIN * (t * (1 - t) / (bands * rows)) ** 0.5)
+    comps = groups_of(buckets, reps.select("id", "sig"), verify, least, "op7-links", given, bands)
     size = member.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     known = materialize(size.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "size", F.coalesce("comp", "rep").alias("component_id")), "op7-known")
-    linked = lookup(member, known, "rep", "size", total).select("doc_id", "n_shingles", "component_id")
+    linked = lookup(member, known, "rep", "size").select("doc_id", "n_shingles", "component_id")
     alone = prints.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if not alone.join(member, "doc_id", "left_semi").isEmpty():  # a row without words whose doc_id has a row with some
+        worded = materialize(linked.select("doc_id", F.col("component_id").alias("c")).distinct(), "op7-worded")
+        alone = alone.join(worded, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

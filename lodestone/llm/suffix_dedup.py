@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, table, utf8
+from .common import C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, rolling, table, utf8
 
 LENGTH = 400
 GRAM = 64
@@ -27,7 +27,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if not (lens >= length).any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
     at = np.arange(len(raw) - gram + 1)
-    g = hash_spans(raw, at, at + gram)
+    g = rolling(raw, gram)
     packed = (g & ~U64((1 << 28) - 1)) | at.astype(U64)
     n = -(-len(packed) // width) * width
     blocks = np.full(n, U64(0xFFFFFFFFFFFFFFFF), U64)

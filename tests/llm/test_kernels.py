@@ -107,7 +107,21 @@ def test_lines_and_simhash():
     s, e, own, num = line_dedup.lines_of(raw, off)
     assert [(int(o), int(n), raw[a:b].tobytes()) for a, b, o, n in zip(s, e, own, num)] == [
         (0, 0, b"a b"), (0, 1, b""), (0, 2, b"c"), (1, 0, b""), (2, 0, b""), (3, 0, b"x"), (3, 1, b"")]
-    w = np.random.default_rng(1).integers(0, 1 << 63, 9, dtype=np.uint64)
-    one = line_dedup.simhashes(w, np.zeros(9, np.int64), 1)[0]
-    want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in w) > 9)
-    assert int(one) == want
+    rng = np.random.default_rng(1)
+    sizes = [1, 9, 600, 255, 256]
+    w = rng.integers(0, 1 << 64, sum(sizes), dtype=np.uint64)
+    first = np.cumsum([0, *sizes[:-1]])
+    got = line_dedup.simhashes(w, first)
+    for a, n, h in zip(first, sizes, got):
+        assert int(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in w[a : a + n]) > n)
+
+
+def test_hashes_are_not_linear():
+    """Two different texts that every polynomial modulo a power of two confuses."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    for x, y in ((a, b), (a[:128] * 2, b[:128] * 2)):
+        raw, off = common.utf8(pa.array([x, y]))
+        h = common.hash_spans(raw, off[:-1], off[1:])
+        assert h[0] != h[1]

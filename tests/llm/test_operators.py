@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, line_dedup, media, minhash, mixing, sharding, suffix_dedup, toxicity, unit_dedup
 
@@ -200,8 +201,7 @@ def test_near_dedup_keeps_one_of_each_group(docs):
 
 
 def normal_line(line):
-    t = re.sub(r"[0-9]", "0", lower(line))
-    return " ".join(re.sub(r"[\x00-\x1f!-/:-@\[-`{-~]", " ", t).split(" ")).split()
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", lower(line)))
 
 
 def edit(a, b):
@@ -214,57 +214,68 @@ def edit(a, b):
     return last[-1]
 
 
-def test_lines(docs, empty):
-    import numpy as np
-    import pyarrow as pa
-
-    from lodestone.llm import common
-
-    got = line_dedup.removed_lines(docs).collect()
-    place, first, sim = {}, {}, {}
-    for i, t, *_ in corpus():
-        for n, line in enumerate((t or "").split("\n")):
-            w = " ".join(normal_line(line))
-            if w:
-                place[i, n] = w
-                first.setdefault(w, (i, n))
-    for w in first:
-        raw, off = common.utf8(pa.array([w]))
-        s, e, _ = common.spans_of_words(raw, off)
-        sim[w] = int(line_dedup.simhashes(common.hash_spans(raw, s, e), np.zeros(len(s), np.int64), 1)[0])
-    names = list(first)
-    links = [(first[a], first[b]) for x, a in enumerate(names) for b in names[x + 1 :] if bin(sim[a] ^ sim[b]).count("1") <= 3 and edit(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)]
-    assert links
-    comp = find(links, sorted(first.values()))
-    want = {p for p, w in place.items() if comp[first[w]] != p}
-    assert {(r.doc_id, r.line) for r in got} == want
-    out = line_dedup.drop_lines(docs, line_dedup.removed_lines(docs))
-    texts = {r.doc_id: r.text for r in out.collect()}
-    for i, t, *_ in corpus():
-        left = [x for n, x in enumerate((t or "").split("\n")) if (i, n) not in want]
-        assert (texts[i] or "") == "\n".join(left)
-    assert line_dedup.removed_lines(empty).count() == 0
-    assert line_dedup.without_repeated_lines(docs).columns == docs.columns
-
-
-def test_lines_by_edit_distance_alone(docs, empty):
-    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs, anchored=True).collect()}
+def brute_lines(table):
+    """Places of lines to remove, by edit distance alone."""
     place, first = {}, {}
-    for i, t, *_ in corpus():
+    for i, t in sorted((x for x in table if x[0] is not None), key=lambda x: (x[0], x[1] or "")):
         for n, line in enumerate((t or "").split("\n")):
-            w = " ".join(normal_line(line))
+            w = normal_line(line)
             if w:
-                place[i, n] = w
-                first.setdefault(w, (i, n))
+                place[i, n, t] = w
+    for p in sorted(place, key=lambda p: p[:2]):
+        first.setdefault(place[p], p)
     names, links = list(first), []
     for x, a in enumerate(names):
         for b in names[x + 1 :]:
             most = int(max(len(a), len(b)) * 0.2 + 1e-9)
             if abs(len(a) - len(b)) <= most and edit(a, b) <= most:
-                links.append((first[a], first[b]))
-    comp = find(links, sorted(first.values()))
-    assert got == {p for p, w in place.items() if comp[first[w]] != p}
-    assert line_dedup.removed_lines(empty, anchored=True).count() == 0
+                links.append((names.index(a), names.index(b)))
+    comp = find(links, range(len(names)))
+    keeper = {}
+    for p in sorted(place, key=lambda p: p[:2]):
+        keeper.setdefault(comp[names.index(place[p])], p)
+    return {p for p, w in place.items() if keeper[comp[names.index(w)]] != p}
+
+
+def check_lines(table, docs):
+    want = brute_lines(table)
+    got = line_dedup.cut(docs.select("doc_id", "text"), line_dedup.removed_lines(docs)).collect()
+    assert len(got) == len(table)
+    left = sorted((str(i), "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n, t) not in want)) for i, t in table)
+    assert sorted((str(r.c0), r.c1 or "") for r in got) == left
+    assert sum(r._n_removed for r in got) == sum((i, n, t) in want for i, t in table for n in range(len((t or "").split("\n"))))
+    return want
+
+
+def test_lines(docs, empty, monkeypatch):
+    table = [(i, t) for i, t, *_ in corpus()]
+    want = check_lines(table, docs)
+    assert len(want) > 60
+    monkeypatch.setattr(line_dedup, "MANY", 3)
+    assert check_lines(table, docs) == want
+    assert line_dedup.removed_lines(empty).count() == 0
+    assert line_dedup.without_repeated_lines(empty).count() == 0
+
+
+def test_lines_of_odd_tables(spark):
+    rng = random.Random(9)
+    long = prose(rng, 6000)
+    near = long.split()
+    near[1000] += "x"
+    a = prose(rng, 20)
+    table = [(0, a), (1, a), (1, a + "\nalone in its row"), (1, None), (None, a), (1 << 40, a.upper()), (-3, "12 345\nTotal: 99"), (5, "87 912\nTotal, 13"),
+             (6, long), (7, " ".join(near)), (8, "Home page\n\nnext"), (9, "home  page\n"), (10, "menu"), (11, "menus"), (1, a)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    check_lines([t for t in table if t != (1, a)], docs.filter("doc_id is null or doc_id <> 1 or text is null or text like '%alone%'"))
+    got = line_dedup.cut(docs, line_dedup.removed_lines(docs)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.c0, []).append(r.c1)
+    assert by[-3] == ["12 345\nTotal: 99"] and by[5] == ["87 912\nTotal, 13"] and by[7] == [""] and by[None] == [a] and by[1 << 40] == [""]
+    assert sorted(map(str, by[1])) == sorted(["", "", "alone in its row", "None"])
+    clash = docs.withColumns({"_lines": F.lit(7), "_gone": F.lit("x"), "keys": F.lit(1)})
+    kept = line_dedup.without_repeated_lines(clash)
+    assert kept.columns == clash.columns and all(r._lines == 7 and r._gone == "x" for r in kept.collect())
 
 
 def test_units(docs, empty):
