@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import C2, U64, groups, hash_spans, in_arrow, lower_bytes, mix, spans_of_words, table, utf8
+from .common import C2, U64, groups, hash_spans, in_arrow, lower_bytes, materialize, mix, spans_of_words, table, utf8
 
 BITS = 16
 SAMPLE = 12_000
 FOLDS = 3
 THRESHOLD = 0.6
 PREFIX = 5
-SIGMA = 4.0
+SIGMAS = (4.0, 3.0, 2.0)  # screens to choose from, in standard errors; the last one also limits what comes to the driver
 #: The chain, in order: each link's labels come from the labels table. The last one decides.
 CHAIN = ("low_quality", "toxic")
 
@@ -69,20 +69,20 @@ def present(rows: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key >> (BITS + 2), key & ((1 << (BITS + 2)) - 1)
 
 
-def screened(rows, feats, y) -> np.ndarray:
-    """For each feature 1 if its log odds differ from the class balance by SIGMA standard errors, else 0."""
+def screened(rows, feats, y, sigma: float) -> np.ndarray:
+    """Whether each feature's log odds differ from the class balance by sigma standard errors."""
     size, pos = 2 << BITS, max(int(y.sum()), 1)
     neg = max(len(y) - pos, 1)
-    a = np.bincount(feats, weights=(y[rows] == 1), minlength=size) + 0.5
-    b = np.bincount(feats, weights=(y[rows] == 0), minlength=size) + 0.5
-    z = (np.log(a / (pos + 1)) - np.log(b / (neg + 1))) / np.sqrt(1 / a + 1 / b)
-    return (np.abs(z) > SIGMA).astype(float)
+    hot = y[rows] == 1
+    a = np.bincount(feats[hot], minlength=size) + 0.5
+    b = np.bincount(feats[~hot], minlength=size) + 0.5
+    return np.abs(np.log(a / (pos + 1)) - np.log(b / (neg + 1))) / np.sqrt(1 / a + 1 / b) > sigma
 
 
-def fit_link(rows, feats, dense, y, steps: int = 250, rate: float = 0.05, l2: float = 1e-4):
+def fit_link(rows, feats, dense, y, sigma: float, steps: int = 200, rate: float = 0.05, l2: float = 1e-4):
     """Logistic regression on the screened features and the dense columns, by full-batch Adam, the classes balanced."""
     size, (n, k) = 2 << BITS, dense.shape
-    keep = screened(rows, feats, y) > 0
+    keep = screened(rows, feats, y, sigma)
     names = np.flatnonzero(keep)
     at = keep[feats]
     rows, feats = rows[at], np.searchsorted(names, feats[at])
@@ -102,35 +102,44 @@ def fit_link(rows, feats, dense, y, steps: int = 250, rate: float = 0.05, l2: fl
     return full, w[m0 : m0 + k], w[-1]
 
 
-def fit(rows: np.ndarray, feats: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> Chain:
-    """Fit the chain. While later links train, an earlier link's probability for a row comes from a model that hasn't seen
-    the row (out of fold), as it will at prediction."""
+def out_of_fold(rows, feats, dense, y, sigma: float, folds: int) -> np.ndarray:
+    """Each row's probability by a model that hasn't seen it."""
+    n = len(y)
+    fold, out = np.arange(n) % folds, np.zeros(n)
+    for f in range(folds):
+        train = fold != f
+        at, new = train[rows], np.cumsum(train) - 1
+        w, x, b = fit_link(new[rows[at]], feats[at], dense[train], y[train], sigma)
+        z = np.bincount(rows, weights=w[feats], minlength=n) + dense @ x + b
+        out[~train] = 1 / (1 + np.exp(-np.clip(z[~train], -40, 40)))
+    return out
+
+
+def fit(rows: np.ndarray, feats: np.ndarray, labels: np.ndarray, folds: int = FOLDS, sigmas: tuple[float, ...] = SIGMAS) -> Chain:
+    """Fit the chain. Later links train on earlier links' out-of-fold probabilities, which have not seen the row, as at prediction.
+    Of the screens the one is taken with which the last link's out-of-fold loss, the classes balanced, is least: few labels
+    need a loose one."""
     n, links = labels.shape
     rows, feats = present(rows, feats)
-    fold = np.arange(n) % folds
-    earlier, weights, extra, bias = np.zeros((n, 0)), [], [], []
-    for i in range(links):
-        y = labels[:, i]
-        w, x, b = fit_link(rows, feats, earlier, y)
-        weights.append(w)
-        extra.append(x)
-        bias.append(b)
-        if i + 1 < links:
-            out = np.zeros(n)
-            for f in range(folds):
-                train = fold != f
-                at, new = train[rows], np.cumsum(train) - 1
-                w, x, b = fit_link(new[rows[at]], feats[at], earlier[train], y[train])
-                held = ~train
-                z = np.bincount(rows, weights=w[feats], minlength=n) + earlier @ x + b
-                out[held] = 1 / (1 + np.exp(-np.clip(z[held], -40, 40)))
-            earlier = np.column_stack((earlier, out))
-    return Chain(np.array(weights), extra, np.array(bias))
-
-
-def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, features and labels of the chosen documents. Executors make the features, each once for a document; at most SAMPLE
-    rows come to the driver."""
+    best = None
+    for sigma in sigmas:
+        earlier = np.zeros((n, 0))
+        for i in range(links):
+            p = out_of_fold(rows, feats, earlier, labels[:, i], sigma, folds)
+            earlier = np.column_stack((earlier, p))
+        y = labels[:, -1]
+        loss = -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1))
+        loss = loss[y == 1].mean() + loss[y == 0].mean()
+        if best is None or loss < best[0]:
+            best = loss, sigma, earlier
+    _, sigma, earlier = best
+    links_ = [fit_link(rows, feats, earlier[:, :i], labels[:, i], sigma) for i in range(links)]
+    return Chain(np.array([w for w, _, _ in links_]), [x for _, x, _ in links_], np.array([b for _, _, b in links_]))
+
+
+def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -> DataFrame:
+    """(doc_id, feats, labels of the chain) of the chosen documents, written out: as many rows as the sample has at most. Of rows
+    that repeat a doc_id each is one."""
     names = list(CHAIN)
 
     def run(batches):
@@ -142,13 +151,46 @@ def sample_features(docs: DataFrame, chosen: DataFrame, text: str, ident: str) -
                 cols = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(feats.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + k).slice(i, j - i) for k in range(len(names))]], ["doc_id", "feats", *names])
 
-    picked = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).join(F.broadcast(chosen), "doc_id")
-    got = in_arrow(picked, run, "doc_id long, feats array<int>, " + ", ".join(f"{c} int" for c in names)).toArrow().combine_chunks()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    got = got.take(pa.array(order))
+    picked = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", *names)
+    return materialize(in_arrow(picked, run, "doc_id long, feats array<int>, " + ", ".join(f"{c} int" for c in names)), "op10-sample")
+
+
+def telling(sample: DataFrame, sigma: float) -> np.ndarray:
+    """The features whose odds in any label of the chain differ from the class balance by sigma standard errors. Spark counts them;
+    2 << BITS numbers come to the driver at most."""
+    total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHAIN]).first()
+    per = sample.select(F.explode("feats").alias("feat"), *CHAIN).groupBy("feat").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHAIN])
+    tests = []
+    for c in CHAIN:
+        pos = max(int(total[c] or 0), 1)
+        neg = max(total.n - pos, 1)
+        a, b = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
+        tests.append(F.abs(F.ln(a / (pos + 1)) - F.ln(b / (neg + 1))) / F.sqrt(1 / a + 1 / b) > sigma)
+    test = tests[0]
+    for t in tests[1:]:
+        test = test | t
+    return np.sort(np.asarray(per.filter(test).select("feat").toArrow()["feat"].to_numpy()))
+
+
+def gathered(sample: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, features and labels of the sample, its features limited to `kept`; rows in the order of doc_id and features."""
+    held, names = sample.sparkSession.sparkContext.broadcast(kept), list(CHAIN)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            off = np.asarray(lists.offsets).astype(np.int64)
+            flat = lists.values.to_numpy()[off[0] : off[-1]]
+            own = np.repeat(np.arange(len(batch)), np.diff(off))
+            spot = np.minimum(np.searchsorted(held.value, flat), max(len(held.value) - 1, 0))
+            ok = held.value[spot] == flat if len(held.value) else np.zeros(len(flat), bool)
+            bounds = np.searchsorted(own[ok], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[ok])), *[batch.column(2 + k) for k in range(len(names))]], ["doc_id", "feats", *names])
+
+    got = in_arrow(sample, run, "doc_id long, feats array<int>, " + ", ".join(f"{c} int" for c in names)).orderBy("doc_id", "feats").toArrow().combine_chunks()
     lists = got["feats"].combine_chunks()
     lens = np.diff(lists.offsets.to_numpy())
-    return got["doc_id"].to_numpy(), np.repeat(np.arange(len(lens), dtype=np.int32), lens), lists.flatten().to_numpy(), np.column_stack([got[c].to_numpy() for c in names])
+    return np.repeat(np.arange(len(lens), dtype=np.int32), lens), lists.flatten().to_numpy(), np.column_stack([got[c].to_numpy() for c in names])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", ident: str = "doc_id") -> Chain | None:
@@ -158,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     half = sample // 2
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = l.filter("toxic = 1").orderBy(order, "doc_id").limit(half).unionByName(l.filter("toxic = 0").orderBy(order, "doc_id").limit(half))
-    _, rows, feats, y = sample_features(docs, chosen, text, ident)
+    picked = sample_features(docs, chosen, text, ident)
+    rows, feats, y = gathered(picked, telling(picked, min(SIGMAS)))
     return fit(rows, feats, y) if len(y) and 0 < y[:, -1].sum() < len(y) else None
 
 
@@ -188,8 +231,9 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", columns: lis
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, toxic. Null and empty texts have no features and get the chain's base rates; rows that
-    repeat a doc_id each get their own; other columns and their names play no part."""
+    """doc_id, p_low_quality, p_toxic, toxic. Null and empty texts have no features and get the chain's base rates; whole texts
+    are read, however long; rows that repeat a doc_id each get their own, equal texts equal ones; other columns and their names
+    play no part; an empty table gives an empty result, and a labels table without both classes calls nothing toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, chain)
@@ -197,7 +241,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the chain does not call toxic. A document without text stays."""
+    """The documents that the chain does not call toxic, with their own columns, whatever those are named. A document without
+    text stays, and so does each row that repeats an id if its own text is clean; an empty table stays empty."""
     chain = train(docs, labels)
     clash = [c for c in docs.columns if c.startswith("p_")]
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)} if clash else {}
