@@ -1,8 +1,7 @@
-"""Operator 9: SentencePiece encoding by the model's byte-pair merges, and decoding; the relational lattice is its best-path form."""
+"""Operator 9: SentencePiece encoding over a lattice of piece occurrences, and decoding."""
 from __future__ import annotations
 
 import hashlib
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, hash_spans, in_arrow, materialize, table, utf8
+from .common import C1, U64, groups, hash_spans, in_arrow, mix, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST_CACHED = 256
-HOT_WORDS = 300_000
+KNOWN = 1 << 20  # words whose ids a task remembers; beyond that it starts anew
+WIDE = 256  # edges of a word beyond which its fold runs by itself
 
 
 @dataclass
 class Pieces:
-    """The piece table: text of each normal piece (with spaces for word marks), ids, scores, and the id of byte 0."""
+    """The piece table: text of each normal piece (with spaces for word marks), ids, scores, the id of byte 0, and each id's bytes."""
 
     texts: list[str]
     ids: list[int]
@@ -27,10 +26,31 @@ class Pieces:
     byte0: int
     raw: list[bytes]
 
-    @property
-    def unknown(self) -> float:
-        """The score of a character that is no piece and becomes bytes."""
-        return min(self.scores) - 10.0
+    def ranks(self) -> list[int]:
+        """The order in which pieces are merged: by falling score. Pieces of spaces only share a score, the least, and so a rank."""
+        order = {s: r for r, s in enumerate(sorted(set(self.scores), reverse=True))}
+        return [order[s] for s in self.scores]
+
+    def blanks(self) -> list[list[int]]:
+        """Lengths of the pieces that 0, 1, ... spaces become; from the last entry on, each as many spaces as that has are one piece and
+        the rest follow. All share a score, so the leftmost neighbours that make a piece are merged first."""
+        lengths = {len(t) for t in self.texts if not t.strip(" ")} | {1}
+        most = max(lengths)
+
+        def joined(n):
+            left, p = [1] * n, 0
+            while p + 1 < len(left):
+                if left[p] + left[p + 1] in lengths:
+                    left[p : p + 2] = [left[p] + left[p + 1]]
+                    p = max(p - 1, 0)
+                else:
+                    p += 1
+            return left
+
+        out = [joined(n) for n in range(most + 1)]
+        if any(joined(n) != [most] * (n // most) + out[n % most] for n in range(4 * most)):
+            raise ValueError("runs of spaces don't fall into pieces of the greatest length and a rest")
+        return out
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -50,8 +70,10 @@ def load(path: str = MODEL) -> Pieces:
             texts.append(t)
             ids.append(i)
             scores.append(float(sp.get_score(i)))
-    if any(" " in t.lstrip(" ") or "\n" in t for t in texts):
-        raise ValueError("units_of cuts texts before spaces and at newlines, and a piece of this model reaches across")
+    if any(" " in t.lstrip(" ") or "\n" in t or (t[:2] == "  " and t.strip(" ")) for t in texts):
+        raise ValueError("units_of cuts texts before runs of spaces and at newlines, and a piece of this model reaches across")
+    if {x for t, x in zip(texts, scores, strict=True) if not t.strip(" ")} - {min(scores)}:
+        raise ValueError("a piece of spaces has a score of its own, and blanks() takes them to share the least")
     return Pieces(texts, ids, scores, byte0, raw)
 
 
@@ -68,38 +90,6 @@ def units_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def merged(word: str, table_: dict[str, tuple[int, float]], byte0: int) -> list[int]:
-    """The ids of a unit by byte-pair merging: of all neighbours that make a piece, those with the best score, the leftmost of
-    equals, become one until none do. A character that is no piece becomes its bytes."""
-    n = len(word)
-    end, back, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []  # of the symbol at i: its end (0: merged away), and the start of the one before
-
-    def offer(a: int, b: int) -> None:
-        hit = table_.get(word[a : end[b]])
-        if hit is not None:
-            heapq.heappush(heap, (-hit[1], a, b, end[b]))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while heap:
-        _, a, b, e = heapq.heappop(heap)
-        if end[a] != b or end[b] != e:
-            continue
-        end[a], end[b] = e, 0
-        if e < n:
-            back[e] = a
-            offer(a, e)
-        if back[a] >= 0:
-            offer(back[a], a)
-    out, i = [], 0
-    while i < n:
-        part = word[i : end[i]]
-        hit = table_.get(part)
-        out.extend([hit[0]] if hit is not None else [byte0 + x for x in part.encode()])
-        i = end[i]
-    return out
-
-
 def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a space before each that isn't empty, as the model expects."""
     lens = np.diff(offsets)
@@ -112,33 +102,20 @@ def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, new
 
 
-def vocabulary(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n): the distinct units of all texts and how often they occur."""
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(0))
-            for i, j in groups(offsets):
-                own, bounds = marked(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                starts, ends, _ = units_of(own, bounds)
-                _, at, n = np.unique(hash_spans(own, starts, ends), return_index=True, return_counts=True)
-                buf = own.tobytes()
-                words = [buf[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], ["word", "n"])
-
-    return in_arrow(docs.select(F.col(text)), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) from distinct words: every substring of bounded length is looked up in the piece table, the hits are the edges of the
-    word's lattice, and a fold over the edges in order of their ends keeps the best path to each place.
+    """(word, ids) from distinct units: every substring of bounded length is looked up in the piece table, the hits are the edges of
+    the word's lattice, and a fold over the edges, by rank and then from left to right, merges what lies side by side.
 
-    The piece table is broadcast: its size is the model's. A character that is no piece becomes its UTF-8 bytes. Of paths
-    with equal scores the one with the longer last piece is taken, place by place.
+    The state is the list of boundaries that are left. An edge whose ends are boundaries with one more between them takes that
+    one away: two neighbours have become its piece. In a byte-pair model a piece's parts rank before it, so one pass in the
+    order of ranks makes the model's own merges. The piece table is broadcast: its size is the model's. A character that
+    is no piece becomes its UTF-8 bytes.
     """
     spark = words.sparkSession
     longest = max(map(len, pieces.texts))
-    table_ = spark.createDataFrame(list(zip(pieces.texts, pieces.ids, pieces.scores, strict=True)), "sub string, id int, score double")
+    blanks = {len(t): i for t, i in zip(pieces.texts, pieces.ids, strict=True) if not t.strip(" ")}
+    blank_rank = max(pieces.ranks()) if len(blanks) > 1 else 1 << 30
+    table_ = spark.createDataFrame(list(zip(pieces.texts, pieces.ids, pieces.ranks(), strict=True)), "sub string, id int, rank int")
     size = F.char_length("word")
     subs = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     subs = subs.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
@@ -146,87 +123,201 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     code = F.hex(F.encode("sub", "UTF-8"))
     as_bytes = F.transform(F.sequence(F.lit(0), F.octet_length("sub") - 1), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte0)
     edges = subs.join(F.broadcast(table_), "sub", "left").filter("id is not null or len = 1").select(
-        "word", F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-                         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids")).alias("e"))
+        "word", F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "start", (F.col("start") + F.col("len")).alias("end"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids")).alias("e"))
     held = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
-
-    def step(best, e):
-        back = F.element_at(best, e["start"] + 1)
-        here = F.struct((back["score"] + e["score"]).alias("score"), F.concat(back["ids"], e["ids"]).alias("ids"))
-        return (F.when(F.size(best) <= e["end"], F.concat(best, F.array(here)))
-                .when(back["score"] + e["score"] > F.element_at(best, -1)["score"], F.concat(F.slice(best, F.lit(1), e["end"]), F.array(here)))
-                .otherwise(best))
-
-    return held.select("word", F.element_at(F.aggregate("edges", first, step), -1)["ids"].alias("ids"))
-
-
-class Encoder:
-    """Encodes units on an executor: frequent words from a table, the others by the same merges, unit by unit. `fold` gives a
-    unit's best path by the sum of scores, which the lattice makes as well."""
-
-    def __init__(self, keys, offsets, ids, pieces: Pieces):
-        self.keys, self.offsets, self.ids, self.byte0, self.unknown = keys, offsets, ids, pieces.byte0, pieces.unknown
-        self.table = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores, strict=True)}
-        self.longest = max(map(len, pieces.texts))
-        self.rare: dict[bytes, list[int]] = {}
-        self.joined: dict[bytes, list[int]] = {}
-
-    def merge(self, raw: bytes) -> list[int]:
-        ids = self.joined.get(raw)
-        if ids is None:
-            ids = merged(raw.decode(), self.table, self.byte0)
-            if len(self.joined) >= 100_000:
-                self.joined.clear()
-            if len(raw) <= LONGEST_CACHED:
-                self.joined[raw] = ids
-        return ids
-
-    def fold(self, raw: bytes) -> list[int]:
-        if raw in self.rare:
-            return self.rare[raw]
-        word, get = raw.decode(), self.table.get
-        n = len(word)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            for start in range(max(0, end - self.longest), end):
-                hit = get(word[start:end])
-                if hit is None:
-                    if end - start > 1:
-                        continue
-                    hit = (None, self.unknown)
-                s = best[start] + hit[1]
-                if top is None or s > top:
-                    top, back[end] = s, (start, hit[0])
-            best[end] = top
-        out, at = [], n
-        while at:
-            start, i = back[at]
-            out.append([i] if i is not None else [self.byte0 + b for b in word[start:at].encode()])
-            at = start
-        ids = [i for part in reversed(out) for i in part]
-        if len(self.rare) >= 100_000:
-            self.rare.clear()
-        self.rare[raw] = ids
-        return ids
-
-    def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in order, and the number of each unit's ids."""
-        keys, at, which = np.unique(hash_spans(raw, starts, ends).view(np.int64), return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        buf = raw.tobytes()
-        parts, size, base = [self.ids], np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        base[known], size[known] = self.offsets[spot[known]], np.diff(self.offsets)[spot[known]]
-        fresh: list[int] = []
-        for k in np.flatnonzero(~known).tolist():
-            ids = self.merge(buf[starts[at[k]] : ends[at[k]]])
-            base[k], size[k] = len(self.ids) + len(fresh), len(ids)
-            fresh.extend(ids)
-        pool = np.concatenate((self.ids, np.array(fresh, np.int32))) if fresh else self.ids
-        n, b = size[which], base[which]
-        return pool[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b, n)], n
+
+    def step(left, e):
+        at = F.array_position(left, e["start"]).cast("int")
+        inner = F.get(left, at)
+        return F.when((at > 0) & (F.get(left, at + 1) == e["end"]), F.array_remove(left, inner)).otherwise(left)
+
+    longer = F.filter("edges", lambda e: (e["end"] - e["start"] > 1) & (e["rank"] < blank_rank))
+    left = held.select("word", "edges", F.aggregate(longer, F.sequence(F.lit(0), size), step).alias("left"))
+    run = size - F.char_length(F.ltrim("word"))
+    free = F.when(run > 1, run - F.when(F.array_contains("left", run) | (run == size), 0).otherwise(1)).otherwise(0)
+    spans = F.transform(F.sequence(F.lit(1), F.size("left") - 1), lambda i: F.when(F.get("left", i - 1) >= free, F.filter("edges", lambda e: (e["start"] == F.get("left", i - 1)) & (e["end"] == F.get("left", i)))[0]["ids"]).otherwise(F.array().cast("array<int>")))
+    cuts = pieces.blanks()
+    most = len(cuts) - 1
+    rests = F.array(*[F.array(*[F.lit(blanks[n]) for n in cut]).cast("array<int>") for cut in cuts])
+    lead = F.concat(F.array_repeat(F.lit(blanks[most]), F.floor(free / most).cast("int")), F.get(rests, free % most)) if most > 1 else F.array().cast("array<int>")
+    return left.select("word", F.concat(lead, F.flatten(spans)).alias("ids"))
+
+
+# ---- The same lattice over arrays, for the words of a task ---------------------------------------------------------
+
+
+def packed(pieces: Pieces) -> tuple:
+    """The piece table as plain arrays: hashes of all prefixes of pieces with a directory by leading bits, and of each the piece's rank
+    and id (-1: a prefix only); how runs of spaces are cut, and the ids of spaces; the bytes of each id."""
+    ranks, found, blanks = pieces.ranks(), {}, {}
+    for t, i, r in zip(pieces.texts, pieces.ids, ranks, strict=True):
+        if not t.strip(" "):
+            blanks[len(t)] = i
+        h = None
+        for k, c in enumerate(t):
+            h = chained(None if h is None else h, np.array([ord(c)], np.uint32))
+            old = found.get(int(h[0]), (-1, -1))
+            whole = k + 1 == len(t) and (t.strip(" ") or len(t) == 1)
+            found[int(h[0])] = (r, i) if whole else old
+    keys = np.array(sorted(found), U64)
+    values = np.array([found[int(k)] for k in keys], np.int32)
+    bits = 18
+    first = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+    raw = np.frombuffer(b"".join(pieces.raw), np.uint8)
+    return (keys, values[:, 0].copy(), values[:, 1].copy(), np.concatenate((first, [len(keys)])), bits,
+            (pieces.blanks(), blanks), pieces.byte0, raw, np.concatenate(([0], np.cumsum([len(r) for r in pieces.raw]))))
+
+
+def chained(h: np.ndarray | None, code: np.ndarray) -> np.ndarray:
+    """The hash of a prefix grown by one character."""
+    with np.errstate(over="ignore"):
+        return mix((code.astype(U64) + U64(1)) * C1 if h is None else h * C1 ^ (code.astype(U64) + U64(1)))
+
+
+class Lattice:
+    """Encodes words within a task: explodes their substrings as far as they are prefixes of pieces, joins them with the piece table,
+    groups the edges by word and folds them, all words at once."""
+
+    def __init__(self, table_: tuple):
+        self.keys, self.rank, self.id, self.first, self.bits, self.blanks, self.byte0, self.raw, self.offsets = table_
+        self.most = int(np.diff(self.first).max())
+        self.known, self.at, self.n, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes in the table, -1 where they aren't in it."""
+        b = (h >> U64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[b], self.first[b + 1]
+        out = np.full(len(h), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.keys[at[live]] == h[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+            if not len(live):
+                break
+        return out
+
+    def edges(self, code: np.ndarray, last: np.ndarray):
+        """(start, length, rank, id) of each piece of two characters or more; and the ids of single characters, -1 where none."""
+        h = chained(None, code)
+        spot = self.find(h)
+        single = np.where(spot >= 0, self.id[spot], -1)
+        live, out, k = np.flatnonzero((spot >= 0) & (last > np.arange(len(code)) + 1)), [], 1
+        h = h[live]
+        while len(live):
+            h = chained(h, code[live + k])
+            spot = self.find(h)
+            keep = spot >= 0
+            live, h, spot, k = live[keep], h[keep], spot[keep], k + 1
+            whole = self.id[spot] >= 0
+            out.append((live[whole], np.full(int(whole.sum()), k), self.rank[spot[whole]], self.id[spot[whole]]))
+            more = last[live] > live + k
+            live, h = live[more], h[more]
+        if not out:
+            return (np.zeros(0, np.int64),) * 4, single
+        return tuple(np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(4)), single
+
+    def encode(self, buf: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units buf[bounds[i]:bounds[i+1]] in order, and the number of each unit's ids."""
+        raw = np.frombuffer(buf, np.uint8)
+        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        text = buf.decode("utf-8", "surrogateescape")
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(code) == lead[-1]:
+            head = lead[bounds]
+            place = np.flatnonzero((raw & 0xC0) != 0x80)
+        else:  # broken UTF-8: each stray byte is a character of its own
+            sizes = [len(c.encode("utf-8", "surrogateescape")) for c in text]
+            place = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+            head = np.searchsorted(place, bounds)
+        n = len(code)
+        word = np.repeat(np.arange(len(bounds) - 1), np.diff(head))
+        (start, size, rank, ids), tok = self.edges(code, head[1:][word])
+        order = np.argsort(word[start] << 20 | rank, kind="stable")
+        start, end, ids = start[order], (start + size)[order], ids[order]
+        alive, nxt = np.ones(n, bool), np.arange(1, n + 1)
+        count = np.bincount(word[start], minlength=len(head) - 1)
+        base = np.cumsum(count) - count
+        live = np.flatnonzero((count > 0) & (count <= WIDE))
+        for k in range(WIDE):
+            live = live[count[live] > k]
+            if not len(live):
+                break
+            e = base[live] + k
+            s, t = start[e], end[e]
+            mid = nxt[s]
+            ok = alive[s] & (mid < t)
+            ok &= nxt[np.minimum(mid, n - 1)] == t
+            alive[mid[ok]] = False
+            nxt[s[ok]] = t[ok]
+            tok[s[ok]] = ids[e[ok]]
+        for w in np.flatnonzero(count > WIDE).tolist():
+            a, b = head[w], head[w + 1]
+            there, to = [True] * int(b - a), list(range(1, int(b - a) + 1))
+            part = slice(base[w], base[w] + count[w])
+            for s, t, i in zip((start[part] - a).tolist(), (end[part] - a).tolist(), ids[part].tolist(), strict=True):
+                mid = to[s]
+                if there[s] and mid < t and to[mid] == t:
+                    there[mid] = False
+                    to[s] = t
+                    tok[s + a] = i
+            alive[a:b] = there
+            nxt[a:b] = np.array(to) + a
+        self.join_blanks(code, head, alive, nxt, tok)
+        s = np.flatnonzero(alive)
+        tok = tok[s]
+        width = np.ones(len(s), np.int64)
+        odd = tok < 0
+        edge = np.concatenate((place, [len(raw)]))
+        width[odd] = np.diff(edge)[s[odd]]
+        out = np.repeat(tok, width).astype(np.int32)
+        if odd.any():
+            w = width[odd]
+            spots = np.repeat((np.cumsum(width) - width)[odd], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            out[spots] = self.byte0 + raw[np.repeat(place[s[odd]], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)].astype(np.int32)
+        return out, np.bincount(word[s], weights=width, minlength=len(bounds) - 1).astype(np.int64)
+
+    def join_blanks(self, code, head, alive, nxt, tok) -> None:
+        """Spaces that no letter took, at the head of a unit, become pieces of spaces."""
+        first = head[:-1]
+        ok = np.diff(head) > 1
+        many = np.flatnonzero(ok)[(code[first[ok]] == 32) & (code[first[ok] + 1] == 32)]
+        cuts, ids = self.blanks
+        most = len(cuts) - 1
+        if not len(many) or most < 2:
+            return
+        solid = np.concatenate(([0], np.cumsum(code != 32)))
+        for w in many.tolist():
+            a, b = int(head[w]), int(head[w + 1])
+            c = int(np.searchsorted(solid[a + 1 : b + 1], solid[a] + 1)) if solid[b] > solid[a] else b - a
+            free = c - (1 if nxt[a + c - 1] > a + c else 0)
+            alive[a : a + free] = False
+            for size in [most] * (free // most) + cuts[free % most]:
+                alive[a], nxt[a], tok[a] = True, a + size, ids[size]
+                a += size
+
+    def all(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and the number of each one's ids. Each distinct unit is encoded once, and remembered."""
+        keys, at, which = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[spot] != keys) if len(self.known) else np.arange(len(keys))
+        if len(new):
+            if len(self.known) > KNOWN:
+                self.__init__((self.keys, self.rank, self.id, self.first, self.bits, self.blanks, self.byte0, self.raw, self.offsets))
+                new = np.arange(len(keys))
+            s, lens = starts[at[new]], (ends - starts)[at[new]]
+            bounds = np.concatenate(([0], np.cumsum(lens)))
+            ids, n = self.encode(raw[np.arange(bounds[-1]) - np.repeat(bounds[:-1], lens) + np.repeat(s, lens)].tobytes(), bounds)
+            where = np.searchsorted(self.known, keys[new])
+            self.at = np.insert(self.at, where, len(self.pool) + np.cumsum(n) - n)
+            self.n = np.insert(self.n, where, n)
+            self.known = np.insert(self.known, where, keys[new])
+            self.pool = np.concatenate((self.pool, ids))
+            spot = np.searchsorted(self.known, keys)
+        n, b = self.n[spot][which], self.at[spot][which]
+        return self.pool[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b, n)], n
 
 
 def decoded(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -235,75 +326,55 @@ def decoded(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return raw[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[:-1][ids], n)]
 
 
-def hot_words(docs: DataFrame, pieces: Pieces, most: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, offsets and ids of the most frequent words, `most` of them at most: those seen at least as often as the least
-    count that this many words reach. Executors merge each once."""
-    vocab = materialize(vocabulary(docs, text), "op9-vocabulary")
-    tally = vocab.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()  # 10,000 rows at most
-    floor, have = None, 0
-    for r in tally:
-        have += r.words
-        if have > most:
-            break
-        floor = r.n
-    if floor is None:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-    held = docs.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches):
-        coder = Encoder(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), held.value)
-        for batch in batches:
-            ids = [coder.merge(w.encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    frequent = vocab.filter((F.col("n") >= floor) & (F.octet_length("word") <= LONGEST_CACHED)).select("word").repartition("word")
-    encoded = in_arrow(frequent, run, "word string, ids array<int>").toArrow().combine_chunks()
-    raw, off = utf8(encoded["word"])
-    keys = hash_spans(raw, off[:-1], off[1:]).view(np.int64)
-    lists = encoded["ids"].combine_chunks()
-    order = np.argsort(keys, kind="stable")
-    lists = lists.take(pa.array(order))
-    return keys[order], np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy().astype(np.int32)
-
-
-def encode_documents(docs: DataFrame, model: str = MODEL, most: int = HOT_WORDS, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, ids, decoded_sha256, round_trip (decoding the ids gives the text's bytes).
 
-    A text is cut into units where no piece reaches across (a run of spaces opens one, a newline is one); each unit is merged as the
-    model merges it, so the ids are those of its own encoder, except that U+2581 is kept apart from the space. Null and empty texts have no ids; any character round-trips, as bytes where the model lacks it. Rows
-    that repeat a doc_id each return; other columns play no part.
+    A text is cut into units where no piece reaches across (a run of spaces opens one, a newline is one). Each distinct unit of
+    a slice of text goes through the lattice; the ids are those of the model's own encoder, except that U+2581 is kept apart
+    from the space. Nothing is shuffled, and the piece table alone is broadcast: its size is the model's. Null and empty texts have no ids; any
+    character round-trips, as bytes where the model lacks it; texts and words may be of any length. Rows that
+    repeat a doc_id each return; a null doc_id comes back null; other columns, whatever their names, play no part; an empty table
+    gives an empty result.
     """
-    pieces = load(model)
-    keys, offsets, ids = hot_words(docs, pieces, most, text)
-    raw_pieces = np.frombuffer(b"".join(pieces.raw), np.uint8)
-    piece_offsets = np.concatenate(([0], np.cumsum([len(r) for r in pieces.raw])))
-    held = docs.sparkSession.sparkContext.broadcast((keys, offsets, ids, pieces, raw_pieces, piece_offsets))
+    held = docs.sparkSession.sparkContext.broadcast(packed(load(model)))
 
     def run(batches):
-        keys, offsets_, ids_, pieces_, rawp, offp = held.value
-        coder = Encoder(keys, offsets_, ids_, pieces_)
+        coder = Lattice(held.value)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for i, j in groups(offsets):
                 own, bounds = marked(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 starts, ends, rows = units_of(own, bounds)
-                out, n = coder.encode(own, starts, ends)
+                out, n = coder.all(own, starts, ends)
                 per = np.bincount(rows, weights=n, minlength=j - i).astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(per)))
-                back = decoded(out, rawp, offp)
-                size = np.diff(offp)[out]
-                ends_at = np.concatenate(([0], np.cumsum(size)))[at]
+                back = decoded(out, coder.raw, coder.offsets)
+                ends_at = np.concatenate(([0], np.cumsum(np.diff(coder.offsets)[out])))[at]
                 lens, same, digest = np.diff(offsets[i : j + 1]), [], []
                 for r in range(j - i):
                     text_ = back[ends_at[r] : ends_at[r + 1]][1:].tobytes()
                     same.append(text_ == raw[offsets[i + r] : offsets[i + r + 1]].tobytes())
                     digest.append(hashlib.sha256(text_).hexdigest())
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lens), pa.array(per), lists, pa.array(digest), pa.array(same)], ["doc_id", "n_bytes", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
     return in_arrow(docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, n_bytes long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
+def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids): the texts that the ids stand for; no ids give an empty text."""
+    pieces = load(model)
+    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces.raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in pieces.raw])))))
+
+    def run(batches):
+        raw, offsets = held.value
+        for batch in batches:
+            texts = [decoded(np.array(ids or [], np.int64), raw, offsets)[1:].tobytes().decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return in_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """encode_documents with the ids as a digest: doc_id, n_bytes, n_tokens, ids_sha256 (of the ids, joined by commas), decoded_sha256, round_trip."""
     out = encode_documents(table(spark, sf_dir, "documents"))
