@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 
 from .common import C1, C3, U64, components, discard, groups, hash_spans, in_arrow, materialize, mix, small, spans_of_words, table, utf8
 from .edits import within
-from .linking import SLICE, alike, dealt, labelled, ordered, unsettled
+from .linking import alike, dealt, labelled, unsettled
 
 SIMILARITY = 0.8
 BLOCKS = 5  # blocks of three words that stand for a line
 LONG_BLOCK = 14  # blocks of so many bytes come first: shorter ones are common words
-WIDE, SHORT = 24, 60  # bits between SimHashes of lines that share a block; lines under SHORT characters are not held to it
+WIDE, SHORT = 14, 60  # bits between SimHashes of lines that share a block; lines under SHORT characters are not held to it
+HELD = 24 << 20  # bytes of pairs that a task verifies at once
 MANY = 64  # lines of a block beyond which they are compared with leaders first
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -214,39 +215,43 @@ def crossing(bucket: int, comps: np.ndarray, sigs: np.ndarray, marks: np.ndarray
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """(a, b, bucket) from rows (bucket, id, sim, chars): near pairs of ids that share a bucket. In buckets of over MANY ids only those of
-    a leader, the first id that is near no earlier leader, with the ids near it; then a row (null, null, bucket) names the bucket."""
+    """(a, b, bits, bucket) from rows (bucket, id, sim, chars): near pairs of ids that share a bucket, and by how many bits their SimHashes
+    differ. In buckets of over MANY ids only those of a leader, the first id that is near no earlier leader, with the ids near it;
+    then a row (null, null, null, bucket) names the bucket."""
 
     def run(batches):
         keep = None
 
         def pairs(bucket, ids, sims, chars):
-            a, b, big = [], [], []
+            a, b, bits, big = [], [], [], []
+
+            def put(x, y, s, t):
+                a.append(x)
+                b.append(y)
+                bits.append(np.bitwise_count(s ^ t).astype(np.int32))
+
             size = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             count = np.diff(np.concatenate((size, [len(bucket)])))
             two = size[count == 2]
             ok = near(sims[two], chars[two], sims[two + 1], chars[two + 1])
-            a.append(ids[two[ok]])
-            b.append(ids[two[ok] + 1])
+            put(ids[two[ok]], ids[two[ok] + 1], sims[two[ok]], sims[two[ok] + 1])
             for s, n in zip(size[count > 2].tolist(), count[count > 2].tolist(), strict=True):
                 i, h, c = ids[s : s + n], sims[s : s + n], chars[s : s + n]
                 if n <= MANY:
                     for x, y in near_pairs(i, h, c):
-                        a.append(i[x])
-                        b.append(i[y])
+                        put(i[x], i[y], h[x], h[y])
                 else:
                     big.append(bucket[s])
                     left = np.arange(n)
                     while len(left) > 1:
                         head, left = left[0], left[1:]
                         ok = near(h[left], c[left], h[head], c[head])
-                        a.append(np.full(int(ok.sum()), i[head]))
-                        b.append(i[left[ok]])
+                        put(np.full(int(ok.sum()), i[head]), i[left[ok]], h[left[ok]], h[head])
                         left = left[~ok]
-            a, b = np.concatenate(a), np.concatenate(b)
-            none = pa.nulls(len(big), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(a), none]).combine_chunks(), pa.chunked_array([pa.array(b), none]).combine_chunks(),
-                                               pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.array(big, np.int64))]).combine_chunks()], ["a", "b", "bucket"])
+            pairs_ = [np.concatenate(x) for x in (a, b, bits)]
+            none, some = len(big), len(pairs_[0])
+            cols = [pa.concat_arrays([pa.array(x), pa.nulls(none, t)]) for x, t in zip(pairs_, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(np.array(big, np.int64))])], ["a", "b", "bits", "bucket"])
 
         def settled(cols):
             new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))  # equal lines of several tasks
@@ -272,56 +277,82 @@ def met(rows: DataFrame) -> DataFrame:
             if out is not None and len(out):
                 yield out
 
-    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "id").select("bucket", "id", "sim", "chars"), run, "a long, b long, bucket long")
+    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "id").select("bucket", "id", "sim", "chars"), run, "a long, b long, bits int, bucket long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose lines are within the edit distance. A line goes to each pair of which it is the second, and once
     to those of which it is the first."""
-    second = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    second = texts.select(F.col("id").alias("b"), F.col("line").alias("lb")).join(small(pairs), "b")
     both = second.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "la", "lb")
 
     def run(batches):
-        for batch in batches:
-            la, lb = (batch.column(k).to_pylist() for k in (2, 3))
-            keep = within(la, lb, 1 - SIMILARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+        held, size = [], 0
+
+        def flush():
+            keep = within([x for h in held for x in h[2]], [x for h in held for x in h[3]], 1 - SIMILARITY)
+            cols = [np.concatenate([h[k] for h in held])[np.array(keep, bool)] for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"])
+
+        for batch in batches:  # many pairs at once: they are worked out in batches of like length
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            size += batch.nbytes
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return in_arrow(both, run, "a long, b long")
 
 
-def linked_lines(docs: DataFrame, prints: DataFrame) -> DataFrame | None:
-    """(d1, d2, g1, g2): for each line digest that is linked to others, the digest that names its group."""
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component."""
+    c = small(comps)
+    own = pairs.join(c.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(c.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return own.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def linked_lines(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(d1, d2, g1, g2): for each line digest that is linked to others, the digest that names its group.
+
+    Each line is held against its nearest neighbour by SimHash first; of the other pairs those whose ends are not connected by then
+    are verified as well, and at last those of large blocks."""
     rows = prints.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("d1").alias("id"), "sim", "chars")
     found = materialize(met(rows), "op4-met")
-    pairs = materialize(ordered(found.filter("bucket is null")), "op4-pairs")
+    pairs = materialize(found.filter("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").filter("a < b").distinct(), "op4-pairs")
     big = materialize(found.filter("bucket is not null").select("bucket").distinct(), "op4-big")
-    links, texts = None, None
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        nonlocal links, texts
-        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "op4-ids")
-        lines = line_texts(docs).join(small(ids), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"), F.min_by("line", "d2").alias("line"))
-        own = materialize(lines, "op4-texts")
-        found = materialize(verified(pairs, own), "op4-links")
-        links = found if links is None else links.unionByName(found)
-        texts = own.select("id", "d2") if texts is None else texts.unionByName(own.select("id", "d2")).distinct()
-        return components(links, "op4-comps")
-
-    comps = judge(pairs)
-    if not big.isEmpty():
+    large = not big.isEmpty()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    if large:
         sig = F.concat(F.reverse(F.unhex(F.lpad(F.hex("sim"), 16, "0"))), F.reverse(F.unhex(F.lpad(F.hex(F.col("chars").cast("long")), 8, "0"))))
         many = rows.join(small(big), "bucket", "left_semi").groupBy("bucket", "id").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"))
         many = materialize(many.select("bucket", "id", sig.alias("sig")), "op4-many")
+        ids = ids.union(many.select("id"))
+    lines = line_texts(docs).join(small(materialize(ids.distinct(), "op4-ids")), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"), F.min_by("line", "d2").alias("line"))
+    texts = materialize(lines, "op4-texts")
+    judged = materialize(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "op4-nearest")
+    links = materialize(verified(judged, texts), "op4-links")
+    comps = components(links, "op4-comps")
+
+    def judge(more: DataFrame) -> None:
+        nonlocal judged, links, comps
+        more = materialize(apart(more, comps).join(small(judged), ["a", "b"], "left_anti"), "op4-pairs")
+        need = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "op4-ids")
+        links = links.unionByName(materialize(verified(more, texts.join(small(need), "id", "left_semi")), "op4-links"))
+        judged = materialize(judged.unionByName(more), "op4-judged")
+        comps = components(links, "op4-comps")
+
+    judge(pairs.select("a", "b"))
+    if large:
         hubs = many.groupBy("bucket").agg(F.min("id").alias("hub"))
         left = unsettled(materialize(labelled(many.join(hubs, "bucket"), comps), "op4-left"), "op4-left")
         cells = materialize(dealt(left), "op4-cells")
-        rest = materialize(alike(cells, 0, crossing).join(pairs, ["a", "b"], "left_anti"), "op4-pairs")
+        judge(materialize(alike(cells, 0, crossing), "op4-rest"))
         discard(cells)
-        if not rest.isEmpty():
-            comps = judge(rest)
-    named = comps.join(texts, "id").select(F.col("id").alias("d1"), "d2", F.col("comp").alias("g1"))
-    heads = texts.select(F.col("id").alias("g1"), F.col("d2").alias("g2"))
+    own = texts.select("id", "d2")
+    named = comps.join(own, "id").select(F.col("id").alias("d1"), "d2", F.col("comp").alias("g1"))
+    heads = own.select(F.col("id").alias("g1"), F.col("d2").alias("g2"))
     return materialize(named.join(heads, "g1").select("d1", "d2", "g1", "g2"), "op4-named")
 
 
