@@ -18,6 +18,7 @@ BLOCKS = 5  # blocks of three words that stand for a line
 LONG_BLOCK = 14  # blocks of so many bytes come first: shorter ones are common words
 WIDE, SHORT = 14, 60  # bits between SimHashes of lines that share a block; lines under SHORT characters are not held to it
 HELD = 24 << 20  # bytes of pairs that a task verifies at once
+MARKED = 8  # blocks of a line by which pairs of large blocks are told apart
 MANY = 64  # lines of a block beyond which they are compared with leaders first
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -209,9 +210,13 @@ def near_pairs(ids: np.ndarray, sims: np.ndarray, chars: np.ndarray, comps: np.n
 
 
 def crossing(bucket: int, comps: np.ndarray, sigs: np.ndarray, marks: np.ndarray, least: float):
-    """near_pairs for rows whose signature is SimHash and length."""
-    packed = np.ascontiguousarray(sigs)
-    return near_pairs(comps, packed[:, :8].copy().view(U64).ravel(), packed[:, 8:].copy().view(np.int32).ravel().astype(np.int64), comps)
+    """near_pairs for rows whose signature is SimHash and length; of pairs that share a block among the marked ones only in the first."""
+    packed, here = np.ascontiguousarray(sigs), np.uint32(bucket & 0xFFFFFFFF)
+    for k, other in near_pairs(comps, packed[:, :8].copy().view(U64).ravel(), packed[:, 8:].copy().view(np.int32).ravel().astype(np.int64), comps):
+        own = marks[k[0]]
+        shared = marks[other] == own
+        other = other[~shared.any(axis=1) | (own[shared.argmax(axis=1)] == here)]
+        yield k[: len(other)], other
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -316,7 +321,7 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def linked_lines(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(d1, d2, g1, g2): for each line digest that is linked to others, the digest that names its group.
 
-    Each line is held against its nearest neighbour by SimHash first; of the other pairs those whose ends are not connected by then
+    Each line is held against its nearest neighbour by SimHash first, of those about as near the one that most have in common; of the other pairs those whose ends are not connected by then
     are verified as well, and at last those of large blocks."""
     rows = prints.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("d1").alias("id"), "sim", "chars")
     found = materialize(met(rows), "op4-met")
@@ -325,30 +330,33 @@ def linked_lines(docs: DataFrame, prints: DataFrame) -> DataFrame:
     large = not big.isEmpty()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     if large:
-        sig = F.concat(F.reverse(F.unhex(F.lpad(F.hex("sim"), 16, "0"))), F.reverse(F.unhex(F.lpad(F.hex(F.col("chars").cast("long")), 8, "0"))))
-        many = rows.join(small(big), "bucket", "left_semi").groupBy("bucket", "id").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"))
+        flat = lambda c, n: F.reverse(F.unhex(F.lpad(F.hex(c), n, "0")))  # noqa: E731  little-endian
+        mark = lambda k: flat(F.coalesce(F.get("keys", F.lit(k)), F.xxhash64("id", F.lit(k))).bitwiseAND(0xFFFFFFFF), 8)
+        sig = F.concat(flat("sim", 16), flat(F.col("chars").cast("long"), 8), *[mark(k) for k in range(MARKED)])
+        wide = prints.filter("keys is not null").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("d1").alias("id"), "sim", "chars", "keys")
+        many = wide.join(small(big), "bucket", "left_semi").dropDuplicates(["bucket", "id"])
         many = materialize(many.select("bucket", "id", sig.alias("sig")), "op4-many")
         ids = ids.union(many.select("id"))
     lines = line_texts(docs).join(small(materialize(ids.distinct(), "op4-ids")), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"), F.min_by("line", "d2").alias("line"))
     texts = materialize(lines, "op4-texts")
-    judged = materialize(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "op4-nearest")
+    judged = materialize(pairs.groupBy("b").agg(F.min_by("a", F.struct((F.col("bits") / 4).cast("int"), "a")).alias("a")).select("a", "b"), "op4-nearest")
     links = materialize(verified(judged, texts), "op4-links")
     comps = components(links, "op4-comps")
 
     def judge(more: DataFrame) -> None:
-        nonlocal judged, links, comps
+        nonlocal judged, comps
         more = materialize(apart(more, comps).join(small(judged), ["a", "b"], "left_anti"), "op4-pairs")
         need = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "op4-ids")
-        links = links.unionByName(materialize(verified(more, texts.join(small(need), "id", "left_semi")), "op4-links"))
+        found = materialize(verified(more, texts.join(small(need), "id", "left_semi")), "op4-links")
         judged = materialize(judged.unionByName(more), "op4-judged")
-        comps = components(links, "op4-comps")
+        comps = components(found.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b"))), "op4-comps")
 
     judge(pairs.select("a", "b"))
     if large:
         hubs = many.groupBy("bucket").agg(F.min("id").alias("hub"))
         left = unsettled(materialize(labelled(many.join(hubs, "bucket"), comps), "op4-left"), "op4-left")
         cells = materialize(dealt(left), "op4-cells")
-        judge(materialize(alike(cells, 0, crossing), "op4-rest"))
+        judge(materialize(alike(cells, 0, crossing, MARKED), "op4-rest"))
         discard(cells)
     own = texts.select("id", "d2")
     named = comps.join(own, "id").select(F.col("id").alias("d1"), "d2", F.col("comp").alias("g1"))

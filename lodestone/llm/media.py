@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import groups, in_arrow, lookup, materialize, table, utf8
 
 UNIT = 64
-LEAST, MOST, CUT_BITS = 4096, 65536, 14
+LEAST, MOST, CUT_BITS = 1024, 32768, 12
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -143,7 +143,9 @@ def store_media(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     partition of its digest, where Spark keeps one copy and joins the lists that name it; a medium of one chunk is rebuilt
     there, larger ones are gathered by medium. A chunk that more than 1,024 media (and more than a thousandth of all references)
     name is kept in several salted copies, so that no task serves them all; at most 1,024 chunks can be so common, which bounds
-    their broadcast table. Null text counts as empty; rows that repeat a doc_id each return; other columns play no part.
+    their broadcast table. Null text counts as empty, a payload of zeros; rows that repeat a doc_id each return; a null doc_id comes
+    back null; a long text is a medium of many chunks; other columns, whatever their names, play no part; an empty table gives an
+    empty result. write_media and read_media keep payloads in a folder and give them back.
     """
     lists = materialize(manifests(docs, text, ident), "op1-manifests")
     media = materialize(lists.groupBy("media_id").agg(F.first("chunks").alias("chunks"), F.count(F.lit(1)).alias("docs")), "op1-media")
@@ -159,5 +161,39 @@ def store_media(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     return lookup(lists.select("doc_id", "n_bytes", "media_id"), found, "media_id", "docs", total[1]).drop("media_id", "docs")
 
 
+def write_media(docs: DataFrame, path: str, text: str = "text", ident: str = "doc_id") -> None:
+    """Keep the payloads of docs under `path`: chunks (digest, frame), each distinct chunk once, and media (doc_id, n_bytes, media_id,
+    chunks), the ordered lists that name them."""
+    lists = manifests(docs, text, ident)
+    lists.write.parquet(f"{path}/media")
+    # Copies of a chunk meet per task and salt first, so a common chunk is no task's burden.
+    salt = F.pmod(F.xxhash64("media_id"), F.lit(16))
+    salted = chunk_rows(docs, text, ident).groupBy("digest", salt.alias("salt")).agg(F.first("frame").alias("frame"))
+    salted.groupBy("digest").agg(F.first("frame").alias("frame")).write.parquet(f"{path}/chunks")
+
+
+def read_media(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, payload, text) of what write_media kept, of the ids in `wanted` (doc_id) or all: chunks joined by their digests, put in
+    order and checked; a payload whose SHA-256 isn't its media_id stops the job. text is the payload less its padding."""
+    media = spark.read.parquet(f"{path}/media")
+    media = media if wanted is None else media.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    each = media.groupBy("media_id").agg(F.first("chunks").alias("chunks")).select("media_id", F.posexplode("chunks").alias("seq", "digest"))
+    pieces = each.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("media_id").agg(F.collect_list(F.struct("seq", "digest", "frame")).alias("pieces"))
+
+    def run(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for media_id, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                payload = b"".join(z.decompress(p["frame"]) for p in sorted(parts, key=lambda p: p["seq"]))
+                if hashlib.sha256(payload).digest() != media_id:
+                    raise ValueError(f"medium {media_id.hex()} can't be rebuilt from its chunks")
+                out.append(payload)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["media_id", "payload"])
+
+    whole = in_arrow(pieces, run, "media_id binary, payload binary")
+    return media.join(whole, "media_id").select("doc_id", "payload", F.decode(F.expr("substring(payload, 1, cast(n_bytes as int))"), "UTF-8").alias("text"))
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(table(spark, sf_dir, "documents"))

@@ -8,27 +8,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C3, U64, groups, hash_spans, in_arrow, lookup, materialize, mix, rolling, table, utf8
+from .common import U64, groups, in_arrow, lookup, materialize, rolling, small, table, utf8
 
 LENGTH = 400
 GRAM = 64
 HOT, SLICE = 4096, 2048
 BATCH = 2 << 20
+REACH = 1 << 24  # window starts of a text that are worked on at once; their places fit into 28 bits
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Runs of consecutive window starts that share their minimiser: (row, start, count, gram hash, hash of the run's bytes).
+    """Runs of consecutive window starts that share their minimiser: (row, start, count, gram hash).
 
     A window's minimiser is the leftmost of its grams with the least hash, so equal windows have equal minimisers at
-    the same place in them. Each window belongs to exactly one run.
+    the same place in them. Each window belongs to exactly one run. raw has fewer than 2**28 bytes.
     """
     width = length - gram + 1
     lens = np.diff(offsets)
     if not (lens >= length).any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
-    at = np.arange(len(raw) - gram + 1)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
     g = rolling(raw, gram)
-    packed = (g & ~U64((1 << 28) - 1)) | at.astype(U64)
+    packed = (g & ~U64((1 << 28) - 1)) | np.arange(len(g), dtype=U64)
     n = -(-len(packed) // width) * width
     blocks = np.full(n, U64(0xFFFFFFFFFFFFFFFF), U64)
     blocks[: len(packed)] = packed
@@ -39,7 +39,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     least = (np.minimum(behind[starts], ahead[starts + width - 1]) & U64((1 << 28) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1))))
     first, last = starts[new], starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))]
-    return np.searchsorted(offsets, first, "right") - 1, first, last - first + 1, g[least[new]], hash_spans(raw, first, last + length)
+    return np.searchsorted(offsets, first, "right") - 1, first, last - first + 1, g[least[new]]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -112,87 +112,138 @@ def repeated(text: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, text: str, ident: str) -> DataFrame:
+def keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    """(doc_id, tkey, text): a row is known by its id and a hash of its text, so rows that repeat an id with other texts stay apart."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(t).alias("tkey"), t.alias("_text"))
+
+
+def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, tkey, start, count, gram, c1, c2): the runs of all texts; c1 and c2 are 128 bits of the run's bytes."""
+
+    def digests(buf, starts, counts):
+        spans = zip(starts.tolist(), (starts + counts - 1 + length).tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(buf[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+
+    def parts(raw, offsets):
+        for i, j in groups(offsets):
+            if offsets[j] - offsets[i] <= REACH + length:
+                yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
+            else:
+                for at in range(0, int(offsets[j] - offsets[i]) - length + 1, REACH):
+                    block = raw[offsets[i] + at : min(offsets[i] + at + REACH + length - 1, offsets[j])]
+                    yield i, j, block, np.array([0, len(block)]), at
+
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in groups(offsets):
-                part = offsets[i : j + 1] - offsets[i]
-                row, start, count, g, ctx = anchors(raw[offsets[i] : offsets[j]], part, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][row].astype(np.int64)), pa.array((start - part[row]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64))],
-                    ["doc_id", "start", "count", "gram", "ctx"])
+            raw, offsets = utf8(batch.column(2))
+            ids, tkeys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j, block, bounds, at in parts(raw, offsets):
+                row, start, count, g = anchors(block, bounds, length, gram)
+                if len(row):
+                    c = digests(memoryview(np.ascontiguousarray(block)), start, count)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[i:j][row]), pa.array(tkeys[i:j][row]), pa.array((start - bounds[row] + at).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())],
+                        ["doc_id", "tkey", "start", "count", "gram", "c1", "c2"])
 
-    return in_arrow(docs.select(F.col(ident).cast("long"), F.col(text)), run, "doc_id long, start long, count int, gram long, ctx long")
+    return in_arrow(docs, run, "doc_id long, tkey long, start long, count int, gram long, c1 long, c2 long")
 
 
 def cut_out(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, slice, hot, ctx, doc_id, start, n, piece) from (doc_id, text, at array<struct>): the bytes of each run in `at`."""
+    """(gram, slice, hot, doc_id, tkey, start, n, piece) from (doc_id, tkey, text, at array<struct>): the bytes of each run in `at`."""
+    names = ["gram", "slice", "hot", "doc_id", "tkey", "start", "n", "piece"]
 
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            lists = batch.column(2)
+            raw, offsets = utf8(batch.column(2))
+            lists = batch.column(3)
             lo = np.asarray(lists.offsets)
             flat = lists.values
-            col = {f: np.asarray(flat.field(f)) for f in ("start", "count", "gram", "ctx", "slice", "hot", "n")}
-            ids = np.asarray(batch.column(0))
+            col = {f: np.asarray(flat.field(f)) for f in ("start", "count", "gram", "slice", "hot", "n")}
+            ids, tkeys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             buf = raw.tobytes()
             for k in range(0, len(ids), 256):
-                a, b = lo[k], lo[min(k + 256, len(ids))]
-                own = np.repeat(np.arange(k, min(k + 256, len(ids))), np.diff(lo[k : min(k + 256, len(ids)) + 1]))
+                to = min(k + 256, len(ids))
+                a, b = lo[k], lo[to]
+                own = np.repeat(np.arange(k, to), np.diff(lo[k : to + 1]))
                 pieces = [buf[offsets[r] + s : offsets[r] + s + c - 1 + length] for r, s, c in zip(own, col["start"][a:b], col["count"][a:b], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(col["gram"][a:b]), pa.array(col["slice"][a:b]), pa.array(col["hot"][a:b]), pa.array(col["ctx"][a:b]), pa.array(ids[own]), pa.array(col["start"][a:b]), pa.array(col["n"][a:b]), pa.array(pieces, pa.binary())],
-                    ["gram", "slice", "hot", "ctx", "doc_id", "start", "n", "piece"])
-
-    return in_arrow(docs, run, "gram long, slice int, hot int, ctx long, doc_id long, start long, n long, piece binary")
+                yield pa.RecordBatch.from_arrays([*[pa.array(col[f][a:b]) for f in names[:3]], pa.array(ids[own]), pa.array(tkeys[own]), pa.array(col["start"][a:b]), pa.array(col["n"][a:b]), pa.array(pieces, pa.binary())], names)
+
+    return in_arrow(docs, run, "gram long, slice int, hot int, doc_id long, tkey long, start long, n long, piece binary")
+
+
+def starts_of(lens: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows of pieces that begin at base, and the piece of each."""
+    count = lens - length + 1
+    own = np.repeat(np.arange(len(lens)), count)
+    return np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + base[own], own
+
+
+def repeating(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the pieces its piece, its place there, and whether its bytes are those of another window too.
+
+    The transform judges what may repeat at all: the stretch of each piece from its first to its last window whose rolling hash
+    another window has."""
+    lens = np.array([len(r) for r in raws])
+    base = np.concatenate(([0], np.cumsum(lens)))[:-1]
+    whole = b"".join(raws)
+    at, own = starts_of(lens, base, length)
+    h = rolling(np.frombuffer(whole, np.uint8), length)[at]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    maybe = np.zeros(len(h), bool)
+    maybe[order[1:][same]] = True
+    maybe[order[:-1][same]] = True
+    flag = np.zeros(len(h), bool)
+    hit = np.flatnonzero(maybe)
+    if len(hit):
+        head = np.flatnonzero(np.concatenate(([True], own[hit][1:] != own[hit][:-1])))
+        tail = np.concatenate((head[1:], [len(hit)])) - 1
+        lo, hi = at[hit[head]], at[hit[tail]] + length
+        text = np.frombuffer(b"\xff".join([whole[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]) + b"\xff", np.uint8)
+        there, which = starts_of(hi - lo, np.concatenate(([0], np.cumsum(hi - lo + 1)))[:-1], length)
+        first = np.concatenate(([0], np.cumsum(hi - lo - length + 1)))[:-1]
+        spot = hit[head][which] + np.arange(len(which)) - first[which]
+        flag[spot] = repeated(text, length)[there]
+        flag &= maybe
+    return own, at - base[own], flag
 
 
 def judged(pieces: DataFrame, length: int) -> DataFrame:
-    """Window starts of the pieces that repeat among the pieces beside them, as spans (kind 0: doc_id, start, end in bytes), and for
-    hot grams each window's hashes (kind 1: not found to repeat here; kind 2: one of each that does), to be compared across slices."""
-
-    def work(gram, hot, ids, starts, n, raws):
-        lens = np.array([len(r) for r in raws])
-        text = np.frombuffer(b"\xff".join(raws) + b"\xff", np.uint8)
-        base = np.concatenate(([0], np.cumsum(lens + 1)))[:-1]
-        flag = repeated(text, length)
-        valid = np.zeros(len(text), bool)
-        for b, k in zip(base, lens, strict=True):
-            valid[b : b + k - length + 1] = True
-        flag &= valid
-        edge = np.diff(np.concatenate(([0], flag.view(np.int8), [0])))
-        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        own = np.searchsorted(base, lo, "right") - 1
-        lone = n[own] == 1
-        lo, hi, own = lo[lone], hi[lone], own[lone]
-        s = starts[own] + lo - base[own]
-        yield out(np.zeros(len(s), np.int32), ids[own], s, s + hi - lo - 1 + length, np.zeros(len(s), U64), np.zeros(len(s), U64))
+    """Window starts of the pieces that repeat among the pieces beside them, as spans (kind 0: doc_id, tkey, start, end in bytes), and for
+    hot grams each window's digest (kind 1: not found to repeat here; kind 2: one of each that does), to be compared across slices."""
+    names = ["kind", "doc_id", "tkey", "start", "end", "h1", "h2"]
+
+    def work(hot, ids, tkeys, starts, n, raws):
+        own, place, flag = repeating(raws, length)
+        edge = flag & (n[own] == 1)
+        step = np.concatenate(([True], (own[1:] != own[:-1])))
+        lo = np.flatnonzero(edge & (step | ~np.concatenate(([False], edge[:-1]))))
+        hi = np.flatnonzero(edge & np.concatenate((step[1:] | ~edge[1:], [True])))
+        s, none = starts[own[lo]] + place[lo], np.zeros(len(lo), np.int64)
+        yield out(np.zeros(len(lo), np.int32), ids[own[lo]], tkeys[own[lo]], s, s + hi - lo + length, none, none)
         if hot.any():
-            at = np.flatnonzero(valid)
-            own = np.searchsorted(base, at, "right") - 1
-            at, own = at[hot[own] == 1], own[hot[own] == 1]
-            h1, h2 = hash_spans(text, at, at + length), hash_spans(text ^ np.uint8(0x5A), at, at + length)
-            kind = np.where(flag[at] | (n[own] > 1), 2, 1).astype(np.int32)
-            seen = np.unique(np.where(kind == 2, h1, np.arange(len(h1)).astype(U64) ^ h1 ^ C3), return_index=True)[1]
-            pick = np.zeros(len(h1), bool)
-            pick[seen] = True
-            pick |= kind == 1
-            s = starts[own] + at - base[own]
-            yield out(kind[pick], ids[own][pick], s[pick], s[pick] + length, h1[pick], h2[pick])
-
-    def out(kind, ids, start, end, h1, h2):
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(ids), pa.array(start), pa.array(end), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["kind", "doc_id", "start", "end", "h1", "h2"])
+            w = np.flatnonzero(hot[own] == 1)
+            digest = np.frombuffer(b"".join([hashlib.blake2b(raws[r][a : a + length], digest_size=16).digest() for r, a in zip(own[w].tolist(), place[w].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            kind = np.where(flag[w] | (n[own[w]] > 1), 2, 1).astype(np.int32)
+            pick = kind == 1
+            two = np.flatnonzero(~pick)
+            pick[two[np.unique(digest[two], axis=0, return_index=True)[1]]] = True
+            s = starts[own[w]] + place[w]
+            yield out(kind[pick], ids[own[w]][pick], tkeys[own[w]][pick], s[pick], s[pick] + length, digest[pick, 0], digest[pick, 1])
+
+    def out(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            raw, offsets = utf8(batch.column(6))
+            raw, offsets = utf8(batch.column(7))
+            if not len(batch):
+                continue
             key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             new = np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])))
-            rest = [np.asarray(batch.column(i)) for i in (2, 3, 4, 5)]
+            rest = [np.asarray(batch.column(i)) for i in (2, 3, 4, 5, 6)]
             buf = raw.tobytes()
             a = 0
             for b in [*np.flatnonzero(new)[1:].tolist(), len(new)]:
@@ -200,52 +251,55 @@ def judged(pieces: DataFrame, length: int) -> DataFrame:
                 if size > BATCH and held and held[-1][0] != k:
                     yield from flush(held)
                     held, size = [], 0
-                held.append((k, rest[0][a:b], rest[1][a:b], rest[2][a:b], rest[3][a:b], [buf[offsets[r] : offsets[r + 1]] for r in range(a, b)]))
+                held.append((k, *[c[a:b] for c in rest], [buf[offsets[r] : offsets[r + 1]] for r in range(a, b)]))
                 size += int(offsets[b] - offsets[a])
                 a = b
         if held:
             yield from flush(held)
 
     def flush(held):
-        gram = np.concatenate([np.full(len(h[1]), h[0][0]) for h in held])
-        hot, ids, starts, n = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3, 4))
-        yield from work(gram, hot, ids, starts, n, [r for h in held for r in h[5]])
+        yield from work(*[np.concatenate([h[i] for h in held]) for i in range(1, 6)], [r for h in held for r in h[6]])
 
-    order = pieces.repartition("gram", "slice").sortWithinPartitions("gram", "slice").select("gram", "slice", "hot", "doc_id", "start", "n", "piece")
-    return in_arrow(order, run, "kind int, doc_id long, start long, end long, h1 long, h2 long")
+    order = pieces.repartition("gram", "slice").sortWithinPartitions("gram", "slice").select("gram", "slice", "hot", "doc_id", "tkey", "start", "n", "piece")
+    return in_arrow(order, run, "kind int, doc_id long, tkey long, start long, end long, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end): byte spans covered by strings of `length` bytes that start elsewhere too. Spans may overlap.
+    """(doc_id, tkey, start, end): byte spans covered by strings of `length` bytes that start elsewhere too; tkey is xxhash64 of the text.
+    Spans may overlap.
 
     Every window of `length` bytes has one minimiser gram. Runs of windows with equal gram and equal bytes repeat as a whole. Runs
     with equal grams and different bytes are brought together by gram, and the transform tells which of their windows
-    repeat. A gram with more than HOT different runs is cut into slices; its windows are then compared across slices by hash.
+    repeat. A gram with more than HOT different runs is cut into slices; its windows are then compared across slices by digest.
     """
-    rows = materialize(anchor_rows(docs.filter(F.col(ident).isNotNull()), length, gram, text, ident), "op6-anchors")
-    runs = materialize(rows.groupBy("gram", "ctx").agg(F.min(F.struct("doc_id", "start", "count")).alias("at"), F.count(F.lit(1)).alias("n")), "op6-runs")
+    docs = keyed(docs.filter(F.col(ident).isNotNull()), text, ident)
+    rows = materialize(anchor_rows(docs, length, gram), "op6-anchors", "lz4")
+    runs = materialize(rows.groupBy("gram", "c1", "c2").agg(F.min(F.struct("doc_id", "tkey", "start", "count")).alias("at"), F.count(F.lit(1)).alias("n")), "op6-runs", "lz4")
     by_gram = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("ctxs"), F.min("n").alias("least")).filter("ctxs > 1 and least = 1").select("gram", "ctxs")
     by_gram = materialize(by_gram, "op6-grams")
-    total = by_gram.agg(F.coalesce(F.sum("ctxs"), F.lit(0))).first()[0]
-    check = lookup(runs, by_gram, "gram", "ctxs", total).withColumn("hot", (F.col("ctxs") > HOT).cast("int"))
-    check = check.withColumn("slice", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("ctx"), F.ceil(F.col("ctxs") / SLICE).cast("int"))).otherwise(0).cast("int"))
-    lists = check.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "gram", "ctx", "slice", "hot", "n")).alias("at"))
-    there = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(lists, "doc_id").select("doc_id", "_text", "at")
+    check = lookup(runs, by_gram, "gram", "ctxs").withColumn("hot", (F.col("ctxs") > HOT).cast("int"))
+    check = check.withColumn("slice", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("c1"), F.ceil(F.col("ctxs") / SLICE).cast("int"))).otherwise(0).cast("int"))
+    lists = check.groupBy("at.doc_id", "at.tkey").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "gram", "slice", "hot", "n")).alias("at"))
+    lists = materialize(lists, "op6-lists")
+    there = docs.join(small(lists, weight=F.size("at")), ["doc_id", "tkey"]).select("doc_id", "tkey", "_text", "at")
     found = materialize(judged(cut_out(there, length), length), "op6-judged")
-    spans = found.filter("kind = 0").select("doc_id", "start", "end")
+    spans = found.filter("kind = 0").select("doc_id", "tkey", "start", "end")
     windows = found.filter("kind > 0")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    spans = spans.unionByName(windows.filter("kind = 1").join(again, ["h1", "h2"], "left_semi").select("doc_id", "start", "end"))
-    twice = materialize(runs.filter("n > 1").select("gram", "ctx", "n").withColumn("key", F.struct("gram", "ctx")).drop("gram", "ctx"), "op6-twice")
-    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = lookup(rows.withColumn("key", F.struct("gram", "ctx")), twice, "key", "n", total)
-    return spans.unionByName(whole.select("doc_id", "start", (F.col("start") + F.col("count") - 1 + length).alias("end")))
+    spans = spans.unionByName(windows.filter("kind = 1").join(again, ["h1", "h2"], "left_semi").select("doc_id", "tkey", "start", "end"))
+    key = F.struct("gram", "c1", "c2")
+    twice = materialize(runs.filter("n > 1").select(key.alias("key"), "n"), "op6-twice")
+    whole = lookup(rows.withColumn("key", key), twice, "key", "n")
+    return spans.unionByName(whole.select("doc_id", "tkey", "start", (F.col("start") + F.col("count") - 1 + length).alias("end")))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): the text's bytes without the spans, which are merged first."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("at"))
-    both = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(lists, "doc_id", "left")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats): the text's bytes without the spans, which are merged first; whether
+    there were any."""
+    lists = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("at")), "op6-spans")
+    lists = small(lists.toDF("_id", "_k", "at"), 1 << 21, F.size("at"))
+    own = keyed(docs, text, ident)
+    both = own.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("tkey") == F.col("_k")), "left").select("doc_id", "_text", "at")
 
     def run(batches):
         for batch in batches:
@@ -253,25 +307,35 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: s
             at = batch.column(2)
             lo = np.asarray(at.offsets)
             s, e = np.asarray(at.values.field("start")), np.asarray(at.values.field("end"))
-            cols = [[] for _ in range(4)]
+            buf = raw.tobytes()
+            cols = [[] for _ in range(5)]
             for r in range(len(batch)):
-                own = raw[offsets[r] : offsets[r + 1]]
+                left = memoryview(buf)[offsets[r] : offsets[r + 1]]
+                size, kept, last, gone, count = len(left), hashlib.sha256(), 0, 0, 0
                 a, b = s[lo[r] : lo[r + 1]], e[lo[r] : lo[r + 1]]
-                edge = np.zeros(len(own) + 1, np.int64)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, b, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                left = own[~gone].tobytes()
-                starts = gone & ~np.concatenate(([False], gone[:-1])) if len(own) else gone
-                for c, v in zip(cols, (len(own), int(gone.sum()), int(starts.sum()), hashlib.sha256(left).hexdigest()), strict=True):
+                if len(a):
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], np.maximum.accumulate(b[order])
+                    head = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+                    for x, y in zip(a[head].tolist(), b[np.concatenate((head[1:], [len(a)])) - 1].tolist(), strict=True):
+                        kept.update(left[last:x])
+                        gone, count, last = gone + y - x, count + 1, y
+                kept.update(left[last:])
+                for c, v in zip(cols, (size, gone, count, kept.hexdigest(), gone > 0), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"])
 
-    return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text has no bytes; texts under 400 bytes lose nothing; rows that repeat a
-    doc_id count as one document; a null doc_id loses nothing; other columns play no part."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether the document holds a string of 400 bytes that also starts
+    elsewhere).
+
+    Null text has no bytes; texts under 400 bytes lose nothing; texts may be of any length. Rows that repeat a doc_id are
+    documents of their own, so equal ones of 400 bytes lose all; a null doc_id loses nothing and counts for nothing;
+    no string has a first occurrence that stays, so there are no ties; other columns, whatever their names, play no part; an
+    empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_spans(docs, repeated_spans(docs))

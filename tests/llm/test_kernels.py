@@ -77,11 +77,24 @@ def test_interval_expansion():
         assert got.tolist() == want
 
 
+def test_repeating_windows():
+    random.seed(6)
+    base = "".join(random.choice("abcd") for _ in range(400))
+    raws = ["".join(random.choice("abcd") for _ in range(random.randint(30, 90))).encode() for _ in range(40)]
+    raws += [(base[i : i + random.randint(30, 120)] + random.choice("xyz") * 3).encode() for i in range(0, 300, 11)] + [b"e" * 50, b"uvw" * 12]
+    own, place, flag = suffix_dedup.repeating(raws, 30)
+    assert len(own) == sum(len(r) - 29 for r in raws)
+    from collections import Counter
+
+    seen = Counter(r[i : i + 30] for r in raws for i in range(len(r) - 29))
+    assert flag.tolist() == [seen[raws[r][i : i + 30]] > 1 for r, i in zip(own, place)] and flag.any() and not flag.all()
+
+
 def test_anchor_runs_cover_each_window_once():
     random.seed(4)
     texts = ["".join(random.choice("abcd ") for _ in range(n)) for n in (0, 10, 400, 401, 3000)]
     raw, off = common.utf8(pa.array(texts))
-    row, start, count, g, ctx = suffix_dedup.anchors(raw, off, 400, 64)
+    row, start, count, g = suffix_dedup.anchors(raw, off, 400, 64)
     seen = sorted((r, s - off[r] + i) for r, s, c in zip(row, start, count) for i in range(c))
     assert seen == [(r, i) for r, t in enumerate(texts) for i in range(len(t) - 399)]
 

@@ -92,6 +92,24 @@ def test_media_of_many_chunks(spark):
     assert len(set(map(bytes, lists[1]["chunks"])) & set(map(bytes, lists[2]["chunks"]))) > 2
 
 
+def test_media_of_odd_tables(spark):
+    table = [(1, "a" * 70, 5), (1, "b", 6), (None, "a" * 70, 7), (2, None, 8), (3, "", 9), (4, "é" * 40000, 1)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, media_id int")
+    got = sorted((str(r.doc_id), r.payload_sha256, r.n_bytes) for r in media.store_media(docs).collect())
+    pay = lambda t: (t or "").encode() + b"\0" * (max(64, -(-len((t or "").encode()) // 64) * 64) - len((t or "").encode()))
+    assert got == sorted((str(i), hashlib.sha256(pay(t)).hexdigest(), len((t or "").encode())) for i, t, _ in table)
+
+
+def test_media_are_kept_and_read(spark, docs, tmp_path):
+    media.write_media(docs, f"file://{tmp_path}/m")
+    back = rows(media.read_media(spark, f"file://{tmp_path}/m"))
+    assert {i: r["text"] for i, r in back.items()} == {i: t or "" for i, t, *_ in corpus()}
+    some = media.read_media(spark, f"file://{tmp_path}/m", spark.createDataFrame([(3,), (4,)], "doc_id long")).collect()
+    assert sorted(r.doc_id for r in some) == [3, 4]
+    chunks = spark.read.parquet(f"file://{tmp_path}/m/chunks")
+    assert chunks.count() == chunks.select("digest").distinct().count()
+
+
 def test_exact(docs, empty, spark):
     got = rows(exact_dedup.exact_dedup(docs))
     groups = {}
@@ -138,6 +156,22 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix_sources(odd).count() == 2 and mixing.mix_sources(empty).count() == 0
 
 
+def test_sample_follows_the_targets(spark):
+    rng = random.Random(12)
+    table = [(i, prose(rng, rng.randint(5, 60)), rng.choice(["en"] * 8 + ["de", "fr"]), rng.choice(["big"] * 20 + ["a", "b", "c"]), rng.choice("xxxxxy"), 7, 0.5) for i in range(6000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, topic string, _tokens int, p double")
+    report = mixing.marginals(docs).collect()
+    assert all(abs(r.target - r.realised) < 0.005 for r in report) and max(abs(r.target - r.natural) for r in report) > 0.05
+    kept = mixing.sample_documents(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert all(r._tokens == 7 and r.p == 0.5 for r in kept)
+    total = sum(len(r.text.split()) for r in kept)
+    for r in report:
+        have = sum(len(x.text.split()) for x in kept if x[r.dimension] == r.value) / total
+        assert abs(have - r.target) < 0.05, (r, have)
+
+
 def test_raking_meets_its_targets(spark):
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", 10 + 7 * a + 5 * b * c) for a in range(3) for b in range(2) for c in range(2)], "source string, lang string, topic string, tokens long")
     want = {d: spark.createDataFrame(v, f"{d} string, _share double") for d, v in (("source", [("s0", 0.5), ("s1", 0.3), ("s2", 0.2)]), ("lang", [("l0", 0.7), ("l1", 0.3)]), ("topic", [("t0", 0.4), ("t1", 0.6)]))}
@@ -278,31 +312,63 @@ def test_lines_of_odd_tables(spark):
     assert kept.columns == clash.columns and all(r._lines == 7 and r._gone == "x" for r in kept.collect())
 
 
+def brute_units(table):
+    """For each row its text less what repeats, by plain Python; and the words it shares."""
+    pattern = re.compile(unit_dedup.SENTENCE)
+    norm = lambda t: " ".join(re.findall(r"[^\x20\x09-\x0D]+", lower(t)))
+    units = []
+    for i, t in table:
+        at = 0
+        for n, line in enumerate((t or "").split("\n")):
+            parts = pattern.findall(line)
+            cuts = [(i, at, 0, t, n, -1, line)] if norm(line) else []
+            pos = at
+            for k, p in enumerate(parts):
+                if len(parts) > 1 and len(norm(p).split()) >= unit_dedup.SENTENCE_WORDS:
+                    cuts.append((i, pos, 1, t, n, k, p))
+                pos += len(p.encode())
+            units += cuts
+            at += len(line.encode()) + 1
+    first, count = {}, Counter(norm(u[6]) for u in units)
+    for u in sorted(units, key=lambda u: (u[0], u[1], 1 - u[2], u[3] or "")):
+        first.setdefault(norm(u[6]), u)
+    gone = {(u[0], u[3], u[4], u[5]) for u in units if first[norm(u[6])] != u}
+    out = []
+    for i, t in table:
+        left = []
+        for n, line in enumerate((t or "").split("\n")):
+            if (i, t, n, -1) not in gone:
+                left.append("".join(p for k, p in enumerate(pattern.findall(line)) if (i, t, n, k) not in gone))
+        own = [u for u in units if (u[0], u[3]) == (i, t) and count[norm(u[6])] > 1 and len(norm(u[6]).split()) >= unit_dedup.SENTENCE_WORDS]
+        wide = {u[4] for u in units if (u[0], u[3]) == (i, t) and u[5] < 0 and count[norm(u[6])] > 1}
+        out.append((i, "\n".join(left), sum(len(norm(u[6]).split()) for u in own if u[5] < 0 or u[4] not in wide)))
+    return out
+
+
+def check_units(table, docs):
+    got = unit_dedup.cut(docs.select("doc_id", "text"), unit_dedup.marked(docs)).collect()
+    want = brute_units(table)
+    assert sorted((str(r.c0), r.c1 or "", r._shared) for r in got) == sorted((str(i), t, s) for i, t, s in want)
+    for r in got:
+        assert r._units >= 1 and r._bytes == sum(s.end - s.start for s in r._spans)
+    return got
+
+
 def test_units(docs, empty):
-    out = rows(unit_dedup.cut(docs, unit_dedup.marked(docs)))
-    seen = set()
-    for i, t, *_ in corpus():
-        left, spans, at = [], [], 0
-        for u in (t or "").split("\n"):
-            n = " ".join(re.sub(r"[ \t-\r]+", " ", lower(u)).strip(" ").split(" "))
-            long = len(n.split(" ")) >= unit_dedup.MIN_WORDS
-            if long and n in seen:
-                spans.append((at, at + len(u.encode())))
-            else:
-                left.append(u)
-            if long:
-                seen.add(n)
-            at += len(u.encode()) + 1
-        assert [tuple(s) for s in out[i]["_spans"]] == spans
-        assert (out[i]["text"] or "") == "\n".join(left)
+    check_units([(i, t) for i, t, *_ in corpus()], docs)
     assert unit_dedup.cut(empty, unit_dedup.marked(empty)).count() == 0
 
 
-def test_units_of_few_words(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Menu\n\nHome  page\nmenu"), (2, "home page\n\nMENU\nnew"), (3, None)], "doc_id long, text string")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = rows(unit_dedup.op8_unit_dedup(spark, str(tmp_path)))
-    assert {i: (r["n_units"], r["n_removed"], r["spans"]) for i, r in got.items()} == {1: (4, 1, "17-21"), 2: (4, 2, "0-9,11-15"), 3: (1, 0, "")}
+def test_units_of_odd_tables(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 9) + "." for _ in range(3))
+    table = [(1, f"Menu\n\nHome  page\nmenu"), (2, "home page\n\nMENU\nnew"), (3, None), (4, f"{a} {b} tail\n{c}"), (5, f"Head {a.upper()} {b}\n{b}"), (5, f"{c} other. {a} one two three\nmenu"),
+             (6, f"x! y? {a}{b}... z"), (7, ("word " * 30 + ". ") * 50), (-1, f"{a}  {c}"), (8, "...\n!?\n   \n\t"), (9, "...")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({"_units": F.lit(1), "_gone": F.lit(2), "c0": F.lit(3)})
+    check_units(table, docs)
+    more = docs.unionByName(spark.createDataFrame([(None, a + "\nmenu", 1, 2, 3)], docs.schema))
+    got = unit_dedup.cut(more.select("doc_id", "text"), unit_dedup.marked(more)).filter("c0 is null").collect()
+    assert [r.c1 for r in got] == [a + "\nmenu"]
 
 
 def toxic_table(spark, n=1500):
