@@ -7,9 +7,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 MAX_CONFIDENCE = 0.95
 
 
+def population(symbols: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Every distinct symbol (key) with its degrees, 0 where it has no edge: what outliers are measured against. Written out, as it is
+    read for the threshold and for the rows."""
+    return checkpointed(symbols.select("key").distinct().join(degrees, "key", "left").fillna(0, ["fan_in", "fan_out"]))
+
+
 def with_outlier_threshold(df: DataFrame, value: str) -> DataFrame:
     """df with threshold = mean + 2 population standard deviations of value, from exact integer sums where value is an integer."""
     v = F.col(value).cast("double")

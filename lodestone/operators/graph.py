@@ -8,20 +8,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a session in one JVM gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,7 +73,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, reverse: bool =
     """(key, depth): the least number of hops from the seeds (key), seeds at 0. Depth is capped at 20."""
     e = edges.filter(F.col("rel").isin(rels)) if rels else edges
     e = e.select(F.col("dst").alias("key"), F.col("src").alias("next")) if reverse else e.select(F.col("src").alias("key"), F.col("dst").alias("next"))
-    e = e.distinct()
+    e = checkpointed(e.distinct())
     front = checkpointed(seeds.select("key").distinct().withColumn("depth", F.lit(0)))
     seen = front
     for d in range(1, min(depth, MAX_DEPTH) + 1):
@@ -79,7 +86,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, reverse: bool =
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 10, rels: list[str] | None = None) -> DataFrame:
     """(key, hops, path): for each target reached its shortest path from any source; of equals the least by node names."""
-    e = (edges.filter(F.col("rel").isin(rels)) if rels else edges).select(F.col("src").alias("key"), F.col("dst").alias("next")).distinct()
+    e = checkpointed((edges.filter(F.col("rel").isin(rels)) if rels else edges).select(F.col("src").alias("key"), F.col("dst").alias("next")).distinct())
     front = checkpointed(sources.select("key").distinct().select("key", F.array("key").alias("path")))
     seen = front
     for _ in range(min(depth, MAX_DEPTH)):
@@ -126,11 +133,66 @@ def reachable_pairs(edges: DataFrame, most: int = 64) -> DataFrame:
     return have
 
 
+def reached(edges: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+    """(src, dst): what each seed (src) reaches by one edge or more. The frontier carries its seed, so only seeds' walks are made."""
+    e = checkpointed(edges.select(F.col("src").alias("mid"), "dst").distinct())
+    front = checkpointed(seeds.select("src").distinct().join(e.withColumnRenamed("mid", "src"), "src").distinct())
+    seen = front
+    for _ in range(most):
+        front = checkpointed(front.withColumnRenamed("dst", "mid").join(e, "mid").select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both incoming and outgoing edges: the others lie on no cycle. Repeated until nothing goes."""
+    left = edges.count()
+    while left:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = checkpointed(kept.select("src", "dst"))
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    return edges
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(key, component): component is the least member; only components of two or more nodes."""
-    reach = reachable_pairs(edges.filter("src <> dst"))
-    both = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").filter("src <> dst")
-    return both.groupBy(F.col("src").alias("key")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
+    """(key, component): component is the least member; only components of two or more nodes.
+
+    After trimming, each node takes the least name that reaches it (its colour), passed on along edges until nothing changes. A
+    colour's own node and the nodes of that colour that reach it are one component; they leave, and the rest goes on. Every
+    step is a join of edges with nodes, so the work grows with the edges, not with pairs of nodes.
+    """
+    left, found = trimmed(checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())), None
+    while not left.isEmpty():
+        colour = checkpointed(left.select(F.col("src").alias("key")).union(left.select("dst")).distinct().withColumn("colour", F.col("key")))
+        while True:
+            offer = left.join(colour.withColumnRenamed("key", "src"), "src").groupBy(F.col("dst").alias("key")).agg(F.min("colour").alias("offer"))
+            new = checkpointed(colour.join(offer, "key", "left").select("key", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")))
+            colour = new.select("key", "colour")
+            if new.filter("moved").isEmpty():
+                break
+        # Backward from each colour's own node, within the colour.
+        inner = left.join(colour.select(F.col("key").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("key").alias("dst"), F.col("colour").alias("cd")), "dst").filter("cs = cd")
+        inner = checkpointed(inner.select("src", "dst"))
+        front = checkpointed(colour.filter("key = colour").select("key"))
+        held = front
+        while True:
+            front = checkpointed(inner.join(front.withColumnRenamed("key", "dst"), "dst").select(F.col("src").alias("key")).distinct().join(held, "key", "left_anti"))
+            if front.isEmpty():
+                break
+            held = held.unionByName(front)
+        part = checkpointed(colour.join(held, "key", "left_semi").select("key", F.col("colour").alias("component")))
+        found = part if found is None else found.unionByName(part)
+        rest = left.join(part.select(F.col("key").alias("src")), "src", "left_anti").join(part.select(F.col("key").alias("dst")), "dst", "left_anti")
+        left = trimmed(checkpointed(rest.select("src", "dst")))
+    if found is None:
+        return edges.select(F.col("src").alias("key"), F.col("src").alias("component")).limit(0)
+    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return found.join(many, "component").select("key", "component")
 
 
 def condensed(edges: DataFrame, oversized: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from .graph import checkpointed
 
-PARAM = r"^(:.*|[{].*[}]|<.*>|[\[].*[\]]|[0-9]+)$"
+FORMATS = ("json", "xml")
 
 
-def normalise_path(path: Column) -> Column:
-    """Parameters of any notation, and numbers, as {}; format extensions and trailing slashes cut off."""
-    segments = F.split(F.regexp_replace(path, "/+$", ""), "/", -1)
-    return F.array_join(F.transform(segments, lambda s: F.when(s.rlike(PARAM), "{}").otherwise(F.regexp_replace(s, r"[.](json|xml|html)$", ""))), "/")
+def normalise_path(path: Column, formats: tuple[str, ...] = FORMATS) -> Column:
+    """A route's path for matching: outer spaces and trailing slashes go, then a response format at the end of the last segment, and then
+    a segment that is a parameter, in any of four notations, becomes {}. Numbers and dotted names stay."""
+    text = F.trim(path)
+    text = F.when(F.length(text) > 1, F.regexp_replace(text, "/+$", "")).otherwise(text)
+    segments = F.split(text, "/", -1)
+    last = F.regexp_replace(F.element_at(segments, -1), rf"^(.+)[.]({'|'.join(formats)})$", "$1")
+    whole = F.concat(F.slice(segments, F.lit(1), F.size(segments) - 1), F.array(last))
+    return F.array_join(F.transform(whole, lambda s: F.when(s.rlike(r"^(:.*|[{].*[}]|<.*>|\[.*\])$"), "{}").otherwise(s)), "/")
 
 
 def suffixes(path: Column) -> Column:
@@ -90,16 +95,18 @@ def materialise(imports: DataFrame, samples: int = 25) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("edges"), F.array_join(F.slice(F.sort_array(F.collect_set(F.concat("src", F.lit("->"), "dst"))), 1, samples), ",").alias("via"))
 
 
-def inherited(children: DataFrame, base: int, declares: int) -> DataFrame:
-    """The nearest ancestor (n // base, again and again) that declares the member (a multiple of `declares`)."""
-    front = checkpointed(children.select("child", F.col("child").alias("anc")))
-    done = front.filter(F.col("anc") % declares == 0)
-    open_ = front.filter(F.col("anc") % declares != 0)
-    while not open_.isEmpty():
-        front = checkpointed(open_.withColumn("anc", F.floor(F.col("anc") / base)))
-        done = done.unionByName(front.filter(F.col("anc") % declares == 0))
-        open_ = front.filter(F.col("anc") % declares != 0)
-    return done.select("child", F.col("anc").alias("owner"))
+def inherited(children: DataFrame, parents: DataFrame, declaring: DataFrame, depth: int = 20) -> DataFrame:
+    """(child, owner): the nearest of the child (itself first) and its ancestors that declares the member. parents: (child, parent)
+    edges of the hierarchy, one parent each; declaring: (name). Each step up is a join with the edges of those not yet settled."""
+    up, own = checkpointed(parents.select(F.col("child").alias("anc"), "parent").distinct()), checkpointed(declaring.select(F.col("name").alias("anc")).distinct())
+    front, done = checkpointed(children.select("child", F.col("child").alias("anc"))), None
+    for _ in range(depth + 1):
+        hit = front.join(own, "anc", "left_semi").select("child", F.col("anc").alias("owner"))
+        done = hit if done is None else done.unionByName(hit)
+        front = checkpointed(front.join(own, "anc", "left_anti").join(up, "anc").select("child", F.col("parent").alias("anc")))
+        if front.isEmpty():
+            break
+    return done
 
 
 def roll_up(edges: DataFrame, owner: DataFrame) -> DataFrame:

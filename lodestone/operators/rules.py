@@ -51,8 +51,10 @@ def forbid_fact(component):
 
 
 def cap_members(component, most: int):
-    n = component.select("name").distinct().agg(F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_set("name")).alias("names"))
-    return n.filter(F.col("members") > most).select("members", F.element_at(F.col("names"), most + 1).alias("first_over"))
+    """(members, first_over): the number of members if there are more than `most`, and the first name beyond them; no list is gathered."""
+    names = component.select("name").distinct()
+    over = names.orderBy("name").limit(most + 1).orderBy(F.desc("name")).limit(1).select(F.col("name").alias("first_over"))
+    return names.agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > most).join(F.broadcast(over))
 
 
 def require(component, when, must, edges=None, via=None):
@@ -92,7 +94,7 @@ def forbid_cycles(edges):
 
 def independent(edges, pairs):
     """(part, whole): parts that reach the whole that includes them."""
-    r = graph.reachable_pairs(edges)
+    r = graph.reached(edges, pairs.select(F.col("part").alias("src")))
     return pairs.join(r.select(F.col("src").alias("part"), F.col("dst").alias("whole")), ["part", "whole"], "left_semi")
 
 

@@ -6,9 +6,12 @@ repositories, and the lineitem and orders tables give the edges.
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import shared_folder
+
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 NAT = "nat AS (SELECT n_nationkey, 'nation/' || n_name AS module, r_name AS repo FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey)"
@@ -34,6 +37,7 @@ ROUTES = """routes AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '
  'repo' || (page_id % 4) AS repo, CASE WHEN page_id % 5 = 0 THEN '*' WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method FROM {pages})"""
 
 PARTS = {"nat": NAT, "facts": FACTS, "calls": CALLS, "depends": DEPENDS, "flow": FLOW, "imports": IMPORTS, "edges": EDGES, "routes": ROUTES}
+KEPT: dict[tuple, tuple] = {}
 NEEDS = {"facts": ["nat"], "flow": ["nat"], "imports": ["nat", "flow"], "edges": ["nat", "facts", "calls", "depends", "flow", "imports"]}
 
 
@@ -68,14 +72,32 @@ class Tables:
         used = [t for t in TABLES if "{" + t + "}" in text]
         return self.spark.sql(text, **{t: self.raw(t) for t in used})
 
+    def stamp(self) -> tuple:
+        """Modification times of the folder's tables: what is kept of them holds as long as these do."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet") for t in TABLES]
+        fs = paths[0].getFileSystem(conf)
+        return tuple(fs.getFileStatus(p).getModificationTime() if fs.exists(p) else 0 for p in paths)
+
+    def stored(self, name: str, by: str, order: str) -> DataFrame:
+        """One of PARTS written to the shared folder once a session, in folders by `by` and sorted by `order`: filters on either read
+        little, and the hops of a walk read files instead of joining the tables again."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name, self.stamp())
+        if key not in KEPT:
+            df, path = self.part(name), f"{shared_folder(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
+            df.sortWithinPartitions(by, order).write.partitionBy(by).parquet(path)
+            KEPT[key] = path, df.schema
+        path, schema = KEPT[key]
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+
     @functools.cached_property
     def facts(self) -> DataFrame:
-        return self.part("facts")
+        return self.stored("facts", "kind", "name")
 
     @functools.cached_property
     def edges(self) -> DataFrame:
-        return self.part("edges")
+        return self.stored("edges", "rel", "src")
 
     @functools.cached_property
     def imports(self) -> DataFrame:
-        return self.part("imports")
+        return self.stored("imports", "src_repo", "src")

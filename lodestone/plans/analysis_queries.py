@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analyses as a
+from ..operators import binders
 from ..operators import graph as g
 from ..operators import links as ln
 from ..operators import rules as c
@@ -13,6 +14,7 @@ from .registry import query
 
 CALLS_IN = "rel IN ('calls', 'depends_on')"
 DEGREES = DEG.format(w=CALLS_IN)
+SYMBOLS = ", y AS (SELECT f.name AS key, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM (SELECT DISTINCT name FROM facts WHERE kind = 'symbol') f LEFT JOIN d ON d.key = f.name)"
 
 
 @query("a1_cycles", sql("imports", REACH + " SELECT component, count(*) AS modules, CASE WHEN count(*) > 8 THEN 'coupled cluster' ELSE 'cycle' END AS wording FROM c GROUP BY component", True))
@@ -81,14 +83,14 @@ def a10(t: Tables):
     return e.select("topic", F.when(F.col("d") & F.col("i"), "ok").when(F.col("d"), "unimplemented").otherwise("undeclared").alias("verdict"), F.when(F.col("d") & F.col("i"), 0.0).when(F.col("d"), 0.65).otherwise(0.9).alias("confidence"))
 
 
-@query("a11_god_class", sql("edges", DEGREES + ", t AS (SELECT avg(fan_in) + 2 * stddev_pop(fan_in) AS threshold FROM d) SELECT key, fan_in, fan_out, round(greatest(0.5, least(0.5 + 0.5 * (fan_in / threshold - 1), 0.95)), 6) AS confidence FROM d, t WHERE fan_in >= 8 AND fan_in > threshold ORDER BY fan_in DESC, key LIMIT 25"))
+@query("a11_god_class", sql("edges", DEGREES + SYMBOLS + ", t AS (SELECT avg(fan_in) + 2 * stddev_pop(fan_in) AS threshold FROM y) SELECT key, fan_in, fan_out, round(greatest(0.5, least(0.5 + 0.5 * (fan_in / threshold - 1), 0.95)), 6) AS confidence FROM y, t WHERE fan_in >= 8 AND fan_in > threshold ORDER BY fan_in DESC, key LIMIT 25"))
 def a11(t: Tables):
-    return a.god_classes(g.degrees(t.edges.filter(CALLS_IN)))
+    return a.god_classes(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges.filter(CALLS_IN))))
 
 
-@query("a12_hotspots", sql("edges", DEGREES + ", s AS (SELECT *, fan_in * fan_out AS score FROM d) SELECT key, fan_in, fan_out, score FROM s WHERE fan_in >= 3 AND fan_out >= 3 AND score > (SELECT avg(score) + 2 * stddev_pop(score) FROM s) ORDER BY score DESC, key LIMIT 20"))
+@query("a12_hotspots", sql("edges", DEGREES + SYMBOLS + ", s AS (SELECT *, fan_in * fan_out AS score FROM y) SELECT key, fan_in, fan_out, score FROM s WHERE fan_in >= 3 AND fan_out >= 3 AND score > (SELECT avg(score) + 2 * stddev_pop(score) FROM s) ORDER BY score DESC, key LIMIT 20"))
 def a12(t: Tables):
-    return a.hotspots(g.degrees(t.edges.filter(CALLS_IN)))
+    return a.hotspots(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges.filter(CALLS_IN))))
 
 
 @query("a13_depth", sql("imports", DEPTH + " HAVING max(length) >= 2", True))
@@ -194,8 +196,8 @@ def to(t: Tables):
 
 E = "SELECT DISTINCT src, rel, dst FROM edges WHERE "
 query("c1_forbid", sql("edges", E + f"src IN {COMP} AND dst IN {TO} AND rel = 'calls'"))(lambda t: c.forbid(t.edges, comp(t), to(t), "calls").distinct())
-query("c2_forbid_reach", sql("edges", f", s AS (SELECT DISTINCT e.src, e.dst FROM edges e WHERE rel = 'depends_on' AND src IN (SELECT name FROM facts WHERE starts_with(name, 'Customer.1') AND repo = 'ASIA') AND dst IN {COMP}) SELECT dst AS key, 1 AS hops, min(src) || '>' || dst AS path FROM s GROUP BY dst"))(
-    lambda t: c.forbid_reach(t.edges, t.facts.filter("startswith(name, 'Customer.1') and repo = 'ASIA'"), comp(t), "depends_on", 1).withColumn("path", F.array_join("path", ">")))
+query("c2_forbid_reach", sql("edges", f", s AS (SELECT DISTINCT e.src, e.dst FROM edges e WHERE rel = 'depends_on' AND src IN (SELECT name FROM facts WHERE symbol_kind = 'function' AND repo = 'ASIA') AND dst IN {COMP}) SELECT dst AS key, 1 AS hops, min(src) || '>' || dst AS path FROM s GROUP BY dst"))(
+    lambda t: c.forbid_reach(t.edges, t.facts.filter("symbol_kind = 'function' and repo = 'ASIA'"), comp(t), "depends_on", 1).withColumn("path", F.array_join("path", ">")))
 query("c3_allow", sql("edges", E + f"src IN {COMP} AND rel = 'calls' AND dst IN (SELECT name FROM facts) AND dst NOT IN {COMP} AND dst NOT IN (SELECT name FROM facts WHERE cyclomatic < 45)"))(
     lambda t: c.allow(t.edges, comp(t), t.facts.filter("cyclomatic < 45"), t.facts, "calls").distinct())
 query("c4_protect", sql("edges", E + f"dst IN {COMP} AND src NOT IN {COMP} AND src NOT IN (SELECT name FROM facts WHERE repo = 'ASIA')"))(lambda t: c.protect(t.edges, comp(t), t.facts.filter("repo = 'ASIA'")))
@@ -212,8 +214,8 @@ query("c10_require_edge", sql("edges", "SELECT f.name FROM facts f WHERE kind =
     lambda t: c.require_edge(t.facts.filter("kind = 'symbol'"), t.edges, "depends_on").select("name"))
 query("c10_require_inbound", sql("edges", f"SELECT name FROM {TO} x WHERE name NOT IN (SELECT dst FROM edges WHERE rel = 'calls')"))(lambda t: c.require_edge(to(t), t.edges, "calls", True).select("name"))
 STEP = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
-query("c11_protocol", f"WITH s AS (SELECT DISTINCT user_id AS name, {STEP} AS step FROM events WHERE event_id % 23 = 0), h AS (SELECT name, max(step) AS highest FROM s WHERE step > 0 GROUP BY name) SELECT h.name, h.highest, string_agg(r.i::VARCHAR, ',' ORDER BY r.i) AS missing FROM h, range(1, 4) r(i) WHERE r.i <= h.highest AND NOT EXISTS (SELECT 1 FROM s WHERE s.name = h.name AND s.step = r.i) GROUP BY h.name, h.highest")(
-    lambda t: c.protocol(t.raw("events").select(F.col("user_id").alias("name"), F.expr(STEP).alias("step")).filter("step > 0").distinct()))
+query("c11_protocol", f"WITH s AS (SELECT DISTINCT user_id || ':' || day(ts) AS name, {STEP} AS step FROM events), h AS (SELECT name, max(step) AS highest FROM s WHERE step > 0 GROUP BY name) SELECT h.name, h.highest, string_agg(r.i::VARCHAR, ',' ORDER BY r.i) AS missing FROM h, range(1, 4) r(i) WHERE r.i <= h.highest AND NOT EXISTS (SELECT 1 FROM s WHERE s.name = h.name AND s.step = r.i) GROUP BY h.name, h.highest")(
+    lambda t: c.protocol(t.raw("events").select(F.concat_ws(":", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")).alias("name"), F.expr(STEP).alias("step")).filter("step > 0").distinct()))
 query("c12_forbid_cycles", sql("imports", REACH + " SELECT key, component FROM c", True))(lambda t: c.forbid_cycles(t.imports))
 query("c13_independent", sql("imports", ", r(src, dst) AS (SELECT src, dst FROM imports UNION SELECT r.src, i.dst FROM r JOIN imports i ON i.src = r.dst) SELECT src AS part, dst AS whole FROM r WHERE dst IN ('nation/NATION_9', 'nation/NATION_6')", True))(
     lambda t: c.independent(t.imports, t.part("nat").select(F.col("module").alias("part"), F.explode(F.array(F.lit("nation/NATION_9"), F.lit("nation/NATION_6"))).alias("whole"))))
@@ -235,14 +237,21 @@ query("c23_near_misses", "SELECT p.b AS word, q.b AS near, levenshtein(p.b, q.b)
 
 # ---- linking -------------------------------------------------------------------------------------------------------
 
-L1A = "list_transform(string_split(rtrim(path, '/'), '/'), lambda s: CASE WHEN regexp_matches(s, '^(:.*|[{].*[}]|<.*>|[[].*[]]|[0-9]+)$') THEN '{}' ELSE regexp_replace(s, '[.](json|xml|html)$', '') END)"
-NORM = f", n AS (SELECT page_id, repo, role, method, array_to_string({L1A}, '/') AS norm FROM routes)"
+L1A = """list_transform(list_concat(list_slice(seg, 1, -2), [regexp_replace(seg[-1], '^(.+)[.](json|xml)$', '\\1')]), lambda s: CASE WHEN starts_with(s, ':') OR (starts_with(s, '{') AND ends_with(s, '}') AND length(s) > 1)
+ OR (starts_with(s, '<') AND ends_with(s, '>') AND length(s) > 1) OR (starts_with(s, '[') AND ends_with(s, ']') AND length(s) > 1) THEN '{}' ELSE s END)"""
+SEGMENTS = "(SELECT *, string_split(CASE WHEN length(trim(path)) > 1 THEN rtrim(trim(path), '/') ELSE trim(path) END, '/') AS seg FROM routes)"
+NORM = f", n AS (SELECT page_id, repo, role, method, array_to_string({L1A}, '/') AS norm FROM {SEGMENTS})"
 query("l1a_normalise_path", sql("routes", NORM + " SELECT page_id, norm FROM n"))(lambda t: t.part("routes").select("page_id", ln.normalise_path(F.col("path")).alias("norm")))
-query("l1_http", sql("routes", NORM + """, c AS (SELECT * FROM n WHERE role = 'client'), s AS (SELECT * FROM n WHERE role = 'server'),
+HTTP = NORM + """, c AS (SELECT * FROM n WHERE role = 'client'), s AS (SELECT * FROM n WHERE role = 'server'),
  x AS (SELECT DISTINCT page_id, repo, method, array_to_string(list_slice(p, i::INT, len(p)), '/') AS suf, len(p) - i + 1 AS segs FROM (SELECT *, string_split(ltrim(norm, '/'), '/') AS p FROM c), range(1, 12) r(i) WHERE i <= len(p)),
  y AS (SELECT DISTINCT page_id AS sid, repo AS srepo, method AS smethod, array_to_string(list_slice(p, i::INT, len(p)), '/') AS suf FROM (SELECT *, string_split(ltrim(norm, '/'), '/') AS p FROM s), range(1, 12) r(i) WHERE i <= len(p)),
  m AS (SELECT x.page_id, y.sid, max(x.segs) AS segs FROM x JOIN y ON x.suf = y.suf AND x.repo <> y.srepo AND (x.method = y.smethod OR x.method = '*' OR y.smethod = '*') GROUP BY ALL),
- k AS (SELECT *, max(segs) OVER (PARTITION BY page_id) AS top FROM m WHERE segs >= 2) SELECT page_id, sid AS server_id, segs::BIGINT AS segments, count(*) OVER (PARTITION BY page_id) AS candidates FROM k WHERE segs = top"""))(lambda t: ln.http_links(t.part("routes")))
+ k AS (SELECT *, max(segs) OVER (PARTITION BY page_id) AS top FROM m WHERE segs >= 2),
+ mm AS (SELECT page_id, sid AS server_id, segs::BIGINT AS segments, count(*) OVER (PARTITION BY page_id) AS candidates FROM k WHERE segs = top)"""
+query("l1_http", sql("routes", HTTP + " SELECT * FROM mm"))(lambda t: ln.http_links(t.part("routes")))
+query("l1b_picked", sql("routes", HTTP + """, h AS (SELECT page_id, 'repo' || (page_id % 3) AS hint FROM routes WHERE role = 'client' AND page_id % 4 = 0), v AS (SELECT mm.*, coalesce(h.hint = r.repo, false) AS hinted FROM mm JOIN routes r ON r.page_id = mm.server_id LEFT JOIN h ON h.page_id = mm.page_id),
+ z AS (SELECT *, count(*) FILTER (hinted) OVER (PARTITION BY page_id) AS named FROM v) SELECT page_id, server_id, segments, CASE WHEN segments >= 3 THEN 'verified' ELSE 'probable' END AS confidence FROM z WHERE candidates = 1 OR (hinted AND named = 1)"""))(
+    lambda t: binders.picked_providers(t.part("routes"), t.part("routes").filter("role = 'client' and page_id % 4 = 0").select("page_id", F.concat(F.lit("repo"), (F.col("page_id") % 3).cast("string")).alias("repo"))))
 query("l1c_inverse", sql("routes", "SELECT page_id, role FROM routes a WHERE NOT EXISTS (SELECT 1 FROM routes b WHERE b.path = a.path AND b.role <> a.role)"))(lambda t: ln.unmatched(t.part("routes")))
 query("l2_imports", "SELECT DISTINCT a.p_partkey AS consumer, b.n_nationkey AS provider FROM part a JOIN nation b ON split_part(lower(a.p_name), ' ', 1) = lower(b.n_name) OR a.p_partkey % 25 = b.n_nationkey WHERE a.p_partkey % 25 = b.n_nationkey")(
     lambda t: ln.by_first_segment(t.raw("part").select(F.col("p_partkey").alias("consumer"), F.concat((F.col("p_partkey") % 25).cast("string"), F.lit("/pkg")).alias("path")), t.raw("nation").select(F.col("n_nationkey").cast("string").alias("segment"), F.col("n_nationkey").alias("provider"))))
@@ -258,8 +267,18 @@ query("l6_shared_code", """WITH l AS (SELECT DISTINCT source, unnest(string_spli
 query("l7_materialise", sql("imports", "SELECT src_repo AS consumer, dst_repo AS provider, count(*) AS edges, array_to_string(list_slice(list_sort(list(DISTINCT src || '->' || dst)), 1, 25), ',') AS via FROM imports WHERE src_repo <> dst_repo GROUP BY ALL"))(lambda t: ln.materialise(t.imports))
 query("l8_coverage_tally", sql("routes", "SELECT repo, count(*) AS detected, count(*) FILTER (method = '*') AS external, count(*) FILTER (method = 'POST') AS declared, count(*) FILTER (method = 'GET') AS open FROM routes WHERE role = 'client' GROUP BY repo"))(
     lambda t: t.part("routes").filter("role = 'client'").groupBy("repo").agg(F.count(F.lit(1)).alias("detected"), F.count_if(F.col("method") == "*").alias("external"), F.count_if(F.col("method") == "POST").alias("declared")).withColumn("open", F.col("detected") - F.col("external") - F.col("declared")))
-query("l16_inherited_calls", "WITH RECURSIVE a(child, anc) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 300 UNION ALL SELECT child, anc // 3 FROM a WHERE anc > 0) SELECT child, max(anc) AS owner FROM a WHERE anc % 5 = 0 GROUP BY child")(
-    lambda t: ln.inherited(t.raw("part").select(F.col("p_partkey").alias("child")), 3, 5))
+
+
+def l16(t: Tables):
+    """Part n derives from part n // 3, and each fifth part declares the member; part 0 stands for the root of all."""
+    part = t.raw("part").select(F.col("p_partkey").alias("child"))
+    parents = part.filter("child > 0").select("child", F.floor(F.col("child") / 3).alias("parent"))
+    declaring = part.filter("child % 5 = 0").select(F.col("child").alias("name")).union(t.spark.range(1).select(F.col("id").alias("name")))
+    return ln.inherited(part, parents, declaring)
+
+
+query("l16_inherited_calls", "WITH RECURSIVE a(child, anc) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT child, anc // 3 FROM a WHERE anc > 0) SELECT child, max(anc) AS owner FROM a WHERE anc % 5 = 0 GROUP BY child")(
+    l16)
 query("l20_module_edges", sql("edges", f", o AS (SELECT DISTINCT name, {MODULE} AS m FROM facts WHERE kind = 'symbol') SELECT x.m AS src, y.m AS dst, e.rel, count(*) AS n FROM edges e JOIN o x ON x.name = e.src JOIN o y ON y.name = e.dst WHERE x.m <> y.m GROUP BY ALL"))(
     lambda t: ln.roll_up(t.edges, t.facts.filter("kind = 'symbol'").select("name", F.expr(MODULE).alias("m")).distinct()))
 query("l28_unmatched_routes", sql("routes", "SELECT CASE WHEN s.path IN (SELECT path FROM routes WHERE role = 'client') THEN 'matched' WHEN method = '*' THEN 'unjudged' ELSE 'unmatched' END AS verdict, count(*) AS n FROM routes s WHERE role = 'server' GROUP BY 1"))(lambda t: ln.verdicts(t.part("routes")))

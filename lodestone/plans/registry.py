@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import analysis_queries, fact_queries, graph_queries, snapshot_queries  # noqa: F401
+    from . import analysis_queries, fact_queries, format_queries, graph_queries, snapshot_queries  # noqa: F401
 
 
 load()

@@ -45,13 +45,6 @@ def d1_nearest(t: Tables):
     return x.filter("point = 1 and decl is not null").select("conv_id", "line", "decl")
 
 
-@query("d2_diff_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^[A-E]')) AS hits FROM l GROUP BY doc_id""")
-def d2(t: Tables):
-    """Lines of a text by number, counted by what they start with, as a patch's lines are."""
-    x = t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").rlike("^[A-E]")).alias("hits"))
-
-
 @query("d3_stamps", "SELECT coalesce(a.doc_id, b.doc_id) AS id, CASE WHEN b.doc_id IS NULL THEN 'gone' WHEN a.doc_id IS NULL THEN 'present' WHEN a.h = b.h THEN 'current' ELSE 'rewritten' END AS stamp FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id")
 def d3(t: Tables):
     d = t.raw("documents")
@@ -171,7 +164,7 @@ def h2(t: Tables):
     return n.withColumn("total", F.sum("lines").over(Window.orderBy("rev")))
 
 
-@query("h3_blame", "WITH r AS (SELECT DISTINCT day(ts)::BIGINT AS rev, event_type || user_id AS line FROM events WHERE event_id % 3 = 0) SELECT line, min(rev) AS first, max(rev) AS last, CASE WHEN max(rev) < (SELECT max(rev) FROM r) THEN max(rev) + 1 END AS gone FROM r GROUP BY line")
+@query("h3_blame", "WITH r AS (SELECT DISTINCT day(ts)::BIGINT AS rev, event_type || user_id AS line FROM events) SELECT line, min(rev) AS first, max(rev) AS last, CASE WHEN max(rev) < (SELECT max(rev) FROM r) THEN max(rev) + 1 END AS gone FROM r GROUP BY line")
 def h3(t: Tables):
     return s.blame(t.raw("events").select(F.dayofmonth("ts").cast("long").alias("rev"), F.concat("event_type", F.col("user_id").cast("string")).alias("line")).distinct())
 
@@ -222,7 +215,7 @@ def m5(t: Tables):
     return e.groupBy(F.col("event_type").alias("method")).agg(F.countDistinct("user_id").alias("n")).join(F.broadcast(e.agg(F.countDistinct("user_id").alias("all_users")))).select("method", F.round(F.col("n") / F.col("all_users"), 6).alias("rate"))
 
 
-FLOW = ", r AS (SELECT s.src AS root, c.dst AS key FROM edges s JOIN edges c ON c.src = s.dst AND c.rel = 'calls' WHERE s.rel = 'depends_on' AND starts_with(s.src, 'Customer.11') UNION SELECT src, dst FROM edges WHERE rel = 'depends_on' AND starts_with(src, 'Customer.11'))"
+FLOW = ", r AS (SELECT s.src AS root, c.dst AS key FROM edges s JOIN edges c ON c.src = s.dst AND c.rel = 'calls' WHERE s.rel = 'depends_on' UNION SELECT src, dst FROM edges WHERE rel = 'depends_on')"
 
 
 def reach(t: Tables):

@@ -37,9 +37,9 @@ def test_l16(spark):
 
 def test_c11(spark):
     seen = {}
-    for e in read("events", "user_id", "event_type"):
+    for e in read("events", "user_id", "event_type", "ts"):
         if e["event_type"] in STEPS:
-            seen.setdefault(e["user_id"], set()).add(STEPS[e["event_type"]])
+            seen.setdefault(f"{e['user_id']}:{e['ts'].day}", set()).add(STEPS[e["event_type"]])
     want = {u: ",".join(str(i) for i in range(1, max(s) + 1) if i not in s) for u, s in seen.items()}
     assert {r.name: r.missing for r in run(spark, "c11_protocol")} == {u: m for u, m in want.items() if m}
 
