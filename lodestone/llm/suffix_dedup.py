@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, groups, in_arrow, lookup, materialize, rolling, small, table, utf8
+from .common import U64, groups, in_arrow, lookup, materialize, rolling, table, utf8
 
 LENGTH = 400
 GRAM = 64
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     check = check.withColumn("slice", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("c1"), F.ceil(F.col("ctxs") / SLICE).cast("int"))).otherwise(0).cast("int"))
     lists = check.groupBy("at.doc_id", "at.tkey").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "gram", "slice", "hot", "n")).alias("at"))
     lists = materialize(lists, "op6-lists")
-    there = docs.join(small(lists, weight=F.size("at")), ["doc_id", "tkey"]).select("doc_id", "tkey", "_text", "at")
+    there = docs.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", "_text", "at")
     found = materialize(judged(cut_out(there, length), length), "op6-judged")
     spans = found.filter("kind = 0").select("doc_id", "tkey", "start", "end")
     windows = found.filter("kind > 0")
@@ -297,7 +297,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: s
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats): the text's bytes without the spans, which are merged first; whether
     there were any."""
     lists = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("at")), "op6-spans")
-    lists = small(lists.toDF("_id", "_k", "at"), 1 << 21, F.size("at"))
+    lists = lists.toDF("_id", "_k", "at")
     own = keyed(docs, text, ident)
     both = own.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("tkey") == F.col("_k")), "left").select("doc_id", "_text", "at")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, groups, in_arrow, lookup, materialize, small, table, utf8
+from .common import LOWER, UPPER, groups, in_arrow, lookup, materialize, table, utf8
 from .line_dedup import LOWER as FOLDED
 from .line_dedup import keyed, lines_of
 
@@ -101,7 +101,7 @@ def cut(docs: DataFrame, lists: DataFrame, text: str = "text", ident: str = "doc
     at, own = docs.columns.index(text), docs.columns.index(ident)
     plain = docs.toDF(*names)
     key = plain.withColumn("_tkey", F.xxhash64(F.coalesce(F.col(names[at]), F.lit(""))))
-    both = key.join(small(lists.toDF("_id", "_k", "_at", "_words"), weight=2 + F.size("_at")), (F.col(names[own]).cast("long") == F.col("_id")) & (F.col("_tkey") == F.col("_k")), "left").select(*names, "_at", F.coalesce("_words", F.lit(0)).alias("_shared"))
+    both = key.join(lists.toDF("_id", "_k", "_at", "_words"), (F.col(names[own]).cast("long") == F.col("_id")) & (F.col("_tkey") == F.col("_k")), "left").select(*names, "_at", F.coalesce("_words", F.lit(0)).alias("_shared"))
     fields = [T.StructField(f.name, T.StringType() if k == at else f.dataType) for k, f in enumerate(plain.schema.fields)]
     more = [("_units", pa.int64(), T.LongType()), ("_lines", pa.int64(), T.LongType()), ("_sentences", pa.int64(), T.LongType()), ("_bytes", pa.int64(), T.LongType()),
             ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
