@@ -95,3 +95,21 @@ def mutual_pairs(pairs: DataFrame) -> DataFrame:
 
 def risk(weight: Column, confidence: Column, handler: Column) -> Column:
     return F.round(weight * confidence * F.when(handler, 1.3).otherwise(1.0), 2)
+
+
+#: Names of folders that by custom hold others' code, and names of licence files in lower case.
+VENDOR_FOLDERS = ("third_party", "thirdparty", "3rdparty", "external", "externals", "extern", "deps", "contrib", "vendored", "Pods", "Carthage", "bower_components")
+LICENCE_FILES = ("license", "license.txt", "license.md", "license.rst", "licence", "licence.txt", "licence.md", "copying", "copying.txt", "copying.md", "license-mit", "license-apache", "unlicense", "copyright")
+
+
+def vendored_candidates(files: DataFrame, levels: int = 2) -> DataFrame:
+    """(dir, licence, files, ignore): folders that hold a licence file and lie at most `levels` below a folder whose name says it holds
+    others' code; how many files they hold, and the glob that would leave them out. A report: nothing is left out by it."""
+    parts = F.split("path", "/")
+    f = files.select("path", parts.alias("parts"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folders"))
+    under = F.exists(F.slice("folders", F.greatest(F.size("folders") - levels, F.lit(1)), F.least(F.lit(levels), F.greatest(F.size("folders") - 1, F.lit(0)))), lambda x: x.isin(*VENDOR_FOLDERS))
+    held = f.filter(F.lower(F.element_at("parts", -1)).isin(*LICENCE_FILES) & (F.size("folders") > 1) & under)
+    held = held.groupBy(F.array_join("folders", "/").alias("dir")).agg(F.min(F.element_at("parts", -1)).alias("licence"))
+    above = F.transform(F.sequence(F.lit(1), F.size("folders")), lambda i: F.array_join(F.slice("folders", F.lit(1), i), "/"))
+    inside = f.filter(F.size("folders") > 0).select(F.explode(above).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
+    return held.join(inside, "dir").select("dir", "licence", "files", F.concat("dir", F.lit("/**")).alias("ignore"))

@@ -61,8 +61,15 @@ def coverage(routes: DataFrame) -> DataFrame:
     return x.withColumn("unresolved", F.col("detected") - F.col("resolved")).withColumn("status", status)
 
 
-def by_first_segment(imports: DataFrame, providers: DataFrame) -> DataFrame:
-    return imports.withColumn("segment", F.substring_index("path", "/", 1)).join(providers, "segment").select("consumer", "provider").distinct()
+def import_links(imports: DataFrame, providers: DataFrame) -> DataFrame:
+    """(consumer, provider, target): imports that name another repository, by the scope of '@scope/package' or else the leading path
+    segment, case apart. imports: consumer, target, family; providers: repo, name, family. Languages that can't import each other (other
+    families) don't link, nor does a repository with itself, nor a name that several repositories of a family claim."""
+    named = F.lower(F.when(F.col("target").startswith("@"), F.regexp_extract("target", "^@([^/]+)/", 1)).otherwise(F.substring_index("target", "/", 1)))
+    own = providers.select("repo", F.lower("name").alias("segment"), "family").distinct()
+    own = own.groupBy("segment", "family").agg(F.min("repo").alias("provider"), F.countDistinct("repo").alias("n")).filter("n = 1").drop("n")
+    x = imports.withColumn("segment", named).filter("segment <> ''").join(own, ["segment", "family"])
+    return x.filter("consumer <> provider").select("consumer", "provider", "target").distinct()
 
 
 def topics(uses: DataFrame) -> DataFrame:

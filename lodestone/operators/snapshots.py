@@ -77,3 +77,23 @@ def same_reach(reach: DataFrame) -> DataFrame:
     """(signature, roots, first): roots that reach the same set fold into one."""
     s = reach.groupBy("root").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("key")), ","), 256).alias("signature"))
     return s.groupBy("signature").agg(F.count(F.lit(1)).alias("roots"), F.min("root").alias("first")).select("first", "roots")
+
+
+def comparability(pairs: DataFrame) -> DataFrame:
+    """(pair, warning, blocking): what makes a comparison of two receipts doubtful. pairs: pair and, with the prefixes was_ and now_, repo,
+    version, extractors, globs, members (the last three arrays). A blocking warning means that the difference says nothing."""
+    gone = F.array_except("was_extractors", "now_extractors")
+    new = F.array_except("now_extractors", "was_extractors")
+    other = lambda c: F.size(F.array_except(f"was_{c}", f"now_{c}")) + F.size(F.array_except(f"now_{c}", f"was_{c}")) > 0
+    missing = F.col("was_version").isNull() | F.col("now_version").isNull()
+    said = [
+        (F.col("was_repo") != F.col("now_repo"), "repo", True), (missing, "pre-receipt", False), (~missing & (F.col("was_version") != F.col("now_version")), "version", False),
+        (F.size(gone) > 0, "extractor-lost", True), (F.size(new) > 0, "extractor-new", False), (other("globs"), "globs", False), (other("members"), "members", True)]
+    warnings = F.filter(F.array(*[F.when(when, F.struct(F.lit(name).alias("warning"), F.lit(block).alias("blocking"))) for when, name, block in said]), lambda x: x.isNotNull())
+    return pairs.select("pair", F.explode(warnings).alias("w")).select("pair", "w.warning", "w.blocking")
+
+
+def conformance(predicted: DataFrame, changed: DataFrame) -> DataFrame:
+    """(name, verdict): what a plan said would change against what did: 'kept', 'untouched', or 'spilled' outside the plan."""
+    p, c = predicted.select("name", F.lit(True).alias("p")).distinct(), changed.select("name", F.lit(True).alias("c")).distinct()
+    return p.join(c, "name", "full").select("name", F.when(F.col("p").isNull(), "spilled").when(F.col("c").isNull(), "untouched").otherwise("kept").alias("verdict"))

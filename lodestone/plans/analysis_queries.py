@@ -137,11 +137,6 @@ def a18(t: Tables):
     return s.filter("effective >= 2").select("name", "loop_depth", "effective", a.risk(F.col("effective"), conf, F.col("exported")).alias("risk"))
 
 
-@query("a20_vendored", "SELECT DISTINCT split_part(url, '/', 4) AS dir FROM pages WHERE regexp_matches(url, '/[a-z]+') AND length(split_part(url, '/', 4)) > 0")
-def a20(t: Tables):
-    return t.raw("pages").filter(F.col("url").rlike("/[a-z]+")).select(F.split_part("url", F.lit("/"), F.lit(4)).alias("dir")).filter("length(dir) > 0").distinct()
-
-
 @query("a21_import_closure", sql("imports", ", r(src, dst) AS (SELECT src, dst FROM imports UNION SELECT r.src, i.dst FROM r JOIN imports i ON i.src = r.dst) SELECT src AS module, count(*) AS closure FROM r GROUP BY src HAVING count(*) >= 2", True))
 def a21(t: Tables):
     return g.reachable_pairs(t.imports).groupBy(F.col("src").alias("module")).agg(F.count(F.lit(1)).alias("closure")).filter("closure >= 2")
@@ -207,12 +202,9 @@ query("c6_forbid_fact", sql("facts", "SELECT name FROM facts WHERE kind = 'symbo
 query("c7_cap_members", sql("facts", f", m AS (SELECT DISTINCT name FROM {TO}) SELECT count(*) AS members, (SELECT name FROM m ORDER BY name LIMIT 1 OFFSET 10) AS first_over FROM m HAVING count(*) > 10"))(lambda t: c.cap_members(to(t), 10))
 query("c8_require", sql("edges", f"SELECT name FROM facts WHERE name IN {COMP} AND loop_depth >= 2 AND NOT exported AND name IN (SELECT src FROM edges WHERE rel = 'calls')"))(
     lambda t: c.require(comp(t), F.col("loop_depth") >= 2, F.col("exported"), t.edges, "calls").select("name"))
-query("c9_require_defines", "SELECT DISTINCT 'T' || (user_id % 200) AS name FROM events WHERE user_id % 200 NOT IN (SELECT user_id % 200 FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0)")(
+query("c9_require_defines", "SELECT DISTINCT 'T' || (user_id % 200) AS name FROM events WHERE user_id % 200 NOT IN (SELECT user_id % 200 FROM events WHERE event_type = 'purchase' AND value >= 150)")(
     lambda t: c.require_defines(t.raw("events").select(F.concat(F.lit("T"), (F.col("user_id") % 200).cast("string")).alias("name")).distinct(),
-                                t.raw("events").filter("event_id % 40 = 0").select(F.concat(F.lit("T"), (F.col("user_id") % 200).cast("string")).alias("owner"), F.col("event_type").alias("method")), "purchase"))
-query("c10_require_edge", sql("edges", "SELECT f.name FROM facts f WHERE kind = 'symbol' AND name NOT IN (SELECT src FROM edges WHERE rel = 'depends_on') AND (repo, regexp_extract(file, '[^/]*$')) IN (SELECT (repo, regexp_extract(file, '[^/]*$')) FROM facts WHERE kind = 'symbol' AND name IN (SELECT src FROM edges WHERE rel = 'depends_on'))"))(
-    lambda t: c.require_edge(t.facts.filter("kind = 'symbol'"), t.edges, "depends_on").select("name"))
-query("c10_require_inbound", sql("edges", f"SELECT name FROM {TO} x WHERE name NOT IN (SELECT dst FROM edges WHERE rel = 'calls')"))(lambda t: c.require_edge(to(t), t.edges, "calls", True).select("name"))
+                                t.raw("events").filter("value >= 150").select(F.concat(F.lit("T"), (F.col("user_id") % 200).cast("string")).alias("owner"), F.col("event_type").alias("method")), "purchase"))
 STEP = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
 query("c11_protocol", f"WITH s AS (SELECT DISTINCT user_id || ':' || day(ts) AS name, {STEP} AS step FROM events), h AS (SELECT name, max(step) AS highest FROM s WHERE step > 0 GROUP BY name) SELECT h.name, h.highest, string_agg(r.i::VARCHAR, ',' ORDER BY r.i) AS missing FROM h, range(1, 4) r(i) WHERE r.i <= h.highest AND NOT EXISTS (SELECT 1 FROM s WHERE s.name = h.name AND s.step = r.i) GROUP BY h.name, h.highest")(
     lambda t: c.protocol(t.raw("events").select(F.concat_ws(":", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")).alias("name"), F.expr(STEP).alias("step")).filter("step > 0").distinct()))
@@ -253,8 +245,6 @@ query("l1b_picked", sql("routes", HTTP + """, h AS (SELECT page_id, 'repo' || (p
  z AS (SELECT *, count(*) FILTER (hinted) OVER (PARTITION BY page_id) AS named FROM v) SELECT page_id, server_id, segments, CASE WHEN segments >= 3 THEN 'verified' ELSE 'probable' END AS confidence FROM z WHERE candidates = 1 OR (hinted AND named = 1)"""))(
     lambda t: binders.picked_providers(t.part("routes"), t.part("routes").filter("role = 'client' and page_id % 4 = 0").select("page_id", F.concat(F.lit("repo"), (F.col("page_id") % 3).cast("string")).alias("repo"))))
 query("l1c_inverse", sql("routes", "SELECT page_id, role FROM routes a WHERE NOT EXISTS (SELECT 1 FROM routes b WHERE b.path = a.path AND b.role <> a.role)"))(lambda t: ln.unmatched(t.part("routes")))
-query("l2_imports", "SELECT DISTINCT a.p_partkey AS consumer, b.n_nationkey AS provider FROM part a JOIN nation b ON split_part(lower(a.p_name), ' ', 1) = lower(b.n_name) OR a.p_partkey % 25 = b.n_nationkey WHERE a.p_partkey % 25 = b.n_nationkey")(
-    lambda t: ln.by_first_segment(t.raw("part").select(F.col("p_partkey").alias("consumer"), F.concat((F.col("p_partkey") % 25).cast("string"), F.lit("/pkg")).alias("path")), t.raw("nation").select(F.col("n_nationkey").cast("string").alias("segment"), F.col("n_nationkey").alias("provider"))))
 query("l3_topics", "WITH e AS (SELECT DISTINCT event_type AS topic, user_id % 10 AS repo, user_id % 2 AS consumes FROM events) SELECT DISTINCT c.topic, c.repo AS consumer, p.repo AS producer FROM e c JOIN e p ON c.topic = p.topic AND p.consumes = 0 AND c.repo <> p.repo WHERE c.consumes = 1")(
     lambda t: ln.topics(t.raw("events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 10).alias("repo"), (F.col("user_id") % 2).alias("consumes")).distinct()))
 query("l4_unambiguous", "WITH s AS (SELECT p_name || p_brand || p_size AS field, min(p_partkey) AS owner FROM part GROUP BY 1 HAVING count(*) = 1) SELECT field, owner FROM s")(

@@ -7,6 +7,9 @@ from ..operators import analyses as a
 from ..operators import binders as b
 from ..operators import findings as f
 from ..operators import graph as g
+from ..operators import links as ln
+from ..operators import rules as c
+from ..operators import snapshots as sn
 from ..sources import formats
 from .adapter import Tables, sql
 from .registry import query
@@ -141,3 +144,74 @@ def q16_sources(t: Tables):
  left(sha256(source || chr(31) || regexp_replace(title, '[0-9]+', '#', 'g') || chr(31) || file), 16) AS fingerprint, confidence::DOUBLE AS confidence FROM fi"""))
 def k8(t: Tables):
     return f.sarif_results(found(t)).withColumn("rule_index", F.col("rule_index").cast("long"))
+
+
+# ---- pages that declare intent, folders of others' code, imports by name ----------------------------------------------
+
+
+@query("s6_intent", """SELECT 'wiki/' || n_nationkey || '.md' AS page, x.section, x.entry, x.line FROM nation, LATERAL (SELECT unnest(['owns', 'forbids', 'forbids']) AS section, unnest(['nation/' || n_name, 'part/' || n_regionkey, 'region']) AS entry, unnest([4, 6, 7]) AS line) x WHERE n_nationkey % 3 <> 0""")
+def s6(t: Tables):
+    """A page of each nation; every third lacks the key, or has it in its prose only."""
+    n = t.raw("nation")
+    key = F.when(F.col("n_nationkey") % 3 == 0, "notes").otherwise("intent")
+    body = F.concat(F.lit("---\n"), key, F.lit(":\n  owns:\n    - nation/"), "n_name", F.lit("\n  forbids:\n    - part/"), F.col("n_regionkey").cast("string"), F.lit("\n    - region\ntitle: page\nlist:\n  other:\n    - no entry\n---\n# Prose\nintent:\n  owns:\n    - nothing\n"))
+    return formats.declared_intent(n.select(F.concat(F.lit("wiki/"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("path"), body.alias("body")))
+
+
+TREE = "CASE p_size % 4 WHEN 0 THEN 'third_party/' WHEN 1 THEN 'src/deps/group/' WHEN 2 THEN 'lib/' ELSE 'a/external/x/y/' END || p_brand"
+
+
+@query("a20_vendored", f"""WITH f AS (SELECT {TREE} AS dir, CASE WHEN p_partkey % 5 = 0 THEN 'LICENSE.md' ELSE 'f' || p_partkey || '.c' END AS base FROM part), p AS (SELECT DISTINCT dir || '/' || base AS path, dir, base FROM f),
+ l AS (SELECT dir, min(base) AS licence FROM p WHERE base = 'LICENSE.md' AND (starts_with(dir, 'third_party/') OR starts_with(dir, 'src/deps/')) GROUP BY dir) SELECT l.dir, licence, (SELECT count(*) FROM p WHERE p.dir = l.dir) AS files, l.dir || '/**' AS ignore FROM l""")
+def a20(t: Tables):
+    files = t.spark.sql(f"SELECT DISTINCT concat({TREE}, '/', CASE WHEN p_partkey % 5 = 0 THEN 'LICENSE.md' ELSE concat('f', p_partkey, '.c') END) AS path FROM {{part}}", part=t.raw("part"))
+    return a.vendored_candidates(files)
+
+
+@query("l2_imports", """WITH i AS (SELECT r_name AS consumer, CASE p_partkey % 3 WHEN 0 THEN '@' || lower(n_name) || '/lib' WHEN 1 THEN n_name || '/pkg/' || p_size ELSE 'none/' || n_name END AS target, CASE WHEN p_size % 2 = 0 THEN 'js' ELSE 'py' END AS family, n_name, n_nationkey, p_partkey
+  FROM part JOIN nation ON p_partkey % 25 = n_nationkey JOIN region ON p_size % 5 = r_regionkey)
+ SELECT DISTINCT consumer, p.r_name AS provider, target FROM i JOIN (SELECT n_name AS name, r_name, CASE WHEN n_nationkey % 2 = 0 THEN 'js' ELSE 'py' END AS fam FROM nation JOIN region ON n_regionkey = r_regionkey) p ON p.name = i.n_name AND p.fam = i.family WHERE p_partkey % 3 < 2 AND consumer <> p.r_name""")
+def l2(t: Tables):
+    text = """SELECT r_name AS consumer, CASE p_partkey % 3 WHEN 0 THEN concat('@', lower(n_name), '/lib') WHEN 1 THEN concat(n_name, '/pkg/', p_size) ELSE concat('none/', n_name) END AS target, CASE WHEN p_size % 2 = 0 THEN 'js' ELSE 'py' END AS family
+     FROM {part} JOIN {nation} ON p_partkey % 25 = n_nationkey JOIN {region} ON p_size % 5 = r_regionkey"""
+    imports = t.spark.sql(text, part=t.raw("part"), nation=t.raw("nation"), region=t.raw("region"))
+    providers = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("repo"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "js").otherwise("py").alias("family"))
+    return ln.import_links(imports, providers)
+
+
+# ---- receipts, plans, required edges ----------------------------------------------------------------------------------
+
+RECEIPT = "SELECT n_nationkey AS k, r_name AS repo, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE '1.' || (n_nationkey % 3) END AS version, CASE WHEN n_nationkey % 4 = 0 THEN {go} ELSE {goruby} END AS extractors, CASE WHEN n_nationkey % 2 = 0 THEN {x} ELSE {xy} END AS globs, CASE WHEN n_nationkey % 5 = 4 THEN {a} ELSE {ab} END AS members"
+LISTS = {"go": ["go"], "goruby": ["go", "ruby"], "x": ["x"], "xy": ["x", "y"], "a": ["a"], "ab": ["a", "b"]}
+
+
+@query("d7_comparability", "WITH r AS (" + RECEIPT.format(**{k: str(v) for k, v in LISTS.items()}) + """ FROM nation JOIN region ON n_regionkey = r_regionkey), p AS (SELECT a.k || '-' || b.k AS pair, a AS w, b AS n FROM r a JOIN r b ON b.k IN (a.k + 1, a.k + 5))
+ SELECT pair, 'repo' AS warning, true AS blocking FROM p WHERE w.repo <> n.repo UNION ALL SELECT pair, 'pre-receipt', false FROM p WHERE w.version IS NULL OR n.version IS NULL UNION ALL SELECT pair, 'version', false FROM p WHERE w.version <> n.version
+ UNION ALL SELECT pair, 'extractor-lost', true FROM p WHERE len(w.extractors) > len(n.extractors) UNION ALL SELECT pair, 'extractor-new', false FROM p WHERE len(w.extractors) < len(n.extractors) UNION ALL SELECT pair, 'globs', false FROM p WHERE w.globs <> n.globs UNION ALL SELECT pair, 'members', true FROM p WHERE w.members <> n.members""")
+def d7(t: Tables):
+    lists = {k: "array(" + ", ".join(f"'{x}'" for x in v) + ")" for k, v in LISTS.items()}
+    r = t.spark.sql(RECEIPT.format(**lists) + " FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", nation=t.raw("nation"), region=t.raw("region"))
+    fields = [x for x in r.columns if x != "k"]
+    was, now = r.select(F.col("k").alias("i"), *[F.col(x).alias(f"was_{x}") for x in fields], F.explode(F.array(F.col("k") + 1, F.col("k") + 5)).alias("j")), r.select(F.col("k").alias("j"), *[F.col(x).alias(f"now_{x}") for x in fields])
+    return sn.comparability(was.join(now, "j").withColumn("pair", F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string"))))
+
+
+@query("d17_conformance", sql("imports facts", """, p AS (SELECT DISTINCT dst AS name FROM imports WHERE src_repo = 'ASIA'), ch AS (SELECT DISTINCT regexp_replace(file, '/[a-z]+[.]src$', '') AS name FROM facts WHERE kind = 'symbol' AND starts_with(file, 'nation/') AND cyclomatic = 39)
+ SELECT coalesce(p.name, ch.name) AS name, CASE WHEN p.name IS NULL THEN 'spilled' WHEN ch.name IS NULL THEN 'untouched' ELSE 'kept' END AS verdict FROM p FULL JOIN ch ON p.name = ch.name"""))
+def d17(t: Tables):
+    """Modules that ASIA's imports predict against those that hold a symbol of complexity 39."""
+    changed = t.facts.filter("kind = 'symbol' and startswith(file, 'nation/') and cyclomatic = 39").select(F.regexp_replace("file", "/[a-z]+[.]src$", "").alias("name"))
+    return sn.conformance(t.imports.filter("src_repo = 'ASIA'").select(F.col("dst").alias("name")), changed)
+
+
+@query("c10_require_edge", sql("edges", """, m AS (SELECT name, repo, regexp_extract(file, '[^/]*$') AS cls FROM facts WHERE kind = 'symbol'), has AS (SELECT DISTINCT src FROM edges WHERE rel = 'calls' AND CAST(split_part(dst, '.', 2) AS BIGINT) % 997 = 0)
+ SELECT name FROM m WHERE name NOT IN (SELECT src FROM has) AND (repo, cls) IN (SELECT (repo, cls) FROM m WHERE name IN (SELECT src FROM has))"""))
+def c10(t: Tables):
+    """Suppliers are the class of which some call a part that has a number divisible by 997; customers and parts call none, and are not judged."""
+    e = t.edges.filter("rel = 'calls'").filter(F.split_part("dst", F.lit("."), F.lit(2)).cast("long") % 997 == 0)
+    return c.require_edge(t.facts.filter("kind = 'symbol'"), e, "calls").select("name")
+
+
+@query("c10_require_inbound", sql("edges", "SELECT name FROM facts WHERE kind = 'symbol' AND starts_with(file, 'nation/') AND name NOT IN (SELECT dst FROM edges WHERE rel = 'depends_on')"))
+def c10_inbound(t: Tables):
+    return c.require_edge(t.facts.filter("kind = 'symbol' and startswith(file, 'nation/')"), t.edges, "depends_on", True).select("name")

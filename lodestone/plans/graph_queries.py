@@ -209,6 +209,6 @@ def g22(t: Tables):
 
 
 @query("g22_keyed_edges", sql("edges", """, o AS (SELECT DISTINCT name, repo FROM facts), n AS (SELECT name, count(*) AS n FROM o GROUP BY name), k AS (SELECT o.name, o.repo, CASE WHEN n > 1 THEN 'repo:' || o.repo || ' ' || o.name ELSE o.name END AS key FROM o JOIN n ON n.name = o.name),
- x AS (SELECT s.key AS src_key, e.rel, d.key AS dst_key, s.repo AS sr, d.repo AS dr, bool_or(s.repo = d.repo) OVER (PARTITION BY s.key, e.rel, e.dst) AS own FROM edges e JOIN k s ON s.name = e.src JOIN k d ON d.name = e.dst WHERE e.rel = 'declares') SELECT DISTINCT src_key, rel, dst_key FROM x WHERE NOT own OR sr = dr"""))
+ x AS (SELECT s.key AS src_key, e.rel, d.key AS dst_key, s.repo AS sr, d.repo AS dr, bool_or(s.repo = d.repo) OVER (PARTITION BY s.key, e.rel, e.dst) AS own FROM edges e JOIN k s ON s.name = e.src JOIN k d ON d.name = e.dst) SELECT DISTINCT src_key, rel, dst_key FROM x WHERE NOT own OR sr = dr"""))
 def g22_edges(t: Tables):
-    return g.keyed_edges(t.edges.filter("rel = 'declares'"), t.facts)
+    return g.keyed_edges(t.edges, t.facts)

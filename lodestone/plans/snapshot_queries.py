@@ -70,13 +70,6 @@ def d6(t: Tables):
     return snap(t, NEW).groupBy("kind").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("name").alias("names"))
 
 
-@query("d7_comparability", "SELECT a.t AS field, a.v AS was, b.v AS now, a.v = b.v AS same FROM (VALUES ('version', '1'), ('globs', 'x')) a(t, v) JOIN (VALUES ('version', '1'), ('globs', 'y')) b(t, v) ON a.t = b.t")
-def d7(t: Tables):
-    """Receipts compared field by field."""
-    m = lambda x, name: t.spark.createDataFrame(list(x.items()), f"field string, {name} string")
-    return m({"version": "1", "globs": "x"}, "was").join(m({"version": "1", "globs": "y"}, "now"), "field").withColumn("same", F.col("was") == F.col("now"))
-
-
 @query("d8_gate", "WITH f AS (SELECT event_type AS source, value / 100 AS confidence, event_id % 2 = 0 AS informational FROM events), n AS (SELECT count(*) FILTER (source = 'purchase' AND confidence >= 0.99 AND NOT informational) AS failing FROM f) SELECT failing, CASE WHEN failing > 0 THEN 1 ELSE 0 END AS exit_code, CASE WHEN failing > 0 THEN 'regression' ELSE 'clean' END AS status FROM n")
 def d8(t: Tables):
     f = t.raw("events").select(F.col("event_type").alias("source"), (F.col("value") / 100).alias("confidence"), (F.col("event_id") % 2 == 0).alias("informational"))
@@ -130,13 +123,6 @@ def d16(t: Tables):
     return one(t.facts, "facts").unionByName(one(t.edges, "edges")).unionByName(one(lost, "unresolved"))
 
 
-@query("d17_conformance", sql("imports", "SELECT DISTINCT dst AS spilled FROM imports WHERE src > 'nation/NATION_2' EXCEPT SELECT DISTINCT dst FROM imports WHERE src <= 'nation/NATION_2'"))
-def d17(t: Tables):
-    """Packages that changed outside the predicted radius."""
-    d = t.imports
-    return d.filter("src > 'nation/NATION_2'").select(F.col("dst").alias("spilled")).distinct().join(d.filter("src <= 'nation/NATION_2'").select(F.col("dst").alias("spilled")), "spilled", "left_anti")
-
-
 def lines(t: Tables, where: str):
     return t.raw("events").filter(where).select(F.concat("event_type", F.lit(":"), (F.col("user_id") % 40).cast("string")).alias("line"))
 
@@ -257,11 +243,6 @@ def s30(t: Tables):
     return src.manifest(t.raw("pages").select("page_id", F.col("html").alias("body")), "page_id")
 
 
-@query("s6_links", "SELECT page_id, len(regexp_extract_all(html, 'href=')) AS links FROM pages")
-def s6(t: Tables):
-    return t.raw("pages").select("page_id", F.regexp_count("html", F.lit("href=")).cast("long").alias("links"))
-
-
 @query("k1_total_order", sql("facts", "SELECT md5(string_agg(repo || '|' || kind || '|' || name || '|' || file, ';' ORDER BY repo, kind, file, line, name)) AS digest FROM facts WHERE kind <> 'symbol'"))
 def k1(t: Tables):
     """The digest of a totally ordered listing of the module and service facts, which a snapshot's id is made of."""

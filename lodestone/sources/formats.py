@@ -91,3 +91,20 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def declared_intent(files: DataFrame, key: str = "intent") -> DataFrame:
+    """(page, section, entry, line) from markdown pages (path, body) that opt in: the front matter, between the first line '---' and the
+    next, holds `key:`, beneath it sections, and beneath those entries as list items. A page's prose is never read, and every row names its page."""
+    lines = files.filter(F.col("path").endswith(".md")).select(F.col("path").alias("page"), F.posexplode(F.split("body", "\n", -1)).alias("n", "text"))
+    order = Window.partitionBy("page").orderBy("n")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    fence = F.rtrim("text") == "---"
+    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(so_far)).withColumn("opens", F.first(fence).over(so_far))
+    front = lines.filter("opens and fences = 1 and n > 0")
+    top = F.when(F.col("text").rlike(r"^\S"), F.regexp_extract("text", r"^([^:\s]+):", 1))
+    front = front.withColumn("top", F.last(top, True).over(so_far)).filter(F.col("top") == key)
+    section = F.when(F.col("text").rlike(r"^\s+[^-\s][^:]*:\s*$"), F.regexp_extract("text", r"^\s+([^:]+):", 1))
+    front = front.withColumn("section", F.last(section, True).over(before))
+    item = F.regexp_extract("text", r"^\s+-\s+(.*?)\s*$", 1)
+    return front.withColumn("entry", item).filter("entry <> '' and section is not null").select("page", "section", "entry", (F.col("n") + 1).alias("line"))
