@@ -63,6 +63,16 @@ def write_insights(findings: DataFrame, path: str) -> None:
     findings.orderBy(F.desc("confidence"), "source", "title", "file", "line").select("source", "title", "confidence", "informational", evidence.alias("evidence")).write.json(path)
 
 
+def write_flows(flows: DataFrame, path: str, most: int = 20) -> None:
+    """The top flows (root, reach, ...) as JSON lines, by reach and name."""
+    flows.orderBy(F.desc("reach"), "root").limit(most).write.json(path)
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Whole texts of documents beside the facts, as JSON lines (id, digest, text): facts name them by id and tell a change by digest."""
+    documents.select("id", F.sha2("text", 256).alias("digest"), "text").write.json(path)
+
+
 def published(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write df beside path and swap it in: readers see the old folder or the new one, never half of it."""
     spark, staged = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"

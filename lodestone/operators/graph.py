@@ -84,6 +84,35 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, reverse: bool =
     return seen
 
 
+def dispatch_hops(implements: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst): from each method of a type to the method of the same short name of what the type implements. implements: (type, interface);
+    members: (owner, member). A call of the interface's method may run any of them."""
+    short = F.regexp_extract("member", r"[^.#]+$", 0).alias("short")
+    own, above = members.select(F.col("owner").alias("type"), F.col("member").alias("src"), short), members.select(F.col("owner").alias("interface"), F.col("member").alias("dst"), short)
+    return implements.join(own, "type").join(above, ["interface", "short"]).select("src", "dst").distinct()
+
+
+def traverse_dispatching(edges: DataFrame, seeds: DataFrame, hops: DataFrame, depth: int = 5, reverse: bool = False, rels: list[str] | None = None) -> DataFrame:
+    """traverse that also crosses interfaces: in reverse from an implementing method to the interface's, whose callers may reach it;
+    forward the other way. Adds through_interface: whether the node's shortest walk ends with such a hop (one of them). Hops count as `implements`
+    edges and are taken only if rels is empty or admits calls or implements."""
+    if rels and not {"calls", "implements"} & set(rels):
+        return traverse(edges, seeds, depth, reverse, rels).withColumn("through_interface", F.lit(False))
+    own = (edges.filter(F.col("rel").isin(rels)) if rels else edges).select("src", "dst").distinct()
+    ways = own.select(F.col("dst").alias("key"), F.col("src").alias("next")) if reverse else own.select(F.col("src").alias("key"), F.col("dst").alias("next"))
+    cross = hops.select(F.col("src").alias("key"), F.col("dst").alias("next")) if reverse else hops.select(F.col("dst").alias("key"), F.col("src").alias("next"))
+    ways = checkpointed(ways.withColumn("hop", F.lit(False)).unionByName(cross.distinct().withColumn("hop", F.lit(True))))
+    front = checkpointed(seeds.select("key").distinct().withColumns({"depth": F.lit(0), "through_interface": F.lit(False)}))
+    seen = front
+    for d in range(1, min(depth, MAX_DEPTH) + 1):
+        step = front.select("key").join(ways, "key").groupBy(F.col("next").alias("key")).agg(F.bool_and("hop").alias("through_interface"))
+        front = checkpointed(step.join(seen, "key", "left_anti").select("key", F.lit(d).alias("depth"), "through_interface"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 10, rels: list[str] | None = None) -> DataFrame:
     """(key, hops, path): for each target reached its shortest path from any source; of equals the least by node names."""
     e = checkpointed((edges.filter(F.col("rel").isin(rels)) if rels else edges).select(F.col("src").alias("key"), F.col("dst").alias("next")).distinct())

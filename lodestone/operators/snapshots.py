@@ -59,6 +59,16 @@ def mined_rules(rows: DataFrame, a: str, b: str, support: int = 10, confidence:
     return x.select(F.col(a).cast("string").alias("if_value"), F.col(b).cast("string").alias("then_value"), "support", "n", F.round(conf, 6).alias("confidence"))
 
 
+def pruned_implications(rules: DataFrame) -> DataFrame:
+    """rules (if_prop, if_value, then_prop, then_value, support, confidence) without those that say nothing: a property implying itself, a value
+    implying the same value, and of two certain rules that are each other's reverse the one with less support (of equals, the later name)."""
+    said = rules.filter((F.col("if_prop") != F.col("then_prop")) & (F.col("if_value") != F.col("then_value")))
+    one, two = F.struct(F.col("if_prop").alias("p"), F.col("if_value").alias("v")), F.struct(F.col("then_prop").alias("p"), F.col("then_value").alias("v"))
+    said = said.withColumns({"pair": F.struct(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")), "rank": F.struct((-F.col("support")).alias("s"), one.alias("one"))})
+    best = said.filter("confidence = 1").groupBy("pair").agg(F.min("rank").alias("best"))
+    return said.join(best, "pair", "left").filter((F.col("confidence") < 1) | F.col("best").isNull() | (F.col("rank") == F.col("best"))).drop("pair", "rank", "best")
+
+
 def naming_patterns(names: DataFrame, support: int = 10, confidence: float = 0.9) -> DataFrame:
     """(cluster, pattern): prefixes (up to a separator) that nearly all names of a cluster share."""
     n = names.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))

@@ -10,7 +10,7 @@ from ..operators import graph as g
 from ..operators import links as ln
 from ..operators import rules as c
 from ..operators import snapshots as sn
-from ..sources import formats
+from ..sources import code, formats
 from .adapter import Tables, sql
 from .registry import query
 
@@ -215,3 +215,59 @@ def c10(t: Tables):
 @query("c10_require_inbound", sql("edges", "SELECT name FROM facts WHERE kind = 'symbol' AND starts_with(file, 'nation/') AND name NOT IN (SELECT dst FROM edges WHERE rel = 'depends_on')"))
 def c10_inbound(t: Tables):
     return c.require_edge(t.facts.filter("kind = 'symbol' and startswith(file, 'nation/')"), t.edges, "depends_on", True).select("name")
+
+
+# ---- walks across interfaces, pruned rules ----------------------------------------------------------------------------
+
+METHODS = """, cl AS (SELECT 'Customer.' || c_custkey AS src, 'Nation.' || c_nationkey || '.run' AS dst FROM customer UNION ALL SELECT 'Nation.' || n_nationkey || '.run', 'Region.' || n_regionkey FROM nation)"""
+
+
+@query("g3_dispatch", sql("nat", METHODS + """, s AS (SELECT s_nationkey AS n FROM supplier WHERE s_suppkey = 1) SELECT 'Supplier.1.run' AS key, 0 AS depth, false AS through_interface UNION ALL SELECT 'Nation.' || n || '.run', 1, true FROM s
+ UNION ALL SELECT DISTINCT src, 2, false FROM cl JOIN s ON cl.dst = 'Nation.' || n || '.run'"""))
+def g3_dispatch(t: Tables):
+    """Who may call Supplier.1.run: suppliers implement their nation's interface, and customers call that."""
+    key = lambda name, col, more="": F.concat(F.lit(name), F.col(col).cast("string"), F.lit(more))
+    n, s = t.raw("nation"), t.raw("supplier")
+    edges = t.raw("customer").select(key("Customer.", "c_custkey").alias("src"), F.lit("calls").alias("rel"), key("Nation.", "c_nationkey", ".run").alias("dst"))
+    edges = edges.unionByName(n.select(key("Nation.", "n_nationkey", ".run").alias("src"), F.lit("calls").alias("rel"), key("Region.", "n_regionkey").alias("dst")))
+    members = n.select(key("Nation.", "n_nationkey").alias("owner"), key("Nation.", "n_nationkey", ".run").alias("member")).unionByName(s.select(key("Supplier.", "s_suppkey").alias("owner"), key("Supplier.", "s_suppkey", ".run").alias("member")))
+    hops = g.dispatch_hops(s.select(key("Supplier.", "s_suppkey").alias("type"), key("Nation.", "s_nationkey").alias("interface")), members)
+    return g.traverse_dispatching(edges, t.spark.createDataFrame([("Supplier.1.run",)], "key string"), hops, 5, True)
+
+
+IMPLIED = "SELECT '{0}' AS if_prop, CAST({1} AS {s}) AS if_value, '{2}' AS then_prop, CAST({3} AS {s}) AS then_value, count(*) AS n, sum(count(*)) OVER (PARTITION BY {1}) AS support FROM {t} GROUP BY {1}, {3}"
+PROPS = (("nation", "n_name", "region", "n_regionkey"), ("region", "n_regionkey", "nation", "n_name"), ("key", "n_nationkey", "nation", "n_name"), ("nation", "n_name", "key", "n_nationkey"), ("key", "n_nationkey", "region", "n_regionkey"), ("name", "n_name", "nation", "n_name"))
+
+
+@query("m6_pruned", "WITH r AS (" + " UNION ALL ".join(IMPLIED.format(*p, s="VARCHAR", t="nation") for p in PROPS) + """), c AS (SELECT *, n / support AS confidence FROM r WHERE if_prop <> then_prop AND if_value <> then_value),
+ k AS (SELECT *, row_number() OVER (PARTITION BY least(if_prop || chr(1) || if_value, then_prop || chr(1) || then_value), greatest(if_prop || chr(1) || if_value, then_prop || chr(1) || then_value) ORDER BY confidence < 1, support DESC, if_prop, if_value) AS o FROM c)
+ SELECT if_prop, if_value, then_prop, then_value, support::BIGINT AS support, round(confidence, 6) AS confidence FROM k WHERE confidence < 1 OR o = 1""")
+def m6(t: Tables):
+    text = " UNION ALL ".join(IMPLIED.format(*p, s="STRING", t="{nation}") for p in PROPS)
+    r = t.spark.sql(text, nation=t.raw("nation")).withColumn("confidence", F.round(F.col("n") / F.col("support"), 6))
+    return sn.pruned_implications(r.drop("n"))
+
+
+# ---- code: a file of each supplier, in one of three languages ---------------------------------------------------------
+
+CODE = {
+    0: ("go/s{k}.go", "package s\n\nimport (\n\t\"example.org/n{n}\"\n)\n\n// Fake() is no call\nfunc Supply{k}(x int) int {\n\tfor x > 0 {\n\t\tx = parts.Part{k}(x)\n\t}\n\treturn base(x)\n}\n\nfunc base(x int) int { return x }\n"),
+    1: ("ts/s{k}.ts", "import {{ n }} from \"./n{n}\";\nexport class S{k} extends Base {{\n  run(x) {{ return this.load(x); }}\n  load(x) {{ return part{k}(\"call(me)\"); }}\n}}\n".replace("{{", "{").replace("}}", "}")),
+    2: ("j/S{k}.java", "import org.n{n}.A;\npublic class S{k} implements B {\n  public int run(int x) { return Part.of(x); }\n}\n"),
+}
+CODE_EDGES = """SELECT file, name, rel, target FROM (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 3 AS l FROM supplier), LATERAL (
+ SELECT unnest(CASE l WHEN 0 THEN ['go/s' || k || '.go'] WHEN 1 THEN ['ts/s' || k || '.ts'] ELSE ['j/S' || k || '.java'] END) AS file), LATERAL (SELECT unnest(CASE l
+ WHEN 0 THEN [{'name': 'go', 'rel': 'imports', 'target': 'example.org/n' || n}, {'name': 'go.Supply' || k, 'rel': 'declares', 'target': 'go'}, {'name': 'go.Supply' || k, 'rel': 'calls', 'target': 'parts.Part' || k}, {'name': 'go.Supply' || k, 'rel': 'calls', 'target': 'go.base'}, {'name': 'go.base', 'rel': 'declares', 'target': 'go'}]
+ WHEN 1 THEN [{'name': 'ts', 'rel': 'imports', 'target': './n' || n}, {'name': 'ts.S' || k, 'rel': 'declares', 'target': 'ts'}, {'name': 'ts.S' || k, 'rel': 'implements', 'target': 'Base'}, {'name': 'ts.S' || k || '.run', 'rel': 'declares', 'target': 'ts.S' || k},
+  {'name': 'ts.S' || k || '.run', 'rel': 'calls', 'target': 'ts.S' || k || '.load'}, {'name': 'ts.S' || k || '.load', 'rel': 'declares', 'target': 'ts.S' || k}, {'name': 'ts.S' || k || '.load', 'rel': 'calls', 'target': 'part' || k}]
+ ELSE [{'name': 'j', 'rel': 'imports', 'target': 'org.n' || n || '.A'}, {'name': 'j.S' || k, 'rel': 'declares', 'target': 'j'}, {'name': 'j.S' || k, 'rel': 'implements', 'target': 'B'}, {'name': 'j.S' || k || '.run', 'rel': 'declares', 'target': 'j.S' || k}, {'name': 'j.S' || k || '.run', 'rel': 'calls', 'target': 'Part.of'}] END, recursive := true))"""
+
+
+@query("s1_code_edges", CODE_EDGES)
+def s1(t: Tables):
+    def filled(text):
+        return F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{n}"), F.col("s_nationkey").cast("string"))
+
+    pick = lambda i: F.when(F.col("s_suppkey") % 3 == 0, filled(CODE[0][i])).when(F.col("s_suppkey") % 3 == 1, filled(CODE[1][i])).otherwise(filled(CODE[2][i]))
+    found = code.extract_code(t.raw("supplier").select(pick(0).alias("path"), pick(1).alias("body")))
+    return found.select("file", "name", F.explode("relations").alias("r")).select("file", "name", F.col("r.kind").alias("rel"), F.col("r.target").alias("target"))

@@ -2,7 +2,7 @@
 import json
 import os
 
-from lodestone.operators import analyses, binders, findings, graph, links
+from lodestone.operators import analyses, binders, findings, graph, links, snapshots
 from lodestone.sources import formats
 
 PATCH = """diff --git a/x.py b/x.py
@@ -114,3 +114,40 @@ def test_findings_and_sinks(spark, tmp_path):
         findings.published(spark.range(n), f"file://{tmp_path}/out")
         assert spark.read.parquet(f"file://{tmp_path}/out").count() == n
     assert sorted(os.listdir(tmp_path)) == ["insights", "out", "sarif"]
+
+
+def test_walks_across_interfaces(spark):
+    edges = spark.createDataFrame([("user", "calls", "I.run"), ("direct", "calls", "A.run"), ("far", "calls", "user"), ("A.run", "calls", "leaf"), ("x", "imports", "A.run")], "src string, rel string, dst string")
+    members = spark.createDataFrame([("I", "I.run"), ("A", "A.run"), ("B", "B.run"), ("A", "A.stop")], "owner string, member string")
+    hops = graph.dispatch_hops(spark.createDataFrame([("A", "I"), ("B", "I")], "type string, interface string"), members)
+    assert {(r.src, r.dst) for r in hops.collect()} == {("A.run", "I.run"), ("B.run", "I.run")}
+    seed = spark.createDataFrame([("A.run",)], "key string")
+    walk = lambda *a, **k: {r.key: (r.depth, r.through_interface) for r in graph.traverse_dispatching(edges, *a, **k).collect()}
+    assert walk(seed, hops, 5, True, ["calls"]) == {"A.run": (0, False), "direct": (1, False), "I.run": (1, True), "user": (2, False), "far": (3, False)}
+    assert walk(seed, hops, 5, True, ["imports"]) == {"A.run": (0, False), "x": (1, False)}
+    assert walk(spark.createDataFrame([("user",)], "key string"), hops, 3) == {"user": (0, False), "I.run": (1, False), "A.run": (2, True), "B.run": (2, True), "leaf": (3, False)}
+
+
+def test_pruned_rules(spark):
+    rules = [("a", "1", "b", "2", 10, 1.0), ("b", "2", "a", "1", 12, 1.0), ("a", "3", "a", "4", 9, 1.0), ("a", "5", "c", "5", 9, 0.9), ("c", "6", "d", "7", 5, 1.0), ("d", "7", "c", "6", 5, 1.0), ("e", "8", "f", "9", 7, 0.8), ("f", "9", "e", "8", 7, 1.0)]
+    t = spark.createDataFrame(rules, "if_prop string, if_value string, then_prop string, then_value string, support long, confidence double")
+    assert {(r.if_prop, r.then_prop) for r in snapshots.pruned_implications(t).collect()} == {("b", "a"), ("c", "d"), ("e", "f"), ("f", "e")}
+
+
+def test_receipts_and_plans(spark):
+    row = ("p", "r", "r", "1", "2", ["go", "js"], ["go", "py"], ["x"], ["x"], ["m"], ["n"])
+    old = ("q", "r", "s", None, "2", ["go"], ["go"], ["x"], ["y"], ["m"], ["m"])
+    fields = "pair string, was_repo string, now_repo string, was_version string, now_version string, was_extractors array<string>, now_extractors array<string>, was_globs array<string>, now_globs array<string>, was_members array<string>, now_members array<string>"
+    got = {(r.pair, r.warning, r.blocking) for r in snapshots.comparability(spark.createDataFrame([row, old], fields)).collect()}
+    assert got == {("p", "version", False), ("p", "extractor-lost", True), ("p", "extractor-new", False), ("p", "members", True), ("q", "repo", True), ("q", "pre-receipt", False), ("q", "globs", False)}
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert {r.name: r.verdict for r in snapshots.conformance(names("a", "b"), names("b", "c", "c")).collect()} == {"a": "untouched", "b": "kept", "c": "spilled"}
+
+
+def test_folders_of_others_and_intent(spark):
+    paths = ["third_party/z/LICENSE", "third_party/z/a.c", "third_party/z/sub/b.c", "third_party/LICENSE", "src/deps/g/p/COPYING.txt", "src/deps/g/p/q/x.c", "src/deps/g/p/q/LICENSE", "own/LICENSE", "licenses.go"]
+    got = {(r.dir, r.licence, r.files) for r in analyses.vendored_candidates(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {("third_party/z", "LICENSE", 3), ("src/deps/g/p", "COPYING.txt", 3)}
+    page = "---\ntitle: t\nintent:\n  owns:\n    - a/b\n    - c\n  empty:\nother:\n  owns:\n    - no\n---\nintent:\n  owns:\n    - no\n"
+    files = spark.createDataFrame([("w/p.md", page), ("w/q.md", "# no front matter\n---\nintent:\n  owns:\n    - no\n---\n"), ("w/r.txt", page)], "path string, body string")
+    assert sorted((r.page, r.section, r.entry, r.line) for r in formats.declared_intent(files).collect()) == [("w/p.md", "owns", "a/b", 5), ("w/p.md", "owns", "c", 6)]
