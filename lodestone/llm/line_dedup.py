@@ -236,7 +236,7 @@ def met(rows: DataFrame) -> DataFrame:
                 bits.append(np.bitwise_count(s ^ t).astype(np.int32))
 
             size = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            count = np.diff(np.concatenate((size, [len(bucket)])))
+            count = np.diff(np.concatenate((size, [len(bucket)])))  # 1 where equal lines alone shared the bucket
             two = size[count == 2]
             ok = near(sims[two], chars[two], sims[two + 1], chars[two + 1])
             put(ids[two[ok]], ids[two[ok] + 1], sims[two[ok]], sims[two[ok] + 1])
@@ -259,11 +259,15 @@ def met(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(np.array(big, np.int64))])], ["a", "b", "bits", "bucket"])
 
         def settled(cols):
-            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))  # equal lines of several tasks
-            cols = [c[new] for c in cols]
             same = cols[0][1:] == cols[0][:-1]
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            return pairs(*[c[shared] for c in cols]) if shared.any() else None
+            cols = [c[shared] for c in cols]
+            order = np.lexsort((cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            if not len(order):
+                return None
+            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))  # equal lines of several tasks
+            return pairs(*[c[new] for c in cols])
 
         for batch in batches:
             cols = [np.asarray(batch.column(k)) for k in range(4)]
@@ -282,7 +286,7 @@ def met(rows: DataFrame) -> DataFrame:
             if out is not None and len(out):
                 yield out
 
-    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "id").select("bucket", "id", "sim", "chars"), run, "a long, b long, bits int, bucket long")
+    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "sim", "chars"), run, "a long, b long, bits int, bucket long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -381,9 +385,10 @@ def removed_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     place = F.struct("doc_id", "line", "tkey")
     tagged = prints.select("doc_id", "line", "tkey", "d1", "d2").join(small(named), ["d1", "d2"], "left")
     tagged = tagged.select("doc_id", "line", "tkey", F.coalesce("g1", "d1").alias("g1"), F.coalesce("g2", "d2").alias("g2"))
-    keeper = materialize(tagged.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "op4-keepers")
-    gone = tagged.join(keeper, ["g1", "g2"]).filter(place != F.col("first")).select("doc_id", "tkey", "line")
-    gone = materialize(gone, "op4-gone")
+    several = materialize(tagged.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "op4-several")
+    again = materialize(tagged.join(small(several.drop("n")), ["g1", "g2"]), "op4-again")
+    first = materialize(again.groupBy("g1", "g2").agg(F.min(place).alias("first")), "op4-first")
+    gone = again.join(small(first), ["g1", "g2"]).filter(place != F.col("first")).select("doc_id", "tkey", "line")
     discard(prints)
     return materialize(gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("line")).alias("lines")), "op4-lists")
 

@@ -148,10 +148,12 @@ def groups_of(buckets: DataFrame, sigs: DataFrame, verify: Callable[[DataFrame],
     def judge(pairs: DataFrame) -> None:
         nonlocal links, judged, comps
         pairs = materialize(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), tag)
-        found = verify(pairs)
-        judged = pairs if judged is None else materialize(judged.unionByName(pairs), tag)
-        links = materialize(found if links is None else links.unionByName(found), tag)
-        comps = components(links, tag)
+        links = verify(pairs) if links is None else links.unionByName(verify(pairs))
+        before, comps = comps, components(links, tag)
+        links = comps.select(F.col("comp").alias("a"), F.col("id").alias("b"))
+        old, judged = judged, pairs if judged is None else materialize(judged.unionByName(pairs), tag)
+        for done in (before, old, pairs if old is not None else None):
+            discard(done)
 
     for turn in range(HUB_ROUNDS):
         judge(ordered(hubs_of.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
@@ -172,4 +174,6 @@ def groups_of(buckets: DataFrame, sigs: DataFrame, verify: Callable[[DataFrame],
         judge(materialize(alike(met, least, choose, marked if choose is every_pair else 0), tag))
         if choose is leader_pairs:
             rows = unsettled(materialize(labelled(rows, comps), tag), tag)
+    for done in (judged, ids, sigs, rows):
+        discard(done)
     return comps

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C1, C2, C3, U64, groups, hash_spans, in_arrow, lookup, lower_bytes, materialize, mix, small, spans_of_words, table, utf8
+from .common import C1, C2, C3, U64, discard, groups, hash_spans, in_arrow, lookup, lower_bytes, materialize, mix, small, spans_of_words, table, utf8
 from .linking import groups_of
 
 BANDS, ROWS = 40, 8
@@ -186,7 +186,11 @@ def near_groups(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, band
     def verify(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "op7-ids")
         texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("_text")).join(small(ids), "id", "left_semi")
-        return verified(pairs, materialize(sets_of(texts, k), "op7-sets", "none"), num, den, "op7-degree")
+        sets = materialize(sets_of(texts, k), "op7-sets", "none")
+        found = materialize(verified(pairs, sets, num, den, "op7-degree"), "op7-links")
+        discard(sets)
+        discard(ids)
+        return found
 
     t = num / den
     least = max(0.0, t - MARGIN * (t * (1 - t) / (bands * rows)) ** 0.5)

@@ -5,10 +5,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 DIMS = ("source", "lang", "topic")
-ROUNDS, BOUND_ROUNDS, ALPHA = 8, 4, 0.7
+ROUNDS, BOUND_ROUNDS, ALPHA = 5, 3, 0.7
 FRACTION, LOSS = 0.5, 0.02  # share of all tokens to sample at most; share of the mixture that scarce cells may fail to give before raking makes it up
 TOPICS = (
     ("legal", r"[Ll]icen[sc]e|[Cc]opyright|[Ww]arranty"),
@@ -38,21 +38,21 @@ def shares(cells: DataFrame, d: str, alpha: float) -> DataFrame:
     """(d, _share): each value's share of all tokens to the power alpha, made to add up to 1."""
     raw = materialize(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(alpha))).alias("_p")), "op2-target")
     whole = raw.agg(F.sum("_p")).first()[0]
-    return raw.select(d, (F.col("_p") / F.lit(whole)).alias("_share"))
+    return materialize(raw.select(d, (F.col("_p") / F.lit(whole)).alias("_share")), "op2-target")
 
 
 def fitted(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, total: float = 1.0, bound: str | None = None) -> DataFrame:
     """cells with w fitted to each dimension's target in turn, `total` times its share, `rounds` times; no cell above its `bound`, if given.
 
-    A marginal is a partial aggregate joined back by its value, so no dimension's cells are gathered. Each round is
-    written out, so plans stay short."""
+    A marginal is a partial aggregate joined back by its value, so no dimension's cells are gathered. Each step is written out: its
+    plan is an aggregate and a join, and the same in each round."""
     for _ in range(rounds):
         for d in DIMS:
             have = cells.groupBy(d).agg(F.sum("w").alias("_have")).filter("_have > 0").join(targets[d], d)
             step = F.col("w") * (F.col("_share") * F.lit(float(total))) / F.col("_have")
             new = F.when(F.col("_have").isNull(), F.col("w")).otherwise(F.least(step, F.col(bound)) if bound else step)
-            cells = cells.join(have, d, "left").withColumn("w", new).drop("_have", "_share")
-        cells = materialize(cells, "op2-cells")
+            before, cells = cells, materialize(cells.join(have, d, "left").withColumn("w", new).select(*cells.columns), "op2-cells")
+            discard(before)
     return cells
 
 
@@ -66,7 +66,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, targets:
     if not total:
         return cells.withColumn("w", F.lit(0.0))
     targets = targets or {d: shares(cells, d, alpha) for d in DIMS}
-    return fitted(cells.withColumn("w", F.col("tokens") / F.lit(float(total))), targets, rounds)
+    return fitted(cells.withColumn("w", F.col("tokens") / F.lit(float(total))), targets, rounds)  # what it discards are its own steps
 
 
 def feasible(fit: DataFrame, total: float, most: float, loss: float) -> float:

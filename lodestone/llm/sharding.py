@@ -35,7 +35,7 @@ def directory(leaves: DataFrame, limit: int) -> DataFrame:
             if depth == BITS or over.isEmpty():
                 over = None
                 break
-            open_ = level.join(over, "shard", "left_semi").drop("shard")
+            open_ = materialize(level.join(over, "shard", "left_semi").drop("shard"), "op5-open")  # so that no level's plan holds those before it
             depth += 1
         if over is None:
             break

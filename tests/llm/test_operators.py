@@ -181,22 +181,38 @@ def test_raking_meets_its_targets(spark):
         assert all(abs(shares[r[0]] - r[1]) < 1e-6 for r in t.collect())
 
 
-def test_suffixes(docs, empty):
-    got = rows(suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs)))
-    raws = {i: (t or "").encode() for i, t, *_ in corpus()}
-    seen = Counter(b[i : i + 400] for b in raws.values() for i in range(len(b) - 399))
-    for i, b in raws.items():
+def check_suffixes(table, docs):
+    """table: (doc_id, text); rows with a null doc_id count for nothing."""
+    raws = [(i, (t or "").encode()) for i, t in table]
+    seen = Counter(b[k : k + 400] for i, b in raws if i is not None for k in range(len(b) - 399))
+    want = []
+    for i, b in raws:
         gone = bytearray(len(b))
-        for s in range(len(b) - 399):
+        for s in range(len(b) - 399 if i is not None else 0):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = b"\1" * 400
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        runs = len(re.findall(rb"\x01+", bytes(gone)))
-        r = got[i]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()), i
+        want.append((str(i), len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest(), any(gone)))
+    got = suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.repeats) for r in got) == sorted(want)
+    assert any(w[5] for w in want)
+
+
+def test_suffixes(docs, empty):
+    check_suffixes([(i, t) for i, t, *_ in corpus()], docs)
     assert suffix_dedup.remove_spans(empty, suffix_dedup.repeated_spans(empty)).count() == 0
 
 
+def test_suffixes_of_odd_tables(spark, monkeypatch):
+    rng = random.Random(17)
+    a, b, c = prose(rng, 150), prose(rng, 120), prose(rng, 200)
+    table = [(1, a + b), (1, c), (1, c), (2, "x" * 50 + a), (None, b + c), (3, "é" * 700), (4, b[:450]), (5, None), (6, ""), (-7, "q" + c[100:700] + "z" * 500), (1 << 40, prose(rng, 3000) + a[:420] + prose(rng, 10)), (8, c[:399])]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({"tkey": F.lit("x"), "at": F.lit(1), "start": F.lit(2)})
+    check_suffixes(table, docs)
+    monkeypatch.setattr(suffix_dedup, "REACH", 700)
+    check_suffixes(table, docs)
+
+
 def test_suffixes_of_hot_grams(docs, monkeypatch):
     want = rows(suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs)))
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
