@@ -224,6 +224,25 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found.join(many, "component").select("key", "component")
 
 
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(key, cycle): the number of edges of the shortest cycle through each node that is on one; an edge to itself is a cycle of one.
+
+    Walks start from nodes of trimmed edges, never visit a node twice, and end when their start is met again or nothing new is."""
+    own = edges.select("src", "dst").distinct()
+    e = trimmed(checkpointed(own.filter("src <> dst")))
+    found = checkpointed(own.filter("src = dst").select(F.col("src").alias("key"), F.lit(1).alias("cycle")))
+    front = checkpointed(e.select(F.col("src").alias("key"), F.col("dst").alias("tip")).join(found, "key", "left_anti"))
+    seen, hops = front, 1
+    while not front.isEmpty():
+        hops += 1
+        step = checkpointed(front.join(e.withColumnRenamed("src", "tip"), "tip").select("key", F.col("dst").alias("tip")).distinct().join(seen, ["key", "tip"], "left_anti"))
+        home = checkpointed(step.filter("key = tip").select("key", F.lit(hops).alias("cycle")))
+        found = found.unionByName(home)
+        front = checkpointed(step.join(home, "key", "left_anti"))
+        seen = seen.unionByName(front)
+    return found
+
+
 def condensed(edges: DataFrame, oversized: int = 8) -> tuple[DataFrame, DataFrame]:
     """Nodes (key, component, weight) and edges between components; a component above `oversized` weighs 0 and has no outgoing edges."""
     nodes = edges.select(F.col("src").alias("key")).union(edges.select("dst")).distinct()

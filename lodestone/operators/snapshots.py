@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def diff_facts(old: DataFrame, new: DataFrame, key: list[str], value: list[str]) -> DataFrame:
     """Multiset pairing: rows with equal key pair in order of their values; (key..., change) for added, removed and changed rows."""
@@ -76,6 +78,22 @@ def naming_patterns(names: DataFrame, support: int = 10, confidence: float = 0.9
     return p.join(n, "cluster").filter((F.col("size") >= support) & (F.col("n") / F.col("size") >= confidence)).select("cluster", "pattern", "n", "size")
 
 
+def flow_reach(direct: DataFrame, calls: DataFrame, module) -> DataFrame:
+    """(name, reach, modules): how many nodes each root reaches in one hop (direct: root, key) or two (calls: src, dst), and of how many
+    modules, `module` being a function of a node's column.
+
+    What a node calls is a bitmap over numbered nodes, made once; a root's reach is the union of its direct nodes' bitmaps. So the
+    join has a row per root, direct node and block of 32,768 numbers, not one per path."""
+    nodes = checkpointed(direct.select("key").union(calls.select("dst")).distinct())
+    ids = checkpointed(nodes.select("key", F.monotonically_increasing_id().alias("id"), module(F.col("key")).alias("module")))
+    block, bit = F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id")
+    own = calls.withColumnRenamed("dst", "key").join(ids, "key").groupBy(F.col("src"), "module", block).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    first = direct.distinct().join(ids, "key").groupBy("root", "module", block).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    via = direct.distinct().join(checkpointed(own).withColumnRenamed("src", "key"), "key").select("root", "module", "block", "bits")
+    whole = first.unionByName(via).groupBy("root", "module", "block").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    return whole.groupBy(F.col("root").alias("name")).agg(F.sum("n").alias("reach"), F.countDistinct("module").alias("modules"))
+
+
 def flow_rank(flows: DataFrame) -> DataFrame:
     """Rank of entry points: side roots last, commands behind routes, then reach, modules and name."""
     order = [F.col("side"), (F.col("kind") == "command").cast("int"), F.desc("reach"), F.desc("modules"), F.asc("name")]

@@ -164,16 +164,10 @@ def g17(t: Tables):
     return g.longest_chains(t.imports)
 
 
-@query("g18_shortest_cycle", sql("imports", """, p(start, tip, hops) AS (SELECT src, dst, 1 FROM imports UNION SELECT p.start, i.dst, p.hops + 1 FROM p JOIN imports i ON i.src = p.tip WHERE p.hops < 6 AND p.tip <> p.start) SELECT start AS key, min(hops) AS cycle FROM p WHERE start = tip GROUP BY start""", True))
+@query("g18_shortest_cycle", sql("imports", """, p(start, tip, hops) AS (SELECT src, dst, 1 FROM imports UNION SELECT p.start, i.dst, p.hops + 1 FROM p JOIN imports i ON i.src = p.tip WHERE p.hops < 30 AND p.tip <> p.start) SELECT start AS key, min(hops) AS cycle FROM p WHERE start = tip GROUP BY start""", True))
 def g18(t: Tables):
-    """Hops of the shortest cycle through each module, up to 6."""
-    e = t.imports.select("src", "dst").distinct()
-    front = g.checkpointed(e.select(F.col("src").alias("key"), F.col("dst").alias("tip")))
-    found = front.filter("key = tip").select("key").withColumn("cycle", F.lit(1))
-    for n in range(2, 7):
-        front = g.checkpointed(front.filter("key <> tip").join(e, F.col("tip") == F.col("src")).select("key", F.col("dst").alias("tip")).distinct())
-        found = found.unionByName(front.filter("key = tip").select("key").withColumn("cycle", F.lit(n)))
-    return found.groupBy("key").agg(F.min("cycle").alias("cycle"))
+    """Hops of the shortest cycle through each module."""
+    return g.shortest_cycles(t.imports)
 
 
 @query("g19_governing", sql("facts", """, a AS (SELECT 'page' || n_nationkey AS page, 'nation/' || n_name AS anchor FROM nation WHERE n_nationkey % 3 = 0) SELECT DISTINCT f.file, a.page FROM facts f JOIN a ON f.file = a.anchor OR starts_with(f.file, a.anchor || '/')"""))

@@ -211,15 +211,20 @@ def reach(t: Tables):
     return e.join(calls, "key").select("root", F.col("next").alias("key")).unionByName(e).distinct()
 
 
+def flows(t: Tables):
+    """What each root reaches in two hops, counted."""
+    e = t.edges.filter("rel = 'depends_on'").select(F.col("src").alias("root"), F.col("dst").alias("key"))
+    return s.flow_reach(e, t.edges.filter("rel = 'calls'").select("src", "dst").distinct(), lambda c: F.regexp_extract(c, "^[A-Za-z]+", 0))
+
+
 @query("f1_flows", sql("edges", FLOW + " SELECT root, count(*) AS reach FROM r GROUP BY root"))
 def f1(t: Tables):
-    return reach(t).groupBy("root").agg(F.count(F.lit(1)).alias("reach"))
+    return flows(t).select(F.col("name").alias("root"), "reach")
 
 
 @query("f2_rank", sql("edges", FLOW + ", f AS (SELECT root AS name, count(*) AS reach, count(DISTINCT regexp_extract(key, '^[A-Za-z]+')) AS modules FROM r GROUP BY root) SELECT name, reach, modules, row_number() OVER (ORDER BY reach DESC, modules DESC, name) AS rank FROM f"))
 def f2(t: Tables):
-    f = reach(t).groupBy(F.col("root").alias("name")).agg(F.count(F.lit(1)).alias("reach"), F.countDistinct(F.regexp_extract("key", "^[A-Za-z]+", 0)).alias("modules"))
-    return s.flow_rank(f.withColumn("side", F.lit(False)).withColumn("kind", F.lit("route"))).select("name", "reach", "modules", "rank")
+    return s.flow_rank(flows(t).withColumn("side", F.lit(False)).withColumn("kind", F.lit("route"))).select("name", "reach", "modules", "rank")
 
 
 @query("f3_same_reach", sql("depends", ", z AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS sig FROM depends GROUP BY src) SELECT min(src) AS first, count(*) AS roots FROM z GROUP BY sig"))

@@ -93,6 +93,8 @@ def test_components_of_known_graphs(spark):
     edges = ring + [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "r3"), ("self", "self"), ("lead", "a"), ("r5", "tail"), ("p", "q"), ("q", "s"), ("s", "p"), ("q", "p")]
     got = {r.key: r.component for r in graph.strongly_connected(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {f"r{i}": "r0" for i in range(9)} | {"a": "a", "b": "a", "c": "c", "d": "c", "p": "p", "q": "p", "s": "p"}
+    loops = {r.key: r.cycle for r in graph.shortest_cycles(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert loops == {f"r{i}": 9 for i in range(9)} | {"a": 2, "b": 2, "c": 2, "d": 2, "self": 1, "p": 2, "q": 2, "s": 3}
     assert graph.strongly_connected(spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0
     got = {(r.src, r.dst) for r in graph.reached(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("c",), ("tail",), ("p",)], "src string")).collect()}
     assert got == {("c", x) for x in ["c", "d", "tail", *[f"r{i}" for i in range(9)]]} | {("p", x) for x in "pqs"}
