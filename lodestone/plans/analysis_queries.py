@@ -62,12 +62,13 @@ def a7(t: Tables):
     return t.facts.filter("loop_depth >= 2").join(t.edges.filter("rel = 'calls'").select(F.col("src").alias("name")), "name").groupBy("name").agg(F.count(F.lit(1)).alias("queries"))
 
 
-@query("a8_dead_methods", sql("edges", "SELECT name FROM facts WHERE kind = 'symbol' AND symbol_kind = 'function' AND split_part(name, '.', 2) NOT IN (SELECT split_part(dst, '.', 2) FROM edges WHERE rel = 'calls' AND dst LIKE 'Part.1%')"))
+@query("a8_dead_methods", sql("edges", "SELECT name FROM facts m WHERE kind = 'symbol' AND symbol_kind = 'function' AND NOT EXISTS (SELECT 1 FROM edges e JOIN facts f ON f.name = e.src AND f.kind = 'symbol' WHERE e.rel = 'calls' AND f.repo = m.repo AND split_part(e.dst, '.', 2) = split_part(m.name, '.', 2))"))
 def a8(t: Tables):
-    """Methods whose bare name no call ends in."""
+    """Methods whose bare name no call of their repository ends in."""
     bare = lambda x: F.split_part(F.col(x), F.lit("."), F.lit(2))
-    m = t.facts.filter("kind = 'symbol' and symbol_kind = 'function'").select("name", bare("name").alias("bare"))
-    return m.join(t.edges.filter("rel = 'calls' and dst like 'Part.1%'").select(bare("dst").alias("bare")).distinct(), "bare", "left_anti").select("name")
+    s = t.facts.filter("kind = 'symbol'")
+    called = t.edges.filter("rel = 'calls'").join(s.select(F.col("name").alias("src"), "repo"), "src").select("repo", bare("dst").alias("bare")).distinct()
+    return s.filter("symbol_kind = 'function'").select("name", "repo", bare("name").alias("bare")).join(called, ["repo", "bare"], "left_anti").select("name")
 
 
 @query("a9_entry_points", sql("facts", "SELECT CASE WHEN contains(file, 'customer') THEN 'http' WHEN loop_depth = 0 THEN 'cli' ELSE 'job' END AS mechanism, count(*) AS n FROM facts WHERE kind = 'symbol' AND exported GROUP BY 1"))

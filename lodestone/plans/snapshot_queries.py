@@ -248,12 +248,19 @@ def s30(t: Tables):
     return src.manifest(t.raw("pages").select("page_id", F.col("html").alias("body")), "page_id")
 
 
-@query("k1_total_order", sql("facts", "SELECT md5(string_agg(repo || '|' || kind || '|' || name || '|' || file, ';' ORDER BY repo, kind, file, line, name)) AS digest FROM facts WHERE kind <> 'symbol'"))
+@query("k1_total_order", sql("facts", """, f AS (SELECT repo, file, md5(string_agg(kind || '|' || name || '|' || line, ';' ORDER BY kind, line, name)) AS d FROM facts GROUP BY ALL), r AS (SELECT repo, md5(string_agg(file || ':' || d, ';' ORDER BY file)) AS d FROM f GROUP BY repo)
+ SELECT md5(string_agg(repo || ':' || d, ';' ORDER BY repo)) AS digest FROM r"""))
 def k1(t: Tables):
-    """The digest of a totally ordered listing of the module and service facts, which a snapshot's id is made of."""
-    row = F.struct("repo", "kind", "file", "line", "name")
-    x = t.facts.filter("kind <> 'symbol'").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    return x.select(F.md5(F.array_join(F.transform("r", lambda v: F.concat_ws("|", v["repo"], v["kind"], v["name"], v["file"])), ";")).alias("digest"))
+    """The digest that names a snapshot: of all facts in one total order, file by file, repository by repository, so no list holds more
+    than a file's facts or a repository's files."""
+
+    def fold(df, by, row, text):
+        rows = F.sort_array(F.collect_list(F.struct(*row)))
+        return df.groupBy(*by).agg(F.md5(F.array_join(F.transform(rows, text), ";")).alias("d"))
+
+    f = fold(t.facts, ["repo", "file"], ["kind", "line", "name"], lambda v: F.concat_ws("|", v["kind"], v["name"], v["line"].cast("string")))
+    r = fold(f, ["repo"], ["file", "d"], lambda v: F.concat_ws(":", v["file"], v["d"]))
+    return fold(r, [], ["repo", "d"], lambda v: F.concat_ws(":", v["repo"], v["d"])).select(F.col("d").alias("digest"))
 
 
 @query("fn_identity", sql("facts", "SELECT name, file, substr(sha256(repo || chr(1) || kind || chr(1) || name || chr(1) || file), 1, 32) AS id FROM facts"))
