@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW_EDGES = 1 << 20  # edges that components() unites within one task
 HEAVY = 4096  # keys that lookup() broadcasts, at most
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,13 +88,39 @@ def star_forest(e: DataFrame) -> bool:
     return node.filter("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges (a, b) and the smallest id that each is connected to."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    ia, ib = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(label[ia], label[ib]), np.maximum(label[ia], label[ib])
+        if (low == high).all():
+            return ids, ids[label]
+        np.minimum.at(label, high, low)
+        while not (label == label[label]).all():
+            label = label[label]
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
     """(id, comp): for every end of an edge (a, b) the smallest id that it is connected to.
 
-    Alternating large-star and small-star rewrites until only stars are left; each is written to the shared folder, and no
-    group is ever gathered: a node's minimum is a partial aggregate, joined back by `lookup`.
+    Up to FEW_EDGES edges, 16 MB, are united within one task. More go through alternating large-star and small-star rewrites until
+    only stars are left; each is written to the shared folder, and no group is ever gathered: a node's minimum is a partial
+    aggregate, joined back by `lookup`. Either way gives the same result.
     """
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), tag)
+    if e.count() <= FEW_EDGES:
+
+        def run(batches):
+            held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+            if held:
+                ids, comp = united(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp)], ["id", "comp"])
+
+        out = materialize(in_arrow(e.coalesce(1), run, "id long, comp long"), tag)
+        discard(e)
+        return out
     for _ in range(rounds):
         if star_forest(e):
             break
@@ -121,9 +148,12 @@ def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow in batches of a few megabytes: the batches of all tasks of an executor lie outside its heap, beside its
-    Python workers. A row larger than that is a batch of its own."""
-    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(4 << 20))):
-        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    Python workers. A row larger than that is a batch of its own. The session's two limits are lowered to that, never raised, and
+    stay so, as the plan runs later."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        now = str(df.sparkSession.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df.mapInArrow(run, schema)
 
 
