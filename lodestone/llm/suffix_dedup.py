@@ -127,7 +127,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def parts(raw, offsets):
         for i, j in groups(offsets):
-            if offsets[j] - offsets[i] <= REACH + length:
+            if j - i > 1 or offsets[j] - offsets[i] <= REACH + length:  # several texts make a small group
                 yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
             else:
                 for at in range(0, int(offsets[j] - offsets[i]) - length + 1, REACH):
