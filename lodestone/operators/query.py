@@ -32,8 +32,8 @@ def version_key(c: Column) -> Column:
     return F.when(c.rlike(r"^v?[0-9]+(\.[0-9]+)+$"), F.transform(F.split(F.regexp_replace(c, "^v", ""), r"\."), lambda x: x.cast("long")))
 
 
-def compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1: as versions where both are, else as numbers where both are, else as strings."""
+def ordering(a: Column, b: Column) -> Column:
+    """-1, 0 or 1. Two versions go by their numbers, a shorter one filled up with zeros; two numbers by value; anything else by text."""
     va, vb = version_key(a), version_key(b)
     n = F.greatest(F.size(va), F.size(vb))
     pad = lambda v: F.concat(v, F.array_repeat(F.lit(0).cast("long"), (n - F.size(v)).cast("int")))
@@ -43,27 +43,32 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(va.isNotNull() & vb.isNotNull(), sign(pad(va), pad(vb))).when(fa.isNotNull() & fb.isNotNull(), sign(fa, fb)).otherwise(sign(a, b))
 
 
-def scalar_matches(got: Column, op: str, want: str) -> Column:
-    w = F.lit(want)
-    if op in ("", "eq"):
-        return got == w
-    if op == "ne":
-        return got != w
-    if op == "prefix":
-        return got.startswith(w)
-    if op == "contains":
-        return got.contains(w)
-    c = compare(got, w)
-    return {"lt": c < 0, "le": c <= 0, "gt": c > 0, "ge": c >= 0}[op]
-
-
-def prop_matches(value: Column, op: str, want: str, is_list: bool = False) -> Column:
-    """A list matches when any element does."""
-    return F.exists(value, lambda x: scalar_matches(x, op, want)) if is_list else F.coalesce(scalar_matches(value, op, want), F.lit(False))
-
-
-def compile_filter(o: QueryOpts, columns: list[str]) -> Column:
-    """One predicate: AND across dimensions, OR within each."""
+#: What each operator asks of a value and the wanted text.
+TESTS = {
+    "eq": lambda v, w: v == w,
+    "ne": lambda v, w: v != w,
+    "prefix": lambda v, w: v.startswith(w),
+    "contains": lambda v, w: v.contains(w),
+    "lt": lambda v, w: ordering(v, w) < 0,
+    "le": lambda v, w: ordering(v, w) <= 0,
+    "gt": lambda v, w: ordering(v, w) > 0,
+    "ge": lambda v, w: ordering(v, w) >= 0,
+}
+
+
+def holds(value: Column, op: str, want: str, of_list: bool = False) -> Column:
+    """The predicate `value op want`, false for null. Of a list one element is enough, and `eq` also takes the whole list, written [a b]."""
+    test, w = TESTS[op or "eq"], F.lit(want)
+    if not of_list:
+        return F.coalesce(test(value, w), F.lit(False))
+    some = F.exists(value, lambda x: test(x, w))
+    whole = F.concat(F.lit("["), F.array_join(value, " "), F.lit("]")) == w if (op or "eq") == "eq" else F.lit(False)
+    return F.coalesce(some, F.lit(False)) | F.coalesce(whole, F.lit(False))
+
+
+def predicate(o: QueryOpts, columns: list[str]) -> Column:
+    """All that o asks for in one predicate, so the scan gets as much of it as it can push down. A fact must meet each field that is set, by
+    any of its values."""
     out = F.lit(True)
     if o.kinds:
         out &= F.col("kind").isin(o.kinds)
@@ -79,12 +84,12 @@ def compile_filter(o: QueryOpts, columns: list[str]) -> Column:
         out &= F.exists("relations", lambda r: r["kind"] == o.relation)
     if o.prop:
         value = F.col(o.prop).cast("string") if o.prop in columns else F.col("props")[o.prop]
-        out &= prop_matches(value, o.prop_op, o.prop_value) if o.prop_value is not None else value.isNotNull()
+        out &= holds(value, o.prop_op, o.prop_value) if o.prop_value is not None else value.isNotNull()
     return out
 
 
 def matches(facts: DataFrame, o: QueryOpts) -> DataFrame:
-    return facts.filter(compile_filter(o, facts.columns))
+    return facts.filter(predicate(o, facts.columns))
 
 
 def page(found: DataFrame, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -15,12 +15,14 @@ CASES = [("0.138.0", "lt", "0.150", True), ("v1.9", "lt", "v1.10", True), ("9",
 
 @pytest.mark.parametrize("got,op,want,result", CASES)
 def test_comparison(spark, got, op, want, result):
-    assert spark.createDataFrame([(got,)], "v string").select(query.prop_matches(F.col("v"), op, want)).first()[0] is result
+    assert spark.createDataFrame([(got,)], "v string").select(query.holds(F.col("v"), op, want)).first()[0] is result
 
 
 def test_list_matches_any_element(spark):
     d = spark.createDataFrame([(["a", "b"],), ([],)], "v array<string>")
-    assert [r[0] for r in d.select(query.prop_matches(F.col("v"), "eq", "b", True)).collect()] == [True, False]
+    assert [r[0] for r in d.select(query.holds(F.col("v"), "eq", "b", True)).collect()] == [True, False]
+    lists = spark.createDataFrame([(["a", "b"],), (["a"],), (None,)], "v array<string>")
+    assert [r[0] for r in lists.select(query.holds(F.col("v"), "eq", "[a b]", True)).collect()] == [True, False, False]
 
 
 def test_globs_and_names(spark):
