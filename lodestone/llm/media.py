@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import groups, in_arrow, lookup, materialize, table, utf8
 
 UNIT = 64
-LEAST, MOST, CUT_BITS = 1024, 32768, 12
+LEAST, MOST, CUT_BITS = 2048, 32768, 12
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -87,7 +87,7 @@ def chunk_rows(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Da
     """(media_id, digest, frame): each chunk's bytes as a Zstandard frame. A task sends a chunk once per payload."""
 
     def run(batches):
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=6)
         for rows, raw, bounds, _ in payloads(batches):
             buf, out = raw.tobytes(), {}
             for a, b, ends in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts(raw, bounds), strict=True):
