@@ -87,11 +87,12 @@ def marked(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFr
     found = lookup(again, first, "digest", "n").withColumn("gone", place != F.col("first"))
     size = F.when(F.col("words") >= SENTENCE_WORDS, F.col("words")).otherwise(0)
     spans = F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("start", "end", "whole"))))
-    sizes = F.collect_set(F.struct("start", "end", size.alias("words")))
+    sizes = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("rev"), size.cast("int").alias("words"))))
     lists = found.groupBy("doc_id", "tkey").agg(spans.alias("at"), sizes.alias("sizes"))
-    # The words of a repeated line and of its sentences count once.
-    outer = F.filter("sizes", lambda x: ~F.exists("sizes", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    return materialize(lists.select("doc_id", "tkey", "at", F.aggregate(outer, F.lit(0), lambda a, x: a + x["words"]).alias("shared")), "op8-lists")
+    # In order of their starts, a line before its sentences: what lies within a unit that was counted counts no more.
+    none = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).alias("total"))
+    step = lambda a, x: F.when(x["start"] >= a["end"], F.struct((-x["rev"]).alias("end"), (a["total"] + x["words"]).alias("total"))).otherwise(a)
+    return materialize(lists.select("doc_id", "tkey", "at", F.aggregate("sizes", none, step)["total"].alias("shared")), "op8-lists")
 
 
 def cut(docs: DataFrame, lists: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
