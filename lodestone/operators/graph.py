@@ -5,6 +5,7 @@ the shared checkpoint folder, so plans stay short and a lost executor costs a re
 """
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as it is if it only reads files, through filters and columns; else without repeats, written out: what each hop of a walk reads."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"\b(Relation|LogicalRelation)\b", plan) and not re.search(r"\b(Join|Aggregate|Union|Window|Generate|Distinct|Deduplicate|Sort|LogicalRDD|LocalRelation|Repartition\w*)\b", plan):
+        return df
+    return checkpointed(df.distinct())
+
+
 def build_edges(facts: DataFrame) -> DataFrame:
     """(src, rel, dst, src_repo) from facts with relations array<struct<kind, target>>; documents take no edges, repeats count once."""
     return (facts.filter(F.col("kind") != "document").select(F.col("name").alias("src"), F.col("repo").alias("src_repo"), F.explode("relations").alias("r"))
@@ -73,7 +82,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, reverse: bool =
     """(key, depth): the least number of hops from the seeds (key), seeds at 0. Depth is capped at 20."""
     e = edges.filter(F.col("rel").isin(rels)) if rels else edges
     e = e.select(F.col("dst").alias("key"), F.col("src").alias("next")) if reverse else e.select(F.col("src").alias("key"), F.col("dst").alias("next"))
-    e = checkpointed(e.distinct())
+    e = stored(e)
     front = checkpointed(seeds.select("key").distinct().withColumn("depth", F.lit(0)))
     seen = front
     for d in range(1, min(depth, MAX_DEPTH) + 1):
@@ -115,7 +124,7 @@ def traverse_dispatching(edges: DataFrame, seeds: DataFrame, hops: DataFrame, de
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 10, rels: list[str] | None = None) -> DataFrame:
     """(key, hops, path): for each target reached its shortest path from any source; of equals the least by node names."""
-    e = checkpointed((edges.filter(F.col("rel").isin(rels)) if rels else edges).select(F.col("src").alias("key"), F.col("dst").alias("next")).distinct())
+    e = stored((edges.filter(F.col("rel").isin(rels)) if rels else edges).select(F.col("src").alias("key"), F.col("dst").alias("next")))
     front = checkpointed(sources.select("key").distinct().select("key", F.array("key").alias("path")))
     seen = front
     for _ in range(min(depth, MAX_DEPTH)):
