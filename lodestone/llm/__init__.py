@@ -2,9 +2,3 @@
 
 Nothing else in the library imports this subpackage.
 """
-from pyspark import cloudpickle
-
-import lodestone
-
-# Functions are shipped to the executors by value: workers need no copy of the package.
-cloudpickle.register_pickle_by_value(lodestone)
