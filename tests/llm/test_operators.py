@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, line_dedup, media, minhash, mixing, sharding, suffix_dedup, toxicity, unit_dedup
+from lodestone.llm import edits, exact_dedup, line_dedup, media, minhash, mixing, sharding, suffix_dedup, toxicity, unit_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "ba de ki lo mu na pe ri so tu va xe zo ga hi".split()
@@ -254,16 +254,6 @@ def normal_line(line):
     return " ".join(re.findall(r"[^\x20\x09-\x0D]+", lower(line)))
 
 
-def edit(a, b):
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(last[j] + 1, new[-1] + 1, last[j - 1] + (x != y)))
-        last = new
-    return last[-1]
-
-
 def brute_lines(table):
     """Places of lines to remove, by edit distance alone."""
     place, first = {}, {}
@@ -278,7 +268,7 @@ def brute_lines(table):
     for x, a in enumerate(names):
         for b in names[x + 1 :]:
             most = int(max(len(a), len(b)) * 0.2 + 1e-9)
-            if abs(len(a) - len(b)) <= most and edit(a, b) <= most:
+            if abs(len(a) - len(b)) <= most and edits.distance(a, b) <= most:  # held against the textbook in test_edits
                 links.append((names.index(a), names.index(b)))
     comp = find(links, range(len(names)))
     keeper = {}
