@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, groups, in_arrow, lookup, materialize, rolling, table, utf8
+from .common import U64, discard, groups, hash_spans, in_arrow, lookup, materialize, rolling, spans_of_words, table, utf8
 
 LENGTH = 400
 GRAM = 64
 HOT, SLICE = 4096, 2048
 BATCH = 2 << 20
+PASSAGE, PASSAGE_GRAM = 51, 16  # words of a passage, and of the grams that choose what to compare
+WINDOWS = 1 << 14  # windows of passages in a batch of rows, about
 REACH = 1 << 24  # window starts of a text that are worked on at once; their places fit into 28 bits
 
 
@@ -21,7 +23,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Runs of consecutive window starts that share their minimiser: (row, start, count, gram hash).
 
     A window's minimiser is the leftmost of its grams with the least hash, so equal windows have equal minimisers at
-    the same place in them. Each window belongs to exactly one run. raw has fewer than 2**28 bytes.
+    the same place in them. Each window belongs to exactly one run. raw has fewer than 2**28 bytes, or hashes of words.
     """
     width = length - gram + 1
     lens = np.diff(offsets)
@@ -293,13 +295,129 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     return spans.unionByName(whole.select("doc_id", "tkey", "start", (F.col("start") + F.col("count") - 1 + length).alias("end")))
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats): the text's bytes without the spans, which are merged first; whether
-    there were any."""
-    lists = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("at")), "op6-spans")
-    lists = lists.toDF("_id", "_k", "at")
+def word_blocks(raw: np.ndarray, offsets: np.ndarray, length: int):
+    """Slices of rows with their words: (first row, row after the last, starts, ends, first word of each row, whether a text begins there).
+    A text of over REACH bytes goes in blocks that overlap by length - 1 words, so each window of `length` words lies in one of them."""
+    for i, j in groups(offsets):
+        at, end, size = int(offsets[i]), int(offsets[j]), REACH
+        if j - i > 1 or end - at <= REACH:
+            starts, ends, rows = spans_of_words(raw[at:end], offsets[i : j + 1] - at)
+            yield i, j, starts + at, ends + at, np.searchsorted(rows, np.arange(j - i + 1)), True
+            continue
+        while True:
+            to = min(at + size, end)
+            starts, ends, _ = spans_of_words(raw[at:to], np.array([0, to - at]))
+            if to < end and len(ends) and ends[-1] == to - at:  # a word that may go on
+                starts, ends = starts[:-1], ends[:-1]
+            if to < end and len(starts) < length:
+                size *= 2
+                continue
+            yield i, j, starts + at, ends + at, np.array([0, len(starts)]), at == offsets[i]
+            if to == end:
+                break
+            at, size = at + int(starts[len(starts) - length + 1]), REACH
+
+
+def passage_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, doc_id, tkey, start, end, head, gram, c1, c2): the runs of all windows of `length` words, as anchors() finds them over the words'
+    hashes, in bytes, with a number of the row of docs; head: the run holds the text's first word; c1 and c2 are 128 bits of the run's words."""
+
+    def digests(raw, starts, ends, first, last):
+        at = np.concatenate(([0], np.cumsum(ends - starts + 1)))  # the words one after the other, a space behind each
+        flat = np.concatenate((raw, [np.uint8(32)]))[np.arange(at[-1]) + np.repeat(starts - at[:-1], ends - starts + 1)]
+        flat[at[1:] - 1] = 32
+        buf = memoryview(flat)
+        return np.frombuffer(b"".join([hashlib.blake2b(buf[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), at[last + 1].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column(3))
+            numbers, ids, tkeys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            for i, j, starts, ends, bounds, begins in word_blocks(raw, offsets, length):
+                row, first, count, g = anchors(hash_spans(raw, starts, ends), bounds, length, gram)
+                if len(row):
+                    last = first + count + length - 2
+                    lo, hi = starts[0], ends[-1]
+                    c = digests(raw[lo:hi], starts - lo, ends - lo, first, last)
+                    base = offsets[i:j][row]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (numbers[i:j][row], ids[i:j][row], tkeys[i:j][row], starts[first] - base, ends[last] - base, (first == bounds[row]) & begins, g.view(np.int64), c[:, 0].copy(), c[:, 1].copy())],
+                        ["row", "doc_id", "tkey", "start", "end", "head", "gram", "c1", "c2"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tkey", "_text")
+    return in_arrow(numbered, run, "row long, doc_id long, tkey long, start long, end long, head boolean, gram long, c1 long, c2 long")
+
+
+def passage_windows(docs: DataFrame, length: int) -> DataFrame:
+    """(row, h1, h2) from (row, text, at array<struct<start, end>>): 128 bits of each window of `length` words in `at`."""
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            lists = batch.column(2)
+            lo = np.asarray(lists.offsets)
+            a, b = np.asarray(lists.values.field("start")), np.asarray(lists.values.field("end"))
+            numbers = np.asarray(batch.column(0))
+            buf = memoryview(np.ascontiguousarray(raw))
+            own = np.repeat(np.arange(len(numbers)), np.diff(lo))
+            found, sizes, k = [], [], 0
+            for m, (r, x, y) in enumerate(zip(offsets[own].tolist(), a[lo[0] : lo[-1]].tolist(), b[lo[0] : lo[-1]].tolist(), strict=True), 1):
+                words = bytes(buf[r + x : r + y]).split()
+                found += [hashlib.blake2b(b" ".join(words[w : w + length]), digest_size=16).digest() for w in range(len(words) - length + 1)]
+                sizes.append(len(words) - length + 1)
+                if len(found) >= WINDOWS or m == len(own):
+                    h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[np.repeat(own[k:m], sizes)]), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["row", "h1", "h2"])
+                    found, sizes, k = [], [], m
+
+    return in_arrow(docs, run, "row long, h1 long, h2 long")
+
+
+def shared_passages(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """(doc_id, tkey): the documents that hold `length` consecutive words which another document holds as well, whatever white space lies
+    between them; tkey is xxhash64 of the text.
+
+    As in repeated_spans each window belongs to one run, and equal windows have equal grams, so grams of one document settle
+    nothing and go first. A run that two documents have settles both. The windows of different runs with equal grams are compared by
+    digest, one row each, so no group is gathered.
+    """
+    docs = keyed(docs.filter(F.col(ident).isNotNull()), text, ident)
+    size, several = F.count(F.lit(1)).alias("n"), F.min("row") < F.max("row")
+    rows = materialize(passage_rows(docs, length, gram), "op6-passage-rows", "lz4")
+    ids = materialize(rows.filter("head").select("row", "doc_id", "tkey"), "op6-passage-ids")
+    by_gram = materialize(rows.groupBy("gram").agg(size, several.alias("several")).filter("several").select("gram", "n"), "op6-passage-grams")
+    near = materialize(lookup(rows.select("row", "start", "end", "gram", "c1", "c2"), by_gram, "gram", "n").drop("n"), "op6-passage-near", "lz4")
+    discard(rows)
+    place = [F.first(c).alias(c) for c in ("row", "start", "end")]
+    runs = materialize(near.groupBy("gram", "c1", "c2").agg(*place, size, several.alias("shared")), "op6-passage-runs", "lz4")
+    key = F.struct("gram", "c1", "c2").alias("key")
+    twice = materialize(runs.filter("shared").select(key, "n"), "op6-passage-twice")
+    found = materialize(lookup(near.select("row", key), twice, "key", "n").select("row").distinct(), "op6-passage-found")
+    discard(near)
+    open_ = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("ctxs"), F.min("shared").alias("all")).filter("ctxs > 1 and not all").select("gram", "ctxs"), "op6-passage-open")
+    lists = lookup(runs.select("row", "start", "end", "gram"), open_, "gram", "ctxs").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("at"))
+    lists = materialize(lists.join(ids, "row"), "op6-passage-lists")
+    windows = materialize(passage_windows(docs.join(lists, ["doc_id", "tkey"]).select("row", "_text", "at"), length), "op6-passage-windows", "lz4")
+    key = F.struct("h1", "h2").alias("key")
+    again = materialize(windows.groupBy("h1", "h2").agg(size, several.alias("several")).filter("several").select(key, "n"), "op6-passage-again")
+    more = lookup(windows.select("row", key), again, "key", "n").select("row")
+    out = materialize(found.unionByName(more).distinct().join(ids, "row").select("doc_id", "tkey").distinct(), "op6-passages")
+    for old in (ids, by_gram, runs, twice, found, open_, lists, windows, again):
+        discard(old)
+    return out
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: str = "doc_id", passages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats, shares_passage): the text's bytes without the spans, which are merged
+    first; whether there were any; whether the document is in passages (doc_id, tkey), null where there is no such table."""
+    spans = spans.select("doc_id", "tkey", F.struct("start", "end").alias("span"), F.lit(False).alias("passage"))
+    if passages is not None:
+        spans = spans.unionByName(passages.select("doc_id", "tkey", F.lit(None).cast("struct<start: long, end: long>").alias("span"), F.lit(True).alias("passage")))
+    lists = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list("span").alias("at"), F.max("passage").alias("passage")), "op6-spans")
+    lists = lists.toDF("_id", "_k", "at", "passage")
     own = keyed(docs, text, ident)
-    both = own.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("tkey") == F.col("_k")), "left").select("doc_id", "_text", "at")
+    shares = F.lit(None).cast("boolean") if passages is None else F.coalesce("passage", F.lit(False))
+    both = own.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("tkey") == F.col("_k")), "left").select("doc_id", "_text", "at", shares.alias("passage"))
 
     def run(batches):
         for batch in batches:
@@ -323,19 +441,21 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", ident: s
                 kept.update(left[last:])
                 for c, v in zip(cols, (size, gone, count, kept.hexdigest(), gone > 0), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "shares_passage"])
 
-    return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean")
+    return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, shares_passage boolean")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether the document holds a string of 400 bytes that also starts
-    elsewhere).
+    elsewhere), shares_passage (whether it holds over 50 consecutive words that another document holds too).
 
+    Words are runs of other bytes than space and 0x09-0x0D, as they are; passages lose nothing by being shared, as many are shorter than 400 bytes.
     Null text has no bytes; texts under 400 bytes lose nothing; texts may be of any length. Rows that repeat a doc_id are
     documents of their own, so equal ones of 400 bytes lose all; a null doc_id loses nothing and counts for nothing;
     no string has a first occurrence that stays, so there are no ties; other columns, whatever their names, play no part; an
     empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_spans(docs, repeated_spans(docs))
+    passages = shared_passages(docs)
+    return remove_spans(docs, repeated_spans(docs), passages=passages)

@@ -220,6 +220,64 @@ def test_suffixes_of_hot_grams(docs, monkeypatch):
     assert rows(suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs))) == want
 
 
+def check_passages(table, docs):
+    """table: (doc_id, text); 51 words in a row that two rows have, each row a document of its own."""
+    sets = [set() if i is None else {tuple(w[k : k + 51]) for k in range(len(w) - 50)} for i, t in table for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")]]
+    seen = Counter(x for s in sets for x in s)
+    want = sorted((str(i), len((t or "").encode()), any(seen[x] > 1 for x in s)) for (i, t), s in zip(table, sets, strict=True))
+    got = suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs), passages=suffix_dedup.shared_passages(docs)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.shares_passage) for r in got) == want
+    return {i for i, _, x in want if x}, {str(r.doc_id) for r in got if r.repeats}
+
+
+def test_passages_shorter_than_400_bytes(spark, monkeypatch):
+    rng = random.Random(23)
+    short = lambda n: " ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(n))
+    p, q, once, twin = short(51), short(70), short(60), short(80)
+    table = [(1, short(90) + " " + p + " " + short(20)), (2, p.replace(" ", "\n\t")), (3, short(5) + "x" + p), (4, q), (5, short(30) + "\n" + q[20:] + " end"), (6, once + "\n" + once), (7, twin), (7, twin), (8, short(50)), (9, p.upper())]
+    table += [(10, None), (11, ""), (None, p), (12, short(4000) + " " + "w" * 3000 + " " + q), (12, short(200)), (13, "same " * 300), (14, "same " * 60), (15, short(50) + " " + p.rsplit(" ", 1)[0])]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({"tkey": F.lit("x"), "at": F.lit(1), "passage": F.lit(2)})
+    shared, long = check_passages(table, docs)
+    assert shared == {"1", "2", "4", "5", "7", "12", "13", "14"} and not shared <= long
+    monkeypatch.setattr(suffix_dedup, "REACH", 700)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 30)
+    assert check_passages(table, docs)[0] == shared
+
+
+def test_passages_by_brute_force(docs, empty):
+    shared, _ = check_passages([(i, t) for i, t, *_ in corpus()], docs)
+    assert shared
+    assert suffix_dedup.shared_passages(empty).count() == 0
+
+
+def test_passages_of_nearly_equal_texts(spark):
+    rng = random.Random(29)
+    base, table = prose(rng, 200).split(), []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(2, 8)):
+            w[rng.randrange(200)] = "q%d" % i
+        table.append((i, " ".join(w[rng.randrange(60) :])))
+    table += [(100 + i, " ".join(prose(rng, 9).split() + base[k : k + n])) for i, (k, n) in enumerate([(0, 50), (0, 51), (100, 30), (140, 52), (149, 51)])]
+    check_passages(table, spark.createDataFrame(table, "doc_id long, text string"))
+
+
+def test_passages_that_differ_at_an_end(spark):
+    w = prose(random.Random(37), 50)
+    table = [(i, w + " last" + c) for i, c in enumerate("abcd")] + [(10 + i, c + "first " + w) for i, c in enumerate("abcd")] + [(20, "efirst " + w + " "), (21, "laste " + w)]
+    assert check_passages(table, spark.createDataFrame(table, "doc_id long, text string").coalesce(1))[0] == set()
+    table += [(30, "laste\n" + w)]
+    assert check_passages(table, spark.createDataFrame(table, "doc_id long, text string").coalesce(1))[0] == {"21", "30"}
+
+
+def test_suffix_query_names_documents_that_share_passages(spark, tmp_path):
+    rng = random.Random(31)
+    p = " ".join(rng.choice(SYLLABLES) for _ in range(55))
+    spark.createDataFrame([(1, "one " + p), (2, p + " two"), (3, prose(rng, 100))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.repeats, r.shares_passage) for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, False, True), 2: (0, False, True), 3: (0, False, False)}
+
+
 def shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
