@@ -5,12 +5,14 @@ repositories, and the lineitem and orders tables give the edges.
 """
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.graph import TASK_ROWS, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
@@ -85,7 +87,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.dir, name, self.stamp())
         if key not in KEPT:
             df, path = self.part(name), f"{shared_folder(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
-            df.sortWithinPartitions(by, order).write.partitionBy(by).parquet(path)
+            with self.fine_tasks():
+                df.sortWithinPartitions(by, order).write.partitionBy(by).parquet(path)
             KEPT[key] = path, df.schema
         path, schema = KEPT[key]
         return self.spark.read.schema(schema).parquet(path).select(*schema.names)
@@ -94,9 +97,37 @@ class Tables:
     def facts(self) -> DataFrame:
         return self.stored("facts", "kind", "name")
 
+    @contextlib.contextmanager
+    def fine_tasks(self):
+        """Within it shuffles have a task for about TASK_ROWS rows of lineitem, and none are put together: what a task sorts or holds doesn't grow
+        with the tables. The session's settings come back afterwards."""
+        n = max(self.spark.sparkContext.defaultParallelism, -(-self.raw("lineitem").count() // TASK_ROWS))
+        want = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        was = {k: self.spark.conf.get(k) for k in want}
+        try:
+            for k, v in want.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in was.items():
+                self.spark.conf.set(k, v)
+
+    def edges_of(self, *rels: str) -> DataFrame:
+        """The edges of some relations. Each relation is written once a session, when first asked for, in a folder of its own and sorted by source."""
+        place = (self.spark.sparkContext.applicationId, self.dir, "edges", self.stamp())
+        base = KEPT.setdefault(place, f"{shared_folder(self.spark)}/tables/edges-{uuid.uuid4().hex}")
+        for rel in rels:
+            if (*place, rel) not in KEPT:
+                df = self.part("edges", "src, dst, rel").filter(F.col("rel") == rel)
+                with self.fine_tasks():
+                    df.select("src", "dst").sortWithinPartitions("src").write.parquet(f"{base}/rel={rel}")
+                KEPT[(*place, rel)] = df.schema
+        schema = KEPT[(*place, rels[0])]
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/rel={r}" for r in rels]).select("src", "rel", "dst")
+
     @functools.cached_property
     def edges(self) -> DataFrame:
-        return self.stored("edges", "rel", "src")
+        return self.edges_of("calls", "depends_on", "imports", "declares")
 
     @functools.cached_property
     def imports(self) -> DataFrame:
