@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import checkpointed, spread
 
 FORMATS = ("json", "xml")
 
@@ -117,6 +117,9 @@ def inherited(children: DataFrame, parents: DataFrame, declaring: DataFrame, dep
 
 
 def roll_up(edges: DataFrame, owner: DataFrame) -> DataFrame:
-    """Symbol edges as counted edges between the modules (name, m) that declare their ends."""
-    e = edges.join(owner.toDF("src", "ms"), "src").join(owner.toDF("dst", "md"), "dst").filter("ms <> md")
-    return e.groupBy(F.col("ms").alias("src"), F.col("md").alias("dst"), "rel").agg(F.count(F.lit(1)).alias("n"))
+    """Symbol edges as counted edges between the modules (name, m) that declare their ends. Edges meet the targets' owners, are counted
+    by source and target module, and only these counts meet the sources' owners."""
+    into = spread(edges.select("src", "rel", "dst"), edges.count(), "dst").join(owner.toDF("dst", "md").hint("shuffle_hash"), "dst")
+    some = into.groupBy("src", "rel", "md").agg(F.count(F.lit(1)).alias("n"))
+    e = some.join(owner.toDF("src", "ms"), "src").filter("ms <> md")
+    return e.groupBy(F.col("ms").alias("src"), F.col("md").alias("dst"), "rel").agg(F.sum("n").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import links as ln
 from .adapter import Tables, sql
 from .registry import query
 
@@ -22,7 +23,7 @@ def walk(seed: str, depth: int, edges: str = "(SELECT * FROM edges)", reverse: b
 @query("g1_build_edges", sql("edges", "SELECT rel, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM (SELECT DISTINCT * FROM edges) GROUP BY rel"))
 def g1(t: Tables):
     """Edges rebuilt from relations nested in facts, then counted by kind."""
-    held = t.edges.groupBy("src").agg(F.collect_list(F.struct(F.col("rel").alias("kind"), F.col("dst").alias("target"))).alias("relations"))
+    held = g.spread(t.edges, t.edges.count(), "src").groupBy("src").agg(F.collect_list(F.struct(F.col("rel").alias("kind"), F.col("dst").alias("target"))).alias("relations"))
     facts = held.select(F.col("src").alias("name"), F.lit("symbol").alias("kind"), F.lit("r").alias("repo"), "relations")
     return g.build_edges(facts).groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
@@ -121,7 +122,7 @@ DEG = ", i AS (SELECT dst AS key, count(*) AS fan_in FROM edges WHERE {w} GROUP
 
 @query("g12_degrees", sql("edges", DEG.format(w=ARCH) + " SELECT * FROM d"))
 def g12(t: Tables):
-    return g.degrees(t.edges.filter(ARCH))
+    return g.degrees(t.edges_of("calls", "depends_on", "imports"))
 
 
 @query("g13_adjacency", sql("edges", "SELECT rel, dst FROM edges WHERE src = 'Customer.7'"))
@@ -148,8 +149,7 @@ def g15(t: Tables):
 def g16(t: Tables):
     """Symbol edges as edges of the modules that declare their ends."""
     own = t.facts.filter("kind = 'symbol'").select("name", F.regexp_replace("file", "/[a-z]+[.]src$", "").alias("m")).distinct()
-    e = t.edges.filter("rel = 'calls'").join(own.toDF("src", "ms"), "src").join(own.toDF("dst", "md"), "dst").filter("ms <> md")
-    return e.groupBy(F.col("ms").alias("src"), F.col("md").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    return ln.roll_up(t.edges_of("calls"), own).select("src", "dst", "n")
 
 
 DEPTH = REACH + """, z AS (SELECT DISTINCT key FROM (SELECT src AS key FROM imports UNION SELECT dst FROM imports)), k AS (SELECT z.key, coalesce(c.component, z.key) AS component FROM z LEFT JOIN c ON c.key = z.key),
