@@ -59,7 +59,7 @@ def a6(t: Tables):
 @query("a7_query_loops", sql("edges", "SELECT f.name, count(*) AS queries FROM facts f JOIN edges e ON e.src = f.name AND e.rel = 'calls' WHERE f.loop_depth >= 2 GROUP BY f.name"))
 def a7(t: Tables):
     """Calls to storage out of loops: looping symbols joined with their calls."""
-    return t.facts.filter("loop_depth >= 2").join(t.edges.filter("rel = 'calls'").select(F.col("src").alias("name")), "name").groupBy("name").agg(F.count(F.lit(1)).alias("queries"))
+    return t.facts.filter("loop_depth >= 2").join(t.edges_of("calls").select(F.col("src").alias("name")), "name").groupBy("name").agg(F.count(F.lit(1)).alias("queries"))
 
 
 @query("a8_dead_methods", sql("edges", "SELECT name FROM facts m WHERE kind = 'symbol' AND symbol_kind = 'function' AND NOT EXISTS (SELECT 1 FROM edges e JOIN facts f ON f.name = e.src AND f.kind = 'symbol' WHERE e.rel = 'calls' AND f.repo = m.repo AND split_part(e.dst, '.', 2) = split_part(m.name, '.', 2))"))
@@ -67,7 +67,10 @@ def a8(t: Tables):
     """Methods whose bare name no call of their repository ends in."""
     bare = lambda x: F.split_part(F.col(x), F.lit("."), F.lit(2))
     s = t.facts.filter("kind = 'symbol'")
-    called = t.edges.filter("rel = 'calls'").join(s.select(F.col("name").alias("src"), "repo"), "src").select("repo", bare("dst").alias("bare")).distinct()
+    calls = t.edges_of("calls")
+    n = calls.count()
+    held = g.spread(calls.select("src", bare("dst").alias("bare")), n, "src").join(s.select(F.col("name").alias("src"), "repo").hint("shuffle_hash"), "src")
+    called = g.spread(held.select("repo", "bare"), n, "repo", "bare").distinct()
     return s.filter("symbol_kind = 'function'").select("name", "repo", bare("name").alias("bare")).join(called, ["repo", "bare"], "left_anti").select("name")
 
 
@@ -86,12 +89,12 @@ def a10(t: Tables):
 
 @query("a11_god_class", sql("edges", DEGREES + SYMBOLS + ", t AS (SELECT avg(fan_in) + 2 * stddev_pop(fan_in) AS threshold FROM y) SELECT key, fan_in, fan_out, round(greatest(0.5, least(0.5 + 0.5 * (fan_in / threshold - 1), 0.95)), 6) AS confidence FROM y, t WHERE fan_in >= 8 AND fan_in > threshold ORDER BY fan_in DESC, key LIMIT 25"))
 def a11(t: Tables):
-    return a.god_classes(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges.filter(CALLS_IN))))
+    return a.god_classes(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges_of("calls", "depends_on"))))
 
 
 @query("a12_hotspots", sql("edges", DEGREES + SYMBOLS + ", s AS (SELECT *, fan_in * fan_out AS score FROM y) SELECT key, fan_in, fan_out, score FROM s WHERE fan_in >= 3 AND fan_out >= 3 AND score > (SELECT avg(score) + 2 * stddev_pop(score) FROM s) ORDER BY score DESC, key LIMIT 20"))
 def a12(t: Tables):
-    return a.hotspots(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges.filter(CALLS_IN))))
+    return a.hotspots(a.population(t.facts.filter("kind = 'symbol'").select(F.col("name").alias("key")), g.degrees(t.edges_of("calls", "depends_on"))))
 
 
 @query("a13_depth", sql("imports", DEPTH + " HAVING max(length) >= 2", True))
@@ -124,7 +127,7 @@ def a16(t: Tables):
 
 @query("a17_dead_code", sql("edges", ", u AS (SELECT src, dst FROM edges WHERE rel IN ('calls', 'depends_on')) SELECT f.name, CASE WHEN f.name IN (SELECT src FROM u) THEN 'unreferenced' ELSE 'isolated' END AS class FROM facts f WHERE kind = 'symbol' AND f.name NOT IN (SELECT dst FROM u)"))
 def a17(t: Tables):
-    return a.dead_code(t.facts.filter("kind = 'symbol'").select("name"), t.edges.filter(CALLS_IN))
+    return a.dead_code(t.facts.filter("kind = 'symbol'").select("name"), t.edges_of("calls", "depends_on"))
 
 
 @query("a18_performance", sql("edges", """, k AS (SELECT e.src AS name, max(CASE WHEN f.loop_depth > 0 THEN f.loop_depth ELSE 0 END) AS callee FROM edges e JOIN facts f ON f.name = e.dst WHERE e.rel = 'calls' GROUP BY e.src),
@@ -132,7 +135,7 @@ def a17(t: Tables):
  SELECT name, loop_depth, effective, round(effective * CASE WHEN effective >= 6 THEN 0.35::DOUBLE WHEN effective >= 4 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END * CASE WHEN exported THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END, 2)::DOUBLE AS risk FROM s WHERE effective >= 2"""))
 def a18(t: Tables):
     """Effective loop depth over the (acyclic) call edges: own depth and the deepest callee's."""
-    deep = t.edges.filter("rel = 'calls'").join(t.facts.select(F.col("name").alias("dst"), "loop_depth"), "dst").groupBy(F.col("src").alias("name")).agg(F.max("loop_depth").alias("callee"))
+    deep = t.edges_of("calls").join(t.facts.select(F.col("name").alias("dst"), "loop_depth"), "dst").groupBy(F.col("src").alias("name")).agg(F.max("loop_depth").alias("callee"))
     s = t.facts.filter("kind = 'symbol' and loop_depth >= 1").join(deep, "name", "left").withColumn("effective", F.col("loop_depth") + F.coalesce("callee", F.lit(0)))
     conf = F.when(F.col("effective") >= 6, 0.35).when(F.col("effective") >= 4, 0.5).otherwise(0.7)
     return s.filter("effective >= 2").select("name", "loop_depth", "effective", a.risk(F.col("effective"), conf, F.col("exported")).alias("risk"))
@@ -173,7 +176,7 @@ def a23(t: Tables):
 def a24(t: Tables):
     """Edges to a sealed target in the same repository (PROMO parts play final types)."""
     x, y = t.facts.select(F.col("name").alias("src"), F.col("repo")), t.facts.filter("symbol_kind = 'promo'").select(F.col("name").alias("dst"), "repo")
-    return t.edges.filter("rel = 'calls'").join(x, "src").join(y, ["dst", "repo"]).filter("src <> dst").select(F.col("src").alias("derived"), F.col("dst").alias("base")).distinct()
+    return t.edges_of("calls").join(x, "src").join(y, ["dst", "repo"]).filter("src <> dst").select(F.col("src").alias("derived"), F.col("dst").alias("base")).distinct()
 
 
 # ---- constraint forms ----------------------------------------------------------------------------------------------
@@ -202,7 +205,7 @@ query("c5_private", sql("edges", E + "dst IN (SELECT name FROM facts WHERE kind
 query("c6_forbid_fact", sql("facts", "SELECT name FROM facts WHERE kind = 'symbol' AND cyclomatic >= 45"))(lambda t: c.forbid_fact(to(t)).select("name"))
 query("c7_cap_members", sql("facts", f", m AS (SELECT DISTINCT name FROM {TO}) SELECT count(*) AS members, (SELECT name FROM m ORDER BY name LIMIT 1 OFFSET 10) AS first_over FROM m HAVING count(*) > 10"))(lambda t: c.cap_members(to(t), 10))
 query("c8_require", sql("edges", f"SELECT name FROM facts WHERE name IN {COMP} AND loop_depth >= 2 AND NOT exported AND name IN (SELECT src FROM edges WHERE rel = 'calls')"))(
-    lambda t: c.require(comp(t), F.col("loop_depth") >= 2, F.col("exported"), t.edges, "calls").select("name"))
+    lambda t: c.require(comp(t), F.col("loop_depth") >= 2, F.col("exported"), t.edges_of("calls"), "calls").select("name"))
 query("c9_require_defines", "SELECT DISTINCT 'T' || (user_id % 200) AS name FROM events WHERE user_id % 200 NOT IN (SELECT user_id % 200 FROM events WHERE event_type = 'purchase' AND value >= 150)")(
     lambda t: c.require_defines(t.raw("events").select(F.concat(F.lit("T"), (F.col("user_id") % 200).cast("string")).alias("name")).distinct(),
                                 t.raw("events").filter("value >= 150").select(F.concat(F.lit("T"), (F.col("user_id") % 200).cast("string")).alias("owner"), F.col("event_type").alias("method")), "purchase"))
@@ -215,7 +218,7 @@ query("c13_independent", sql("imports", ", r(src, dst) AS (SELECT src, dst FROM
 query("c14_require_name", sql("facts", "SELECT name FROM facts WHERE kind = 'module' AND NOT regexp_matches(regexp_extract(name, '[^.#/]*$'), '^NATION_1')"))(lambda t: c.name_rule(t.facts.filter("kind = 'module'"), "^NATION_1").select("name"))
 query("c15_forbid_name", sql("facts", "SELECT name FROM facts WHERE kind = 'module' AND regexp_matches(regexp_extract(name, '[^.#/]*$'), '^NATION_1')"))(lambda t: c.name_rule(t.facts.filter("kind = 'module'"), "^NATION_1", False).select("name"))
 query("c16_guide", sql("facts", "SELECT DISTINCT file, 'keep symbols small' AS advice FROM facts WHERE cyclomatic >= 45"))(lambda t: to(t).select("file", F.lit("keep symbols small").alias("advice")).distinct())
-query("c17_storage_stays_home", sql("edges", E + f"dst IN {TO} AND src NOT IN {COMP} AND rel = 'calls'"))(lambda t: c.storage_stays_home(t.edges.filter("rel = 'calls'"), to(t), comp(t)))
+query("c17_storage_stays_home", sql("edges", E + f"dst IN {TO} AND src NOT IN {COMP} AND rel = 'calls'"))(lambda t: c.storage_stays_home(t.edges_of("calls"), to(t), comp(t)))
 query("c18_cap_runtime", "SELECT event_id, value FROM events WHERE value > 90")(lambda t: c.cap_runtime(t.raw("events"), 90).select("event_id", "value"))
 query("c19_require_consumer", sql("routes", "SELECT page_id FROM routes WHERE role = 'server' AND path NOT IN (SELECT path FROM routes WHERE role = 'client')"))(
     lambda t: (lambda r: r.filter("role = 'server'").join(r.filter("role = 'client'").select("path").distinct(), "path", "left_anti").select("page_id"))(t.part("routes")))
