@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import spread
+
 ORDER = ("repo", "kind", "file", "line", "name")
 DEFAULT_LIMIT, MAX_LIMIT = 100, 500
 ORDERED = {"lt": -1, "le": -1, "gt": 1, "ge": 1}
@@ -120,6 +122,7 @@ def include_related(found: DataFrame, edges: DataFrame, facts: DataFrame) -> Dat
     """Facts that the found ones name, each attached once, to the first in the total order."""
     w = Window.partitionBy("target").orderBy(*ORDER, "rel")
     hits = found.join(edges.select(F.col("src").alias("name"), "rel", F.col("dst").alias("target")), "name")
+    hits = spread(hits.select(*ORDER, "rel", "target"), edges.count(), "target")
     first = hits.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(F.col("name").alias("from_name"), "target")
     return first.join(facts.select(F.col("name").alias("target"), F.col("kind").alias("target_kind"), F.col("repo").alias("target_repo")), "target")
 
