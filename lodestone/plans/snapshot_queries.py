@@ -100,7 +100,10 @@ def d11(t: Tables):
 
 @query("d12_plan_fanin", sql("edges", "SELECT f.file, count(DISTINCT e.src) AS fan_in FROM facts f JOIN edges e ON e.dst = f.name AND e.rel <> 'declares' WHERE f.kind = 'symbol' GROUP BY f.file"))
 def d12(t: Tables):
-    return t.facts.filter("kind = 'symbol'").select("file", F.col("name").alias("dst")).join(t.edges.filter("rel <> 'declares'"), "dst").groupBy("file").agg(F.countDistinct("src").alias("fan_in"))
+    e = t.edges_of("calls", "depends_on", "imports").select("src", "dst")
+    n = e.count()
+    x = g.spread(e, n, "dst").join(t.facts.filter("kind = 'symbol'").select("file", F.col("name").alias("dst")).hint("shuffle_hash"), "dst")
+    return g.spread(x.select("file", "src"), n, "file", "src").distinct().groupBy("file").agg(F.count("src").alias("fan_in"))
 
 
 @query("d14_drift", "SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.page_id IS NULL THEN 'removed' WHEN a.page_id IS NULL THEN 'added' ELSE 'changed' END AS drift FROM (SELECT page_id, md5(html) AS h FROM pages WHERE page_id % 7 <> 0) a FULL JOIN (SELECT page_id, md5(CASE WHEN page_id % 6 = 0 THEN url ELSE html END) AS h FROM pages WHERE page_id % 11 <> 0) b ON a.page_id = b.page_id WHERE a.h IS DISTINCT FROM b.h")
@@ -206,15 +209,15 @@ FLOW = ", r AS (SELECT s.src AS root, c.dst AS key FROM edges s JOIN edges c ON
 
 def reach(t: Tables):
     """(root, key): what each root reaches in two hops over the vias."""
-    e = t.edges.filter("rel = 'depends_on'").select(F.col("src").alias("root"), F.col("dst").alias("key")).distinct()
-    calls = t.edges.filter("rel = 'calls'").select(F.col("src").alias("key"), F.col("dst").alias("next"))
+    e = t.edges_of("depends_on").select(F.col("src").alias("root"), F.col("dst").alias("key")).distinct()
+    calls = t.edges_of("calls").select(F.col("src").alias("key"), F.col("dst").alias("next"))
     return e.join(calls, "key").select("root", F.col("next").alias("key")).unionByName(e).distinct()
 
 
 def flows(t: Tables):
     """What each root reaches in two hops, counted."""
-    e = t.edges.filter("rel = 'depends_on'").select(F.col("src").alias("root"), F.col("dst").alias("key"))
-    return s.flow_reach(e, t.edges.filter("rel = 'calls'").select("src", "dst").distinct(), lambda c: F.regexp_extract(c, "^[A-Za-z]+", 0))
+    e = t.edges_of("depends_on").select(F.col("src").alias("root"), F.col("dst").alias("key"))
+    return s.flow_reach(e, t.edges_of("calls").select("src", "dst").distinct(), lambda c: F.regexp_extract(c, "^[A-Za-z]+", 0))
 
 
 @query("f1_flows", sql("edges", FLOW + " SELECT root, count(*) AS reach FROM r GROUP BY root"))
