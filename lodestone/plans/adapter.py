@@ -40,6 +40,7 @@ ROUTES = """routes AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '
 
 PARTS = {"nat": NAT, "facts": FACTS, "calls": CALLS, "depends": DEPENDS, "flow": FLOW, "imports": IMPORTS, "edges": EDGES, "routes": ROUTES}
 KEPT: dict[tuple, tuple] = {}
+SPLIT = 16 << 20  # bytes of a file that a task reads where edges are written: before a shuffle it holds their distinct rows
 NEEDS = {"facts": ["nat"], "flow": ["nat"], "imports": ["nat", "flow"], "edges": ["nat", "facts", "calls", "depends", "flow", "imports"]}
 
 
@@ -99,10 +100,12 @@ class Tables:
 
     @contextlib.contextmanager
     def fine_tasks(self):
-        """Within it shuffles have a task for about TASK_ROWS rows of lineitem, and none are put together: what a task sorts or holds doesn't grow
-        with the tables. The session's settings come back afterwards."""
+        """Within it shuffles have a task for about TASK_ROWS rows of lineitem, none are put together, and files are read in parts of SPLIT bytes at
+        most: what a task sorts or holds doesn't grow with the tables. The session's settings come back afterwards."""
         n = max(self.spark.sparkContext.defaultParallelism, -(-self.raw("lineitem").count() // TASK_ROWS))
         want = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        if self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > SPLIT:
+            want["spark.sql.files.maxPartitionBytes"] = str(SPLIT)
         was = {k: self.spark.conf.get(k) for k in want}
         try:
             for k, v in want.items():
